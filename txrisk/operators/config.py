@@ -80,8 +80,7 @@ def step_bins(max_step: float, n_bins: int = N_STEP_BINS) -> list[float]:
 def step_bins_df(tx: DataFrame, n_bins: int = N_STEP_BINS) -> DataFrame:
     """C5 as a query: one row per edge (i, edge) computed in Spark."""
     mx = tx.agg(F.max("step").cast("double").alias("m"))
-    idx = tx.sparkSession.range(n_bins + 1).select(F.col("id").cast("int").alias("i"))
-    return (idx.crossJoin(F.broadcast(mx))
+    return (mx.select(F.explode(F.sequence(F.lit(0), F.lit(n_bins))).alias("i"), "m")
             .select("i", F.when(F.col("i") == n_bins, F.col("m"))
                     .otherwise(F.col("i").cast("double") * (F.col("m") / F.lit(float(n_bins))))
                     .alias("edge")))

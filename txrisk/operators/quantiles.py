@@ -2,13 +2,15 @@
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one
 aggregation buffer, which does not survive 100 TB. Here the k-th smallest
-values are found by histogram narrowing: every pass is one scan with a
-partial (map-side) aggregation to at most ``buckets`` rows per open window;
-the bucket counts locate each target rank, and the next pass only looks at
-the rows of the chosen bucket (a pushed-down range filter). A window is
-closed when all its values are equal or when it holds at most ``small``
-rows, which are then read sorted. No task and no driver step holds more
-than max(buckets x windows, small) values, whatever the skew.
+values are found by histogram narrowing over a long-form frame
+``(k = population key, v = value)``, so many columns and groups share every
+pass: each pass is one scan with a partial (map-side) aggregation to at most
+``buckets`` rows per open window; the bucket counts locate each target rank
+and the next pass only looks at the rows of the chosen buckets. A window is
+closed when all its values are equal, or when it holds at most ``small``
+rows, which are then read in one batched query. No task and no driver step
+holds more than ``buckets`` x windows or ``small`` x windows values,
+whatever the skew (a hot value closes its window at once: min == max).
 
 The quantile definition is the linear one (``quantile_cont`` / numpy's
 default): position p*(n-1) between the two neighbouring order statistics.
@@ -29,52 +31,70 @@ MAX_PASSES = 16
 
 @dataclass
 class _Window:
-    cond: Column          # membership predicate on the value column
+    key: object           # population key
+    cond: Column          # membership predicate on (k, v)
     lo: float             # smallest value in the window
     hi: float             # largest value in the window
     count: int            # rows in the window
-    below: int            # rows below the window
+    below: int            # rows of the population below the window
     ranks: list = field(default_factory=list)
 
 
-def _bucket(x: Column, w: _Window, buckets: int) -> Column:
+def _bucket(v: Column, w: _Window, buckets: int) -> Column:
     width = (w.hi - w.lo) / buckets
-    b = F.floor((x - F.lit(w.lo)) / F.lit(width))
+    b = F.floor((v - F.lit(w.lo)) / F.lit(width))
     return F.least(F.greatest(b, F.lit(0)), F.lit(buckets - 1)).cast("int")
 
 
-def kth_values(values: DataFrame, col: str, ranks: list[int], n: int, lo: float, hi: float,
-               buckets: int = BUCKETS, small: int = SMALL) -> dict[int, float]:
-    """Exact values at 0-based ascending ranks of a non-null numeric column."""
-    x = F.col(col)
-    out: dict[int, float] = {}
-    open_w = [_Window(F.lit(True), lo, hi, n, 0, sorted(set(ranks)))]
+def _case(windows: list[_Window], value_of) -> Column:
+    expr = None
+    for i, w in enumerate(windows):
+        val = value_of(i, w)
+        expr = F.when(w.cond, val) if expr is None else expr.when(w.cond, val)
+    return expr
+
+
+def kth_values_long(values: DataFrame, targets: dict, stats: dict,
+                    buckets: int = BUCKETS, small: int = SMALL) -> dict:
+    """Exact order statistics per population.
+
+    values:  frame with columns k (population key) and v (non-null double)
+    targets: {key: [0-based ascending ranks]}
+    stats:   {key: (n, lo, hi)}
+    returns  {(key, rank): value}
+    """
+    v = F.col("v")
+    out: dict = {}
+    open_w = []
+    for key, ranks in targets.items():
+        n, lo, hi = stats[key]
+        cond = F.col("k") == F.lit(key)
+        open_w.append(_Window(key, cond, lo, hi, n, 0, sorted(set(ranks))))
     for _ in range(MAX_PASSES):
-        if not open_w:
-            break
-        pending = []
+        fetch, pending = [], []
         for w in open_w:
             if w.lo == w.hi:
                 for r in w.ranks:
-                    out[r] = w.lo
+                    out[(w.key, r)] = w.lo
             elif w.count <= small:
-                vals = [row[0] for row in values.where(w.cond).select(x).orderBy(x)
-                        .limit(w.count).collect()]
-                for r in w.ranks:
-                    out[r] = vals[r - w.below]
+                fetch.append(w)
             else:
                 pending.append(w)
+        if fetch:
+            got: dict[int, list] = {}
+            rows = (values.select(_case(fetch, lambda i, w: F.lit(i)).alias("w"), v)
+                    .where(F.col("w").isNotNull()).collect())
+            for row in rows:
+                got.setdefault(row["w"], []).append(row["v"])
+            for i, w in enumerate(fetch):
+                vals = sorted(got.get(i, []))
+                for r in w.ranks:
+                    out[(w.key, r)] = vals[r - w.below]
         if not pending:
-            open_w = []
-            break
-        # one aggregation for all open windows; windows at one depth are disjoint
-        wid = None
-        bucket = None
-        for i, w in enumerate(pending):
-            wid = F.when(w.cond, F.lit(i)) if wid is None else wid.when(w.cond, F.lit(i))
-            b = _bucket(x, w, buckets)
-            bucket = F.when(w.cond, b) if bucket is None else bucket.when(w.cond, b)
-        hist = (values.select(wid.alias("w"), bucket.alias("b"), x.alias("v"))
+            return out
+        # one aggregation for all open windows; they are pairwise disjoint
+        hist = (values.select(_case(pending, lambda i, w: F.lit(i)).alias("w"),
+                              _case(pending, lambda i, w: _bucket(v, w, buckets)).alias("b"), v)
                 .where(F.col("w").isNotNull())
                 .groupBy("w", "b").agg(F.count("*").alias("n"), F.min("v").alias("lo"),
                                        F.max("v").alias("hi"))
@@ -84,74 +104,81 @@ def kth_values(values: DataFrame, col: str, ranks: list[int], n: int, lo: float,
             by_w.setdefault(row["w"], []).append(row)
         nxt = []
         for i, w in enumerate(pending):
-            rows = sorted(by_w.get(i, []), key=lambda r: r["b"])
             cum = w.below
-            targets = list(w.ranks)
-            for row in rows:
-                inside = [r for r in targets if cum <= r < cum + row["n"]]
+            todo = list(w.ranks)
+            for row in sorted(by_w.get(i, []), key=lambda r: r["b"]):
+                inside = [r for r in todo if cum <= r < cum + row["n"]]
                 if inside:
-                    cond = w.cond & (_bucket(x, w, buckets) == F.lit(row["b"]))
-                    nxt.append(_Window(cond, row["lo"], row["hi"], row["n"], cum, inside))
-                    targets = [r for r in targets if r not in inside]
+                    cond = w.cond & (_bucket(v, w, buckets) == F.lit(row["b"]))
+                    nxt.append(_Window(w.key, cond, row["lo"], row["hi"], row["n"], cum, inside))
+                    todo = [r for r in todo if r not in inside]
                 cum += row["n"]
-            if targets:
-                raise RuntimeError("rank outside the column; counts changed between passes")
+            if todo:
+                raise RuntimeError("rank outside the population; input changed between passes")
         open_w = nxt
-    if open_w:
-        raise RuntimeError("quantile narrowing did not converge")
-    return out
+    raise RuntimeError("quantile narrowing did not converge")
+
 
+def _interp(vals: dict, key, n: int, p: float):
+    pos = p * (n - 1)
+    k = math.floor(pos)
+    a, b = vals[(key, k)], vals[(key, min(k + 1, n - 1))]
+    d = pos - k
+    return a if d == 0 or a == b else a + (b - a) * d
 
-def _prepare(df: DataFrame, col: str) -> DataFrame:
-    x = F.col(col).cast("double")
-    return df.select(x.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
 
+def _ranks(n: int, probs: list[float]) -> list[int]:
+    need = []
+    for p in probs:
+        k = math.floor(p * (n - 1))
+        need += [k, min(k + 1, n - 1)]
+    return need
 
-def exact_quantiles(df: DataFrame, col: str, probs: list[float], **kw) -> list[float | None]:
+
+def long_values(df: DataFrame, cols: list[str], group: str | None = None) -> DataFrame:
+    """Unpivot to (k, v): k = column name, or 'group|column' when grouped."""
+    items = []
+    for c in cols:
+        key = (F.lit(c) if group is None
+               else F.concat(F.col(group).cast("string"), F.lit("|"), F.lit(c)))
+        items.append(F.struct(key.alias("k"), F.col(c).cast("double").alias("v")))
+    return (df.select(F.explode(F.array(*items)).alias("kv")).select("kv.k", "kv.v")
+            .where(F.col("v").isNotNull() & ~F.isnan("v")))
+
+
+def quantiles_long(values: DataFrame, probs: list[float], **kw) -> dict:
+    """{key: [quantiles]} for every population key of a (k, v) frame."""
+    st = values.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("lo"),
+                                 F.max("v").alias("hi")).collect()
+    stats = {r["k"]: (r["n"], r["lo"], r["hi"]) for r in st}
+    targets = {k: _ranks(s[0], probs) for k, s in stats.items()}
+    vals = kth_values_long(values, targets, stats, **kw)
+    return {k: [_interp(vals, k, stats[k][0], p) for p in probs] for k in stats}
+
+
+def exact_quantiles_multi(df: DataFrame, spec: dict[str, list[float]], **kw) -> dict[str, list]:
+    """Quantiles of several columns, all columns sharing every pass."""
+    probs_all = sorted({p for ps in spec.values() for p in ps})
+    res = quantiles_long(long_values(df, list(spec)), probs_all, **kw)
+    out = {}
+    for c, ps in spec.items():
+        if c not in res:
+            out[c] = [None] * len(ps)
+        else:
+            out[c] = [res[c][probs_all.index(p)] for p in ps]
+    return out
+
+
+def exact_quantiles(df: DataFrame, col: str, probs: list[float], **kw) -> list:
     """Linear-interpolated quantiles of ``col`` (nulls and NaN ignored)."""
     return exact_quantiles_multi(df, {col: probs}, **kw)[col]
 
 
-def exact_quantiles_multi(df: DataFrame, spec: dict[str, list[float]], **kw) -> dict[str, list]:
-    """Quantiles of several columns; one stats pass for all columns."""
-    aggs = []
-    for i, c in enumerate(spec):
-        x = F.col(c).cast("double")
-        ok = x.isNotNull() & ~F.isnan(x)
-        aggs += [F.count(F.when(ok, F.lit(1))).alias(f"n{i}"),
-                 F.min(F.when(ok, x)).alias(f"lo{i}"), F.max(F.when(ok, x)).alias(f"hi{i}")]
-    stats = df.agg(*aggs).first()
-    result = {}
-    for i, (c, probs) in enumerate(spec.items()):
-        n, lo, hi = stats[f"n{i}"], stats[f"lo{i}"], stats[f"hi{i}"]
-        if not n:
-            result[c] = [None] * len(probs)
-            continue
-        need = []
-        for p in probs:
-            pos = p * (n - 1)
-            k = math.floor(pos)
-            need += [k, min(k + 1, n - 1)]
-        vals = kth_values(_prepare(df, c), "v", need, n, lo, hi, **kw)
-        res = []
-        for p in probs:
-            pos = p * (n - 1)
-            k = math.floor(pos)
-            a, b = vals[k], vals[min(k + 1, n - 1)]
-            d = pos - k
-            res.append(a if d == 0 or a == b else a + (b - a) * d)
-        result[c] = res
-    return result
-
-
-def exact_quantiles_by(df: DataFrame, col: str, probs: list[float], group: str,
-                       max_groups: int = 64, **kw) -> dict:
-    """Quantiles per group for a low-cardinality group column (checked)."""
-    keys = [r[0] for r in df.select(group).distinct().limit(max_groups + 1).collect()]
-    if len(keys) > max_groups:
-        raise ValueError(f"{group} has more than {max_groups} groups")
-    return {k: exact_quantiles(df.where(F.col(group).eqNullSafe(F.lit(k))), col, probs, **kw)
-            for k in keys}
+def exact_quantiles_by(df: DataFrame, cols: list[str], probs: list[float], group: str,
+                       **kw) -> dict:
+    """{(group value as string, column): [quantiles]} in shared passes."""
+    res = quantiles_long(long_values(df, cols, group), probs, **kw)
+    return {tuple(k.split("|", 1)): v for k, v in res.items()}
 
 
 def kth_smallest_rows(df: DataFrame, key: str, order_cols: list[str], k: int,
@@ -160,21 +187,23 @@ def kth_smallest_rows(df: DataFrame, key: str, order_cols: list[str], k: int,
     ``order_cols``. Exact; never sorts the whole frame.
 
     The k-th key value is found by narrowing; rows strictly below it are kept
-    by a filter and only the rows tied at that value are ranked.
+    by a filter and only the rows tied at that value are ranked (for a hash
+    key these are a handful).
     """
     from pyspark.sql import Window
 
     if k <= 0:
         return df.limit(0)
-    stats = df.agg(F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-    n = stats["n"]
+    st = df.agg(F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+    n = st["n"]
     if k >= n:
         return df
-    v = kth_values(df.select(F.col(key).cast("double").alias("v")), "v", [k - 1], n,
-                   stats["lo"], stats["hi"], **kw)[k - 1]
+    vals = df.select(F.lit("x").alias("k"), F.col(key).cast("double").alias("v"))
+    v = kth_values_long(vals, {"x": [k - 1]}, {"x": (n, st["lo"], st["hi"])}, **kw)[("x", k - 1)]
     below = df.where(F.col(key) < F.lit(v))
     n_below = below.count()
     tied = df.where(F.col(key) == F.lit(v))
     w = Window.partitionBy(F.col(key)).orderBy(*order_cols)
-    take = tied.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= k - n_below).drop("_rk")
+    take = (tied.withColumn("_rk", F.row_number().over(w))
+            .where(F.col("_rk") <= k - n_below).drop("_rk"))
     return below.unionByName(take)
