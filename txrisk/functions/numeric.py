@@ -28,16 +28,22 @@ def py_round(x: Column, digits: int) -> Column:
     if digits == 0:
         return F.rint(x)
     m = float(10 ** digits)
-    p = x * F.lit(m)
-    xh, xl = _split(x)
-    mh, ml = _split(F.lit(m))
-    err = ((xh * mh - p) + xh * ml + xl * mh) + xl * ml
-    r = F.rint(p)
-    half = F.abs(p - F.floor(p)) == F.lit(0.5)
-    rounded = (F.when(half & (err > 0), F.ceil(p).cast("double"))
-               .when(half & (err < 0), F.floor(p).cast("double"))
-               .otherwise(r))
-    return rounded / F.lit(m)
+
+    def body(v: Column) -> Column:
+        p = v * F.lit(m)
+        vh, vl = _split(v)
+        mh, ml = _split(F.lit(m))
+        err = ((vh * mh - p) + vh * ml + vl * mh) + vl * ml
+        half = F.abs(p - F.floor(p)) == F.lit(0.5)
+        rounded = (F.when(half & (err > 0), F.ceil(p).cast("double"))
+                   .when(half & (err < 0), F.floor(p).cast("double"))
+                   .otherwise(F.rint(p)))
+        return rounded / F.lit(m)
+
+    # ``v`` is bound once: the input expression is not copied into each of
+    # the many references the exact rounding needs (Catalyst would otherwise
+    # inline it, e.g. when a filter on a derived column is pushed down).
+    return F.transform(F.array(x), body)[0]
 
 
 def safe_div(num: Column, den: Column, default: float = 0.0) -> Column:

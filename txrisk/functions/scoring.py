@@ -24,10 +24,14 @@ def risk_score_trunc(p: Column) -> Column:
 
 
 def score_rank(score: Column, min_scores: dict | None = None) -> Column:
-    """Level rank of a score: the number of level minimums (above LOW) it reaches."""
+    """Level rank of an integer score in [0, 100] (clamped): the number of level
+    minimums above LOW it reaches. One array lookup, so the score expression
+    is referenced once."""
     ms = min_scores or LEVEL_MIN_SCORE
-    return ((score >= ms["MEDIUM"]).cast("int") + (score >= ms["HIGH"]).cast("int")
-            + (score >= ms["CRITICAL"]).cast("int"))
+    mins = [ms["MEDIUM"], ms["HIGH"], ms["CRITICAL"]]
+    table = [sum(s >= t for t in mins) for s in range(101)]
+    idx = F.least(F.greatest(score.cast("int"), F.lit(0)), F.lit(100)) + 1
+    return F.element_at(F.array(*[F.lit(r) for r in table]), idx)
 
 
 def risk_level(score: Column, min_scores: dict | None = None) -> Column:
@@ -139,11 +143,11 @@ def hour_risk(hour: Column) -> Column:
     return expr.otherwise(F.lit(HOUR_DEFAULT))
 
 
-def heuristic_probability(amount: Column, merchant: Column, country: Column, hour: Column,
-                          signals: Column, new_device: Column, velocity: Column,
-                          jitter: Column | None = None) -> Column:
-    """Weighted score in [0, 1], rounded to 4 places. Jitter is off by default
-    (pass e.g. ``F.randn(seed) * 0.02`` to turn it on)."""
+def heuristic_raw(amount: Column, merchant: Column, country: Column, hour: Column,
+                  signals: Column, new_device: Column, velocity: Column,
+                  jitter: Column | None = None) -> Column:
+    """Weighted score clipped to [0, 1], before rounding. Jitter is off by
+    default (pass e.g. ``F.randn(seed) * 0.02`` to turn it on)."""
     w = TERM_WEIGHTS
     s = _map_lookup(merchant, MERCHANT_RISK, MERCHANT_DEFAULT) * F.lit(w["merchant"])
     s = s + _map_lookup(country, COUNTRY_RISK, COUNTRY_DEFAULT) * F.lit(w["country"])
@@ -154,7 +158,13 @@ def heuristic_probability(amount: Column, merchant: Column, country: Column, hou
     s = s + F.when(velocity, F.lit(w["velocity"])).otherwise(F.lit(0.0))
     if jitter is not None:
         s = s + jitter
-    return py_round(clamp01(s), 4)
+    return clamp01(s)
+
+
+def heuristic_probability(raw: Column) -> Column:
+    """Rounded to 4 places. Pass a column reference: the rounding reads its
+    input several times."""
+    return py_round(raw, 4)
 
 
 def heuristic_level(score: Column) -> Column:

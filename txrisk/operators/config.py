@@ -96,10 +96,29 @@ def median_rows_weighted(tx_with_counts: DataFrame) -> float:
     return exact_quantiles(tx_with_counts, "transactions_in_step", [0.5])[0]
 
 
+# A fitted per-step table up to this many rows is kept as a small local
+# relation (like the original's JSON map); beyond it, it is written to the
+# shared folder and joined as a table.
+MAX_LOCAL_STEPS = 200_000
+
+
+def materialize_counts(counts: DataFrame, max_rows: int = MAX_LOCAL_STEPS) -> DataFrame:
+    """Freeze the fitted per-step counts so scoring never recomputes them."""
+    spark = counts.sparkSession
+    rows = counts.limit(max_rows + 1).collect()
+    if len(rows) <= max_rows:
+        return spark.createDataFrame([(int(r["step"]), int(r["n"])) for r in rows],
+                                     "step int, n long")
+    from txrisk.session import scratch_path
+    path = scratch_path(spark, "step_counts")
+    counts.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def fit_feature_config(tx: DataFrame, p: float = 0.95) -> FeatureConfig:
     """All of the config from one transactions frame."""
     q = exact_quantiles_multi(tx, {"amount": [p], "oldbalanceDest": [0.5]})
-    max_step = tx.agg(F.max("step")).first()[0]
-    counts = step_counts(tx)
+    counts = materialize_counts(step_counts(tx))
+    max_step = counts.agg(F.max("step")).first()[0]
     return FeatureConfig(q["amount"][0], q["oldbalanceDest"][0], step_bins(max_step),
                          median_rows_per_step(counts), counts)

@@ -76,15 +76,17 @@ def audit_records(scored: DataFrame) -> DataFrame:
 
 def score_heuristic(events: DataFrame) -> DataFrame:
     """The simulator's weighted scorer and its additive rules over events."""
-    ml = S.heuristic_probability(F.col("amount"), F.col("merchant_type"), F.col("country"),
-                                 F.col("hour"), F.col("suspicious_signals"),
-                                 F.col("is_new_device"), F.col("velocity_flag"))
+    raw = S.heuristic_raw(F.col("amount"), F.col("merchant_type"), F.col("country"),
+                          F.col("hour"), F.col("suspicious_signals"),
+                          F.col("is_new_device"), F.col("velocity_flag"))
     reasons = S.heuristic_reasons(F.col("amount"), F.col("country"), F.col("hour"),
                                   F.col("suspicious_signals"), F.col("velocity_flag"))
     base = S.risk_score_trunc(F.col("ml_probability"))
     n = F.size(F.col("policy_reasons"))
-    final = F.when(n > 0, F.least(F.lit(100), base + n * F.lit(S.RULE_BUMP))).otherwise(base)
-    return (events.withColumn("ml_probability", ml)
+    # base <= 100, so with no reason this is base itself
+    final = F.least(F.lit(100), base + n * F.lit(S.RULE_BUMP))
+    return (events.withColumn("_raw", raw)
+            .withColumn("ml_probability", S.heuristic_probability(F.col("_raw"))).drop("_raw")
             .withColumn("policy_reasons", reasons)
             .withColumns({
                 "ml_risk_level": S.heuristic_level(base),

@@ -15,6 +15,7 @@ from txrisk.operators.scoring import audit_records, score
 from txrisk.sources import fixtures
 
 _CONFIGS: dict = {}
+_TX: dict = {}
 
 
 def _key(spark: SparkSession, sf_dir: str):
@@ -22,7 +23,10 @@ def _key(spark: SparkSession, sf_dir: str):
 
 
 def tx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.transactions(spark, sf_dir)
+    k = _key(spark, sf_dir)
+    if k not in _TX:
+        _TX[k] = fixtures.transactions(spark, sf_dir)
+    return _TX[k]
 
 
 def config(spark: SparkSession, sf_dir: str) -> FeatureConfig:

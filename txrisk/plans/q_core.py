@@ -288,47 +288,10 @@ def alerts(spark, sf):
             .withColumn("reasons", F.concat_ws("|", "reasons")))
 
 
-_HEUR_SQL = with_("sim_events") + """
+_HEUR_SQL = with_("sim_scored") + """
 SELECT id, ml_probability, ml_risk_level, final_risk_score, final_risk_level,
        policy_override_applied, array_to_string(policy_reasons, '|') AS policy_reasons
-FROM (SELECT *,
-        CASE WHEN final_risk_score >= 85 THEN 'CRITICAL' WHEN final_risk_score >= 60 THEN 'HIGH'
-             WHEN final_risk_score >= 35 THEN 'MEDIUM' ELSE 'LOW' END AS final_risk_level
-      FROM (SELECT *,
-              CASE WHEN base >= 85 THEN 'CRITICAL' WHEN base >= 60 THEN 'HIGH'
-                   WHEN base >= 35 THEN 'MEDIUM' ELSE 'LOW' END AS ml_risk_level,
-              CASE WHEN len(policy_reasons) > 0 THEN least(100, base + len(policy_reasons) * 5)
-                   ELSE base END AS final_risk_score,
-              CAST(len(policy_reasons) > 0 AS INTEGER) AS policy_override_applied
-            FROM (SELECT *, CAST(trunc(ml_probability * CAST(100 AS DOUBLE)) AS INTEGER) AS base
-                  FROM (SELECT *,
-                    round(least(greatest(
-                      CASE merchant_type WHEN 'E-Commerce' THEN 0.15 WHEN 'Crypto Exchange' THEN 0.72
-                           WHEN 'ATM Withdrawal' THEN 0.45 WHEN 'POS Retail' THEN 0.08
-                           WHEN 'Wire Transfer' THEN 0.55 WHEN 'Gambling' THEN 0.68
-                           WHEN 'Utility Bill' THEN 0.04 WHEN 'Travel Agency' THEN 0.22
-                           ELSE 0.20 END::DOUBLE * 0.25::DOUBLE
-                    + CASE country WHEN 'India' THEN 0.10 WHEN 'USA' THEN 0.12 WHEN 'Nigeria' THEN 0.78
-                           WHEN 'Russia' THEN 0.70 WHEN 'UK' THEN 0.14 WHEN 'UAE' THEN 0.35
-                           WHEN 'Brazil' THEN 0.42 WHEN 'Germany' THEN 0.09 WHEN 'China' THEN 0.38
-                           WHEN 'Anonymous VPN' THEN 0.90 ELSE 0.30 END::DOUBLE * 0.20::DOUBLE
-                    + CASE WHEN hour BETWEEN 0 AND 3 THEN 0.70 WHEN hour BETWEEN 4 AND 7 THEN 0.20
-                           WHEN hour BETWEEN 8 AND 17 THEN 0.05 WHEN hour BETWEEN 18 AND 20 THEN 0.15
-                           WHEN hour BETWEEN 21 AND 23 THEN 0.45 ELSE 0.10 END::DOUBLE * 0.15::DOUBLE
-                    + least(amount / 100000::DOUBLE, 1::DOUBLE) * 0.20::DOUBLE
-                    + least(suspicious_signals::DOUBLE / 5::DOUBLE, 1::DOUBLE) * 0.12::DOUBLE
-                    + CASE WHEN is_new_device THEN 0.05::DOUBLE ELSE 0::DOUBLE END
-                    + CASE WHEN velocity_flag THEN 0.03::DOUBLE ELSE 0::DOUBLE END,
-                    0::DOUBLE), 1::DOUBLE), 4) AS ml_probability,
-                    list_filter([
-                      CASE WHEN suspicious_signals >= 3 THEN
-                           'Policy: Multiple suspicious signals detected (>=' || CAST(suspicious_signals AS VARCHAR) || ')' END,
-                      CASE WHEN amount > 50000::DOUBLE THEN 'Policy: Amount > sender balance + sender account emptied' END,
-                      CASE WHEN velocity_flag THEN 'Policy: High velocity flag triggered' END,
-                      CASE WHEN country IN ('Nigeria', 'Russia', 'Anonymous VPN') THEN 'Policy: High-risk country — ' || country END,
-                      CASE WHEN hour BETWEEN 0 AND 3 THEN 'Policy: Transaction in high-risk night window (00-04)' END
-                    ], lambda x: x IS NOT NULL) AS policy_reasons
-                  FROM sim_events) a) b) c) d"""
+FROM sim_scored"""
 
 
 @query("heuristic_score", _HEUR_SQL)
