@@ -1 +1,60 @@
-"""placeholder"""
+"""Streaming queries and their batch twins."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from txrisk.plans import context as C
+from txrisk.plans.oracle_base import with_
+from txrisk.plans.registry import query
+from txrisk.session import scratch_path
+from txrisk.sources import fixtures
+from txrisk.sources import io as IO
+from txrisk.streaming import pipeline as G
+
+_HOURLY_SQL = """
+SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end,
+       count(*) AS n
+FROM events GROUP BY 1, 2"""
+
+
+@query("velocity_window", _HOURLY_SQL)
+def velocity_window(spark, sf):
+    """Events per tumbling hour (batch twin of the live velocity stream)."""
+    e = fixtures.read_table(spark, sf, "events").withColumnRenamed("ts", "created_at")
+    return G.hourly_counts(e)
+
+
+@query("daily_alerts", with_("logs") + """
+SELECT CAST(created_at AS DATE) AS date, final_risk_level, count(*) AS n
+FROM logs GROUP BY 1, 2""")
+def daily_alerts(spark, sf):
+    """Log rows per day and final level (batch twin of the live trend)."""
+    return G.daily_level_counts(C.logs(spark, sf))
+
+
+@query("stream_velocity", _HOURLY_SQL)
+def stream_velocity(spark, sf):
+    """The events file replayed as a stream; watermarked hourly counts in
+    update mode through an idempotent sink, read back as final counts."""
+    path, ckpt = scratch_path(spark, "velocity"), scratch_path(spark, "velocity-ckpt")
+    ev = fixtures.events_stream(spark, sf).withColumnRenamed("ts", "created_at")
+    q = G.start_window_stream(G.hourly_counts(ev, watermark="1 hour"), path, ckpt)
+    q.awaitTermination()
+    return G.latest_per_key(spark.read.parquet(path), ["window_start"])
+
+
+@query("stream_score", with_("scored") + """
+SELECT tx_id AS id, ml_probability, ml_risk_level, ml_risk_score, final_risk_level,
+       final_risk_score, policy_override_applied, suspicious_signal_count FROM scored""")
+def stream_score(spark, sf):
+    """Orders replayed as a stream, joined stream-static to customers and
+    suppliers, scored per micro-batch and appended to the log table."""
+    base = scratch_path(spark, "stream-score")
+    tx_stream = fixtures.transactions(spark, sf, orders=fixtures.orders_stream(spark, sf))
+    q = G.start_score_stream(tx_stream, C.config(spark, sf), f"{base}/logs", f"{base}/quarantine",
+                             f"{base}/ckpt")
+    q.awaitTermination()
+    return IO.read_logs(spark, f"{base}/logs").select(
+        "id", "ml_probability", "ml_risk_level", "ml_risk_score", "final_risk_level",
+        "final_risk_score", "policy_override_applied", "suspicious_signal_count")

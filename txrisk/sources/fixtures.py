@@ -46,10 +46,26 @@ def _case(col: F.Column, mapping: dict) -> F.Column:
     return expr
 
 
-def transactions(spark: SparkSession, sf_dir: str, with_prob: bool = True) -> DataFrame:
+def orders_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
+    """The orders file replayed as a file stream (same schema as the batch read)."""
+    schema = read_table(spark, sf_dir, "orders").schema
+    r = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet")
+    if max_files:
+        r = r.option("maxFilesPerTrigger", max_files)
+    return r.parquet(sf_dir)
+
+
+def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = read_table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def transactions(spark: SparkSession, sf_dir: str, with_prob: bool = True,
+                 orders: DataFrame | None = None) -> DataFrame:
     """tx_id, created_at, step, type, amount, nameOrig, balances, nameDest, labels
-    (+ prob, a fixed stand-in model probability)."""
-    o = read_table(spark, sf_dir, "orders").select(
+    (+ prob, a fixed stand-in model probability). ``orders`` may be a
+    streaming frame: the customer and supplier joins are then stream-static."""
+    o = (orders if orders is not None else read_table(spark, sf_dir, "orders")).select(
         "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
     # Only ten supplier keys are referenced: the filter reaches the scan and
