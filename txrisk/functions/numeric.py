@@ -14,6 +14,16 @@ def _split(x: Column):
     return hi, x - hi
 
 
+def _is_attribute(c: Column) -> bool:
+    """True for a bare column reference (cheap to repeat in an expression)."""
+    try:
+        jc = c._jc
+        node = jc.node() if hasattr(jc, "node") else jc.expr()
+        return node.getClass().getSimpleName() in ("UnresolvedAttribute", "AttributeReference")
+    except Exception:  # noqa: BLE001 - other Column implementations
+        return False
+
+
 def py_round(x: Column, digits: int) -> Column:
     """``round(x, digits)`` as Python computes it on a float.
 
@@ -40,9 +50,11 @@ def py_round(x: Column, digits: int) -> Column:
                    .otherwise(F.rint(p)))
         return rounded / F.lit(m)
 
-    # ``v`` is bound once: the input expression is not copied into each of
-    # the many references the exact rounding needs (Catalyst would otherwise
-    # inline it, e.g. when a filter on a derived column is pushed down).
+    if _is_attribute(x):
+        return body(x)
+    # A compound input is bound once: it is not copied into each of the many
+    # references the exact rounding needs (Catalyst would otherwise inline it,
+    # e.g. when a filter on a derived column is pushed down).
     return F.transform(F.array(x), body)[0]
 
 
@@ -54,3 +66,11 @@ def safe_div(num: Column, den: Column, default: float = 0.0) -> Column:
 def guarded_ratio(num: Column, den: Column) -> Column:
     """num / den, 0.0 on a zero or empty denominator (metric convention)."""
     return F.when(den != 0, num.cast("double") / den.cast("double")).otherwise(F.lit(0.0))
+
+
+def round_half_up_fast(x: Column, digits: int) -> Column:
+    """floor(x * 10^d + 0.5) / 10^d in plain double arithmetic (generated code,
+    no BigDecimal). For rounding that only exists to compare engines; the
+    oracle SQL applies the same formula."""
+    m = float(10 ** digits)
+    return F.floor(x * F.lit(m) + F.lit(0.5)) / F.lit(m)

@@ -1,12 +1,12 @@
 """Explanations as Spark jobs.
 
-Per-row contributions form a long table (id, feature, value, contribution).
-For a linear model they are exact column expressions: coef * (x - mean) /
-scale, joined from a coefficient table with one row per feature (broadcast,
-bounded by the feature count). Forest contributions (path attribution) run in
-``mapInPandas`` over partitions with the tree arrays broadcast; see
-``forest_contributions``. Rankings are windows partitioned by row id, so no
-task ever sees more than one transaction's features at a time.
+Linear contributions are exact column expressions, coef * (x - mean) /
+scale, computed wide (one column per feature) in a single projection. Per-row
+rankings (top reasons, explained alerts) are array sorts inside the row and
+global importance is one wide aggregation, so none of these shuffles by row
+id; the long table (id, feature, value, contribution) is produced only when
+asked for. Forest contributions (path attribution) run in ``mapInPandas``
+over partitions with the tree arrays broadcast; see ``forest_contributions``.
 """
 
 from __future__ import annotations
@@ -21,50 +21,133 @@ TOP_K_DEFAULT = 6
 
 # --------------------------------------------------------------------------- coefficients
 
-def correlation_coefficients(df: DataFrame, features: list[str], label: str = "isFraud") -> DataFrame:
-    """Coefficient table of a standardized linear scorer whose weight per
-    feature is its Pearson correlation with the label: (feature, coef, mean,
-    scale). One aggregation pass; a constant feature gets coef 0."""
-    aggs = []
-    y = F.col(label).cast("double")
-    for i, f in enumerate(features):
-        x = F.col(f).cast("double")
-        den = F.stddev_samp(x) * F.stddev_samp(y)
-        aggs += [F.when(den > 0, F.covar_samp(x, y) / den).otherwise(F.lit(0.0)).alias(f"c{i}"),
-                 F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}")]
-    wide = df.agg(*aggs)
-    stack = ", ".join(f"'{f}', c{i}, m{i}, s{i}" for i, f in enumerate(features))
-    return wide.selectExpr(f"stack({len(features)}, {stack}) AS (feature, coef, mean, scale)")
+def correlation_coefficients(df: DataFrame, features: list[str], label: str = "isFraud") -> dict:
+    """Coefficients of a standardized linear scorer whose weight per feature
+    is its Pearson correlation with the label: {feature: (coef, mean, scale)}.
+    One aggregation pass; a constant feature gets coef 0. The result has one
+    entry per feature (bounded), so it is read to the driver as literals."""
+    # long form (feature, x, y): a few buffers per group keep the aggregation
+    # in generated code (one row of ~100 buffers would not)
+    stack = ", ".join(f"'{f}', CAST(`{f}` AS DOUBLE)" for f in features)
+    long = df.selectExpr(f"CAST(`{label}` AS DOUBLE) AS y", f"stack({len(features)}, {stack}) AS (f, x)")
+    den = F.stddev_samp("x") * F.stddev_samp("y")
+    rows = long.groupBy("f").agg(
+        F.when(den > 0, F.covar_samp("x", "y") / den).otherwise(F.lit(0.0)).alias("c"),
+        F.avg("x").alias("m"), F.stddev_samp("x").alias("s")).collect()
+    got = {r["f"]: (r["c"], r["m"], r["s"]) for r in rows}
+    return {f: got.get(f, (0.0, 0.0, 0.0)) for f in features}
 
 
-def model_coefficients(spark, features: list[str], coef: list[float], mean: list[float],
-                       scale: list[float]) -> DataFrame:
-    """Coefficient table from a fitted scaler + linear model (one row per feature)."""
-    return spark.createDataFrame(
-        [(f, float(c), float(m), float(s)) for f, c, m, s in zip(features, coef, mean, scale)],
-        "feature string, coef double, mean double, scale double")
+def model_coefficients(features: list[str], coef: list[float], mean: list[float],
+                       scale: list[float]) -> dict:
+    """Coefficients of a fitted scaler + linear model, same layout."""
+    return {f: (float(c), float(m), float(s)) for f, c, m, s in zip(features, coef, mean, scale)}
 
 
 # --------------------------------------------------------------------------- contributions
 
-def unpivot(df: DataFrame, id_col: str, features: list[str]) -> DataFrame:
-    """(id, feature, value) long form."""
-    stack = ", ".join(f"'{f}', CAST(`{f}` AS DOUBLE)" for f in features)
-    return df.selectExpr(f"`{id_col}`", f"stack({len(features)}, {stack}) AS (feature, value)")
+def _c(f: str) -> str:
+    return f"contrib__{f}"
 
 
-def linear_contributions(df: DataFrame, coefs: DataFrame, features: list[str],
+def linear_contributions_wide(df: DataFrame, coefs: dict, features: list[str],
+                              keep: list[str], digits: int | None = None) -> DataFrame:
+    """X1, wide: keep columns, each feature value (as double) and its
+    contribution ``contrib__<feature>`` = coef * (value - mean) / scale (0 when
+    scale is 0 or missing). One projection; no shuffle."""
+    cols = []
+    for f in features:
+        coef, mean, scale = coefs[f]
+        x = F.col(f).cast("double")
+        z = (x - F.lit(mean)) / F.lit(scale) if scale and scale > 0 else F.lit(0.0)
+        cols.append((F.lit(coef) * z).alias(_c(f)))
+    wide = df.select(*keep, *[F.col(f).cast("double").alias(f) for f in features], *cols)
+    if digits is not None:
+        # rounding only to compare engines (last-bit noise), not a semantic of
+        # the scorer, so Spark's own round() is enough here
+        from txrisk.functions.numeric import round_half_up_fast
+        wide = wide.select(*keep, *features,
+                           *[round_half_up_fast(F.col(_c(f)), digits).alias(_c(f)) for f in features])
+    return wide
+
+
+def wide_to_long(wide: DataFrame, features: list[str], id_col: str = "tx_id") -> DataFrame:
+    """X1, long: (id, feature, value, contribution)."""
+    stack = ", ".join(f"'{f}', `{f}`, `{_c(f)}`" for f in features)
+    return wide.selectExpr(f"`{id_col}`",
+                           f"stack({len(features)}, {stack}) AS (feature, value, contribution)")
+
+
+def linear_contributions(df: DataFrame, coefs: dict, features: list[str],
                          id_col: str = "tx_id") -> DataFrame:
-    """(id, feature, value, contribution) with contribution =
-    coef * (value - mean) / scale (0 when scale is 0 or missing)."""
-    long = unpivot(df, id_col, features)
-    z = F.when(F.col("scale") > 0, (F.col("value") - F.col("mean")) / F.col("scale")).otherwise(F.lit(0.0))
-    return (long.join(F.broadcast(coefs), "feature")  # one row per feature
-            .select(id_col, "feature", "value", (F.col("coef") * z).alias("contribution")))
+    return wide_to_long(linear_contributions_wide(df, coefs, features, [id_col]), features, id_col)
+
+
+def global_importance_wide(wide: DataFrame, features: list[str]) -> DataFrame:
+    """Mean |contribution| per feature in one aggregation pass."""
+    a = wide.agg(*[F.avg(F.abs(F.col(_c(f)))).alias(f"i{i}") for i, f in enumerate(features)])
+    stack = ", ".join(f"'{f}', i{i}" for i, f in enumerate(features))
+    return a.selectExpr(f"stack({len(features)}, {stack}) AS (feature, mean_abs_contribution)")
+
+
+def _items(features: list[str], keep) -> Column:
+    """Per-row array with one slot per feature: a struct ordered by
+    (-contribution, name rank) where ``keep(contribution)`` holds, else null.
+    The name rank is the feature's position in alphabetical order, so ties
+    break by name while the sort compares numbers only."""
+    rank = {f: i for i, f in enumerate(sorted(features))}
+    return F.array(*[F.when(keep(F.col(_c(f))), F.struct(
+        (-F.col(_c(f))).alias("neg"), F.lit(rank[f]).alias("name_rank"),
+        F.col(f).alias("value"), F.col(_c(f)).alias("contribution"))) for f in features])
+
+
+def feature_of(features: list[str], name_rank: Column) -> Column:
+    """Feature name from its alphabetical rank."""
+    return F.element_at(F.array(*[F.lit(f) for f in sorted(features)]), name_rank + 1)
+
+
+def _count(features: list[str], keep) -> Column:
+    return sum((keep(F.col(_c(f))).cast("int") for f in features), F.lit(0))
+
+
+def reasons_toward(features: list[str], k: int) -> Column:
+    """Top k positive contributions of the row, largest first (ties by
+    feature). ``sort_array`` puts the null slots first and orders the rest by
+    (-contribution, name rank); row-local, no lambda, no shuffle. Items are
+    struct<neg, name_rank, value, contribution>; see ``feature_of``."""
+    pos = lambda c: c > 0
+    nulls = F.lit(len(features)) - _count(features, pos)
+    return F.slice(F.sort_array(_items(features, pos)), nulls + 1, k)
+
+
+def reasons_against(features: list[str], k: int) -> Column:
+    """The last k of the descending order among negative contributions."""
+    neg = lambda c: c < 0
+    n = len(features)
+    start = F.greatest(F.lit(n - k + 1), F.lit(n) - _count(features, neg) + 1)
+    return F.slice(F.sort_array(_items(features, neg)), start, k)
+
+
+def top_reasons_wide(wide: DataFrame, features: list[str], k: int = TOP_K_DEFAULT,
+                     id_col: str = "tx_id") -> DataFrame:
+    """X5 from the wide frame: (id, direction, rank, feature, value, contribution).
+    The two reason arrays are built once per row, then each is exploded in
+    its own branch (a literal direction per branch lets a filter on it prune
+    a whole branch)."""
+    arrs = wide.select(id_col, reasons_toward(features, k).alias("_tw"),
+                       reasons_against(features, k).alias("_ag"))
+
+    def part(col: str, direction: str) -> DataFrame:
+        e = arrs.select(id_col, F.posexplode(col).alias("pos", "r"))
+        return e.select(id_col, F.lit(direction).alias("direction"), (F.col("pos") + 1).alias("rank"),
+                        feature_of(features, F.col("r.name_rank")).alias("feature"),
+                        "r.value", "r.contribution")
+
+    return part("_tw", "fraud").unionByName(part("_ag", "not_fraud"))
 
 
 def global_importance(contrib: DataFrame, k: int | None = None) -> DataFrame:
-    """Mean |contribution| per feature, largest first."""
+    """X3 on a long table: mean |contribution| per feature, largest first."""
     g = contrib.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs_contribution"))
     return g.orderBy(F.desc("mean_abs_contribution"), "feature").limit(k) if k else g
 
@@ -76,9 +159,9 @@ def dependence(contrib: DataFrame, features: list[str]) -> DataFrame:
 
 def top_reasons(contrib: DataFrame, k: int = TOP_K_DEFAULT, id_col: str = "tx_id",
                 by: str = "contribution") -> DataFrame:
-    """Per row, the k largest positive contributions (rank 1 = largest)
-    and the k most negative ones, i.e. the last k of the descending order
-    (rank 1 = the one nearest zero, as in that order). Ties by feature name."""
+    """X5 on a long table (e.g. forest contributions): per row, the k largest
+    positive contributions (rank 1 = largest) and the k most negative ones,
+    i.e. the last k of the descending order. Ties by feature name."""
     pos = contrib.where(F.col(by) > 0)
     neg = contrib.where(F.col(by) < 0)
     wp = Window.partitionBy(id_col).orderBy(F.desc(by), F.asc("feature"))
@@ -135,24 +218,22 @@ def reason_text(feature: Column, value: Column) -> Column:
     return expr.otherwise(F.concat(F.lit(a), feature, F.lit(b)))
 
 
-def explained_alerts(scored: DataFrame, reasons: DataFrame, id_col: str = "tx_id") -> DataFrame:
-    """One record per alerted row with its ordered top reasons. The
-    per-row list is at most k items (collect_list over a bounded group)."""
-    items = (reasons.where(F.col("direction") == "fraud")
-             .select(id_col, F.struct("rank", "feature", "value",
-                                      F.col("contribution").alias("shap_contribution"),
-                                      reason_text(F.col("feature"), F.col("value")).alias("reason_text"))
-                     .alias("r")))
-    lists = items.groupBy(id_col).agg(F.array_sort(F.collect_list("r")).alias("top_reasons"))
-    base = scored.where(F.col("alert").isNotNull()).select(
+def explained_alerts(scored_wide: DataFrame, features: list[str], k: int = TOP_K_DEFAULT,
+                     id_col: str = "tx_id") -> DataFrame:
+    """One record per alerted row with its ordered top reasons toward
+    fraud and their texts. Works on a scored frame that also carries the wide
+    contribution columns, so every record is built row-locally."""
+    top = F.transform(reasons_toward(features, k), lambda r: F.struct(
+        feature_of(features, r["name_rank"]).alias("feature"), r["value"].alias("value"),
+        r["contribution"].alias("shap_contribution"),
+        reason_text(feature_of(features, r["name_rank"]), r["value"]).alias("reason_text")))
+    return scored_wide.where(F.col("alert").isNotNull()).select(
         id_col, F.col("alert.alert_id").alias("alert_id"),
         F.col("alert.transaction_ref").alias("transaction_ref"),
         F.col("alert.created_at").alias("created_at_utc"),
         F.col("ml_probability").alias("fraud_probability"),
         F.col("ml_risk_score").alias("risk_score"), F.col("ml_risk_level").alias("risk_level"),
-        F.col("ml_action").alias("recommended_action"))
-    return base.join(lists, id_col, "left").withColumn(
-        "top_reasons", F.coalesce("top_reasons", F.array().cast(lists.schema["top_reasons"].dataType)))
+        F.col("ml_action").alias("recommended_action"), top.alias("top_reasons"))
 
 
 # --------------------------------------------------------------------------- forests

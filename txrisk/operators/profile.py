@@ -125,17 +125,16 @@ def boxplot_stats(df: DataFrame, cols: list[str], group: str) -> DataFrame:
 
 
 def correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Pearson correlation for many pairs in one aggregation pass, long form."""
-    # cov / (sd_a * sd_b) with a guarded division: under ANSI, corr() raises on a
-    # constant column, this returns null for it instead.
-    aggs = []
-    for i, (a, b) in enumerate(pairs):
-        x, y = F.col(a).cast("double"), F.col(b).cast("double")
-        den = F.stddev_samp(x) * F.stddev_samp(y)
-        aggs.append(F.when(den > 0, F.covar_samp(x, y) / den).alias(f"c{i}"))
-    wide = df.agg(*aggs)
-    stack = ", ".join(f"'{a}', '{b}', c{i}" for i, (a, b) in enumerate(pairs))
-    return wide.selectExpr(f"stack({len(pairs)}, {stack}) AS (col_a, col_b, corr)")
+    """Pearson correlation for many pairs in one pass, long form. Rows are
+    unpivoted to (col_a, col_b, x, y) and grouped by pair: few buffers per
+    group (generated code) and map-side partial aggregation. cov / (sd_a *
+    sd_b) with a guarded division: under ANSI, corr() raises on a constant
+    column; this returns null for it instead."""
+    stack = ", ".join(f"'{a}', '{b}', CAST(`{a}` AS DOUBLE), CAST(`{b}` AS DOUBLE)" for a, b in pairs)
+    long = df.selectExpr(f"stack({len(pairs)}, {stack}) AS (col_a, col_b, x, y)")
+    den = F.stddev_samp("x") * F.stddev_samp("y")
+    return long.groupBy("col_a", "col_b").agg(
+        F.when(den > 0, F.covar_samp("x", "y") / den).alias("corr"))
 
 
 def imbalance(df: DataFrame, label: str = "isFraud") -> DataFrame:

@@ -6,7 +6,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from txrisk.functions.numeric import py_round
 from txrisk.operators import explain as X
 from txrisk.plans import context as C
 from txrisk.plans.oracle_base import with_
@@ -31,11 +30,12 @@ _CONTRIB = with_("feat") + f"""
 , coefs AS ({_COEFS})
 , contrib AS (
   SELECT l.tx_id, l.feature, l.value,
-         round(c.coef * CASE WHEN c.scale > 0 THEN (l.value - c.mean) / c.scale ELSE CAST(0 AS DOUBLE) END, 6)
-           AS contribution
+         floor(c.coef * CASE WHEN c.scale > 0 THEN (l.value - c.mean) / c.scale ELSE CAST(0 AS DOUBLE) END
+               * CAST(1000000 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(1000000 AS DOUBLE) AS contribution
   FROM ({_LONG}) l JOIN coefs c ON c.feature = l.feature)
 , imp AS (
-  SELECT feature, round(avg(abs(contribution)), 6) AS mean_abs_contribution FROM contrib GROUP BY feature)
+  SELECT feature, floor(avg(abs(contribution)) * CAST(1000000 AS DOUBLE) + CAST(0.5 AS DOUBLE))
+                  / CAST(1000000 AS DOUBLE) AS mean_abs_contribution FROM contrib GROUP BY feature)
 , ranked AS (
   SELECT * FROM (
     SELECT tx_id, feature, value, contribution, 'fraud' AS direction,
@@ -62,15 +62,43 @@ _TEXT = ("CASE feature "
          + " ELSE feature || ' contributed to fraud risk.' END")
 
 
+_KEY = "tx_id"
+
+
+_COEFS_MEMO: dict = {}
+
+
+def _rounded_features(spark, sf):
+    return C.features(spark, sf).withColumn("log_amount", F.round(F.col("log_amount"), 9))
+
+
+def coefficients(spark, sf):
+    """The scorer's coefficients, fitted once per session and input."""
+    k = C._key(spark, sf)
+    if k not in _COEFS_MEMO:
+        _COEFS_MEMO[k] = X.correlation_coefficients(_rounded_features(spark, sf), MODEL_COLUMNS,
+                                                    "isFraud")
+    return _COEFS_MEMO[k]
+
+
+def _wide(spark, sf, extra: list[str] | None = None):
+    """Features with the wide contribution columns (6 places)."""
+    return X.linear_contributions_wide(_rounded_features(spark, sf), coefficients(spark, sf),
+                                       MODEL_COLUMNS, [_KEY, *(extra or [])], digits=6)
+
+
 def _contrib(spark, sf):
-    f = C.features(spark, sf).withColumn("log_amount", py_round(F.col("log_amount"), 9))
-    coefs = X.correlation_coefficients(f, MODEL_COLUMNS, "isFraud")
-    c = X.linear_contributions(f, coefs, MODEL_COLUMNS)
-    return c.withColumn("contribution", py_round(F.col("contribution"), 6))
+    return X.wide_to_long(_wide(spark, sf), MODEL_COLUMNS, _KEY)
 
 
 def _reasons(spark, sf):
-    return X.top_reasons(_contrib(spark, sf), TOP_K)
+    return X.top_reasons_wide(_wide(spark, sf), MODEL_COLUMNS, TOP_K, _KEY)
+
+
+def _importance(spark, sf):
+    g = X.global_importance_wide(_wide(spark, sf), MODEL_COLUMNS)
+    from txrisk.functions.numeric import round_half_up_fast
+    return g.withColumn("mean_abs_contribution", round_half_up_fast(F.col("mean_abs_contribution"), 6))
 
 
 @query("contrib_linear", _CONTRIB + "SELECT tx_id, feature, value, contribution FROM contrib")
@@ -83,11 +111,10 @@ def contrib_linear(spark, sf):
 SELECT feature, mean_abs_contribution,
        row_number() OVER (ORDER BY mean_abs_contribution DESC, feature) AS rank FROM imp""")
 def global_importance(spark, sf):
+    """Mean |contribution| per feature (one wide aggregation), ranked."""
     from pyspark.sql import Window
-    g = X.global_importance(_contrib(spark, sf)).withColumn(
-        "mean_abs_contribution", py_round(F.col("mean_abs_contribution"), 6))
     # ranks over one row per feature (29 rows)
-    return g.withColumn("rank", F.row_number().over(
+    return _importance(spark, sf).withColumn("rank", F.row_number().over(
         Window.orderBy(F.desc("mean_abs_contribution"), "feature")))
 
 
@@ -97,16 +124,17 @@ JOIN (SELECT feature FROM imp ORDER BY mean_abs_contribution DESC, feature LIMIT
   ON t.feature = c.feature""")
 def dependence(spark, sf):
     """(value, contribution) pairs of the two most important features."""
-    c = _contrib(spark, sf)
-    top = (X.global_importance(c).withColumn("m", py_round(F.col("mean_abs_contribution"), 6))
-           .orderBy(F.desc("m"), "feature").limit(2).collect())
-    return X.dependence(c, [r["feature"] for r in top])
+    top = _importance(spark, sf).orderBy(F.desc("mean_abs_contribution"), "feature").limit(2).collect()
+    feats = [r["feature"] for r in top]
+    return X.wide_to_long(_wide(spark, sf).select(_KEY, *feats, *[f"contrib__{f}" for f in feats]),
+                          feats, _KEY)
 
 
 @query("top_reasons", _CONTRIB + "SELECT tx_id, direction, rank, feature, value, contribution FROM ranked")
 def top_reasons(spark, sf):
-    """Top 8 contributions toward fraud and the 8 most negative, per row."""
-    return _reasons(spark, sf).select("tx_id", "direction", "rank", "feature", "value", "contribution")
+    """Top 8 contributions toward fraud and the 8 most negative, per row
+    (array sort inside each row: no shuffle)."""
+    return _reasons(spark, sf)
 
 
 @query("reason_text", _CONTRIB + f"""
@@ -131,10 +159,14 @@ SELECT 'ALT-' || strftime(s.created_at, '%Y%m%d%H%M%S') || '-' || CAST(s.tx_id A
 FROM scored s LEFT JOIN lists l ON l.tx_id = s.tx_id
 WHERE s.final_risk_level <> 'LOW'""")
 def explained_alerts(spark, sf):
-    """Each alert with its ranked reasons toward fraud and their texts."""
-    from txrisk.operators.scoring import with_alerts
-    scored = with_alerts(C.scored(spark, sf))
-    e = X.explained_alerts(scored, _reasons(spark, sf))
+    """Each alert with its ranked reasons toward fraud and their texts, built
+    inside each row from the wide contributions."""
+    from txrisk.operators.scoring import score, with_alerts
+    scored = with_alerts(score(_rounded_features(spark, sf)))
+    wide = X.linear_contributions_wide(
+        scored, coefficients(spark, sf), MODEL_COLUMNS,
+        [_KEY, "alert", "ml_probability", "ml_risk_score", "ml_risk_level", "ml_action"], digits=6)
+    e = X.explained_alerts(wide, MODEL_COLUMNS, TOP_K, _KEY)
     return e.select("alert_id", "transaction_ref", "fraud_probability", "risk_score", "risk_level",
                     "recommended_action", F.size("top_reasons").cast("long").alias("n_reasons"),
                     F.concat_ws("|", F.transform("top_reasons", lambda r: r["feature"])).alias("top_features"),
