@@ -16,6 +16,7 @@ from txrisk.sources import fixtures
 
 _CONFIGS: dict = {}
 _TX: dict = {}
+_LOG_TABLES: dict = {}
 
 
 def _key(spark: SparkSession, sf_dir: str):
@@ -47,3 +48,21 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_records(scored(spark, sf_dir))
+
+
+def log_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prediction log as a stored table: scored once per session and input,
+    appended to a Parquet table in the shared folder and read back. Monitoring
+    queries read this table (as the dashboards read the log), so their
+    filters and projections reach the Parquet scan instead of re-running the
+    scoring chain."""
+    from txrisk.schema import LOG_SCHEMA
+    from txrisk.session import scratch_path
+    from txrisk.sources import io as IO
+
+    k = _key(spark, sf_dir)
+    if k not in _LOG_TABLES:
+        path = scratch_path(spark, "prediction_logs")
+        IO.append_logs(logs(spark, sf_dir), path, batch_id=0, grain="month")
+        _LOG_TABLES[k] = path
+    return IO.read_logs(spark, _LOG_TABLES[k]).select(*[f.name for f in LOG_SCHEMA.fields])

@@ -283,7 +283,7 @@ SELECT 'ALT-' || strftime(created_at, '%Y%m%d%H%M%S') || '-' || CAST(tx_id AS VA
        'PENDING_REVIEW' AS status
 FROM scored WHERE final_risk_level <> 'LOW'""")
 def alerts(spark, sf):
-    lg = C.logs(spark, sf)
+    lg = C.log_table(spark, sf)
     return (lg.where(F.col("alert").isNotNull()).select("alert.*")
             .withColumn("reasons", F.concat_ws("|", "reasons")))
 

@@ -29,7 +29,7 @@ def _sim(spark, sf):
 
 
 def _stored(spark, sf):
-    return C.logs(spark, sf).select(
+    return C.log_table(spark, sf).select(
         F.col("id").cast("string").alias("id"), "created_at", "ml_probability", "ml_risk_level",
         "ml_risk_score", "final_risk_level", "final_risk_score", "policy_override_applied",
         "policy_reasons", "suspicious_signal_count")
@@ -61,7 +61,7 @@ SELECT id, created_at, type AS tx_type, amount AS tx_amount, ml_probability, fin
 FROM logs""")
 def log_decode(spark, sf):
     """Log rows through the JSON text layout and back (NULL-safe decode)."""
-    d = IO.decode_log(IO.encode_log(C.logs(spark, sf)))
+    d = IO.decode_log(IO.encode_log(C.log_table(spark, sf)))
     return d.select("id", "created_at", F.col("transaction.type").alias("tx_type"),
                     F.col("transaction.amount").alias("tx_amount"), "ml_probability",
                     "final_risk_level", F.size("policy_reasons").alias("n_reasons"),
@@ -76,7 +76,7 @@ _TX_FIELDS = ["step", "type", "amount", "oldbalanceOrg", "newbalanceOrig", "oldb
     f'{c} AS "transaction.{c}"' for c in _TX_FIELDS) + ", final_risk_level FROM logs")
 def log_flatten(spark, sf):
     """Nested log records flattened to dotted column names."""
-    flat = IO.flatten(C.logs(spark, sf).select("id", "transaction", "final_risk_level"),
+    flat = IO.flatten(C.log_table(spark, sf).select("id", "transaction", "final_risk_level"),
                       ["transaction"])
     return flat
 
@@ -105,13 +105,13 @@ SELECT count(*) AS total_scored,
        coalesce(round(avg(final_risk_score), 2), 0) AS avg_risk_score
 FROM logs""")
 def stats(spark, sf):
-    return M.stats(C.logs(spark, sf))
+    return M.stats(C.log_table(spark, sf))
 
 
 @query("risk_distribution", with_("logs") + """
 SELECT final_risk_level, count(*) AS count FROM logs GROUP BY final_risk_level""")
 def risk_distribution(spark, sf):
-    return M.risk_distribution(C.logs(spark, sf))
+    return M.risk_distribution(C.log_table(spark, sf))
 
 
 _PCT = "round(CASE WHEN {d} > 0 THEN CAST({n} AS DOUBLE) / CAST({d} AS DOUBLE) ELSE 0 END * CAST(100 AS DOUBLE), {p})"
@@ -128,7 +128,7 @@ FROM (SELECT count(*) AS total, count(*) FILTER (WHERE final_risk_level = 'CRITI
              CAST(coalesce(sum(policy_override_applied), 0) AS BIGINT) AS n_overrides,
              avg(policy_override_applied) AS ov, avg(final_risk_score) AS av FROM logs) a""")
 def kpis(spark, sf):
-    return M.kpis(C.logs(spark, sf))
+    return M.kpis(C.log_table(spark, sf))
 
 
 @query("risk_distribution_filled", with_("logs") + f"""
@@ -140,7 +140,7 @@ FROM (SELECT CAST(i AS INTEGER) AS level_rank,
 CROSS JOIN (SELECT count(*) AS total FROM logs) t
 LEFT JOIN (SELECT final_risk_level AS level, count(*) AS n FROM logs GROUP BY 1) c ON c.level = l.level""")
 def risk_distribution_filled(spark, sf):
-    return M.distribution_filled(C.logs(spark, sf))
+    return M.distribution_filled(C.log_table(spark, sf))
 
 
 @query("alert_trend", with_("logs", "sim_scored") + _UNION_CTE + """
@@ -169,7 +169,7 @@ SELECT reason, count,
        round(CAST(count AS DOUBLE) / CAST(max(count) OVER () AS DOUBLE) * CAST(100 AS DOUBLE), 6) AS bar_pct
 FROM c""")
 def top_reasons_overall(spark, sf):
-    return M.top_override_reasons(C.logs(spark, sf), 5)
+    return M.top_override_reasons(C.log_table(spark, sf), 5)
 
 
 @query("sim_stats", with_("sim_scored") + """
@@ -197,7 +197,7 @@ _RECENT_COLS = ["id", "created_at", "final_risk_level", "final_risk_score", "ml_
 @query("recent_logs", with_("logs") + f"""
 SELECT {', '.join(_RECENT_COLS)} FROM logs ORDER BY id DESC LIMIT 50""")
 def recent_logs(spark, sf):
-    return M.recent(C.logs(spark, sf), 50, _RECENT_COLS)
+    return M.recent(C.log_table(spark, sf), 50, _RECENT_COLS)
 
 
 @query("recent_table", with_("logs") + """
@@ -205,7 +205,7 @@ SELECT id, strftime(created_at, '%Y-%m-%d %H:%M') AS created_at, round(ml_probab
        ml_risk_level, final_risk_level, final_risk_score, policy_override_applied
 FROM logs ORDER BY id DESC LIMIT 40""")
 def recent_table(spark, sf):
-    r = M.recent(C.logs(spark, sf), 40)
+    r = M.recent(C.log_table(spark, sf), 40)
     return r.select("id", F.date_format("created_at", "yyyy-MM-dd HH:mm").alias("created_at"),
                     py_round(F.col("ml_probability"), 4).alias("ml_probability"), "ml_risk_level",
                     "final_risk_level", "final_risk_score", "policy_override_applied")
@@ -220,7 +220,7 @@ SELECT {', '.join(_Q_COLS)} FROM logs
 WHERE final_risk_level IN ('HIGH', 'CRITICAL') AND final_risk_score >= 70
 ORDER BY id DESC LIMIT 200""")
 def alert_queue(spark, sf):
-    return M.alert_queue(C.logs(spark, sf)).select(*_Q_COLS)
+    return M.alert_queue(C.log_table(spark, sf)).select(*_Q_COLS)
 
 
 @query("log_explain", with_("logs") + f"""
@@ -231,7 +231,7 @@ SELECT id AS log_id, step, type, amount, ml_probability, ml_risk_level, ml_risk_
 FROM logs WHERE id = {EXPLAIN_LOG_ID}""")
 def log_explain(spark, sf):
     """Point lookup of one log entry with its nested explanation."""
-    e = M.explain_log(C.logs(spark, sf), EXPLAIN_LOG_ID)
+    e = M.explain_log(C.log_table(spark, sf), EXPLAIN_LOG_ID)
     return e.select("log_id", "transaction.step", "transaction.type", "transaction.amount",
                     F.col("ml.probability").alias("ml_probability"),
                     F.col("ml.level").alias("ml_risk_level"), F.col("ml.score").alias("ml_risk_score"),

@@ -30,7 +30,7 @@ SELECT CAST(created_at AS DATE) AS date, final_risk_level, count(*) AS n
 FROM logs GROUP BY 1, 2""")
 def daily_alerts(spark, sf):
     """Log rows per day and final level (batch twin of the live trend)."""
-    return G.daily_level_counts(C.logs(spark, sf))
+    return G.daily_level_counts(C.log_table(spark, sf))
 
 
 @query("stream_velocity", _HOURLY_SQL)

@@ -29,11 +29,13 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         b = b.config(k, v)
     b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
     b = b.config("spark.driver.memory", os.environ.get("TXRISK_DRIVER_MEMORY", "8g"))
-    # Wide projections generate methods above the JVM's 8 KB JIT limit; without
-    # this they run interpreted. On a cluster set the same flag in
-    # spark.executor.extraJavaOptions.
-    b = b.config("spark.driver.extraJavaOptions",
-                 os.environ.get("TXRISK_JAVA_OPTS", "-XX:-DontCompileHugeMethods"))
+    # Wide projections generate methods above the JVM's 8 KB JIT limit, which
+    # then run interpreted. At scale, set TXRISK_JAVA_OPTS=-XX:-DontCompileHugeMethods
+    # here and in spark.executor.extraJavaOptions; on small inputs the extra
+    # compile time costs more than it saves, so it is off by default.
+    extra = os.environ.get("TXRISK_JAVA_OPTS")
+    if extra:
+        b = b.config("spark.driver.extraJavaOptions", extra)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
