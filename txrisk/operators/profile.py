@@ -41,11 +41,12 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 
 
 def value_shares(df: DataFrame, col: str) -> DataFrame:
-    """Counts and percent of total. The total comes from a window over
-    the already-aggregated (tiny) table."""
+    """Counts and percent of total (the total is one scalar, so any number
+    of distinct values stays distributed)."""
     vc = value_counts(df, col)
-    tot = F.sum("n").over(Window.partitionBy())
-    return vc.withColumn("pct", F.col("n").cast("double") * F.lit(100.0) / tot.cast("double"))
+    tot = float(vc.agg(F.sum("n")).first()[0] or 0)
+    return vc.withColumn("pct", F.when(F.lit(tot) > 0, F.col("n").cast("double") * F.lit(100.0)
+                                       / F.lit(tot)).otherwise(F.lit(0.0)))
 
 
 def crosstab(df: DataFrame, row: str, col: str, values: list, names: list[str]) -> DataFrame:
