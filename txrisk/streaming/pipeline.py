@@ -86,10 +86,21 @@ def start_score_stream(tx_stream: DataFrame, cfg: FeatureConfig, log_path: str,
     return w.start()
 
 
-def start_window_stream(agg: DataFrame, path: str, checkpoint: str, available_now: bool = True):
-    """Windowed aggregate in update mode through an idempotent batch sink."""
-    w = (agg.writeStream.outputMode("update")
-         .foreachBatch(lambda df, bid: write_batch(df, path, bid))
-         .option("checkpointLocation", checkpoint))
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-    return w.start()
+def start_window_stream(agg: DataFrame, path: str, checkpoint: str, available_now: bool = True,
+                        state_partitions: int | None = None):
+    """Windowed aggregate in update mode through an idempotent batch sink.
+    The state store keeps the shuffle partition count the query starts with
+    (AQE does not resize streaming state), so it is set to the cluster's
+    parallelism unless given."""
+    spark = agg.sparkSession
+    n = state_partitions or spark.sparkContext.defaultParallelism
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    try:
+        w = (agg.writeStream.outputMode("update")
+             .foreachBatch(lambda df, bid: write_batch(df, path, bid))
+             .option("checkpointLocation", checkpoint))
+        w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+        return w.start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
