@@ -15,3 +15,31 @@ def test_stream_velocity_equals_batch(spark):
     s = q_stream.stream_velocity(spark, sf)
     b = q_stream.velocity_window(spark, sf)
     assert s.exceptAll(b).count() == 0 and b.exceptAll(s).count() == 0
+
+
+def test_stream_quarantine_split(spark):
+    """Invalid requests in a stream go to quarantine with their reasons."""
+    import tempfile
+    from pyspark.sql import functions as F
+    from txrisk.operators.config import FeatureConfig, step_bins
+    from txrisk.schema import REQUEST_SCHEMA
+    from txrisk.sources import io as IO
+    from txrisk.streaming import pipeline as G
+
+    d = tempfile.mkdtemp(prefix="txrisk-qstream-", dir="/tmp")
+    rows = [(1, None, 5, "TRANSFER", 10.0, 20.0, 10.0, 0.0, 10.0),
+            (2, None, 5, "DEBIT", -1.0, 20.0, 10.0, 0.0, 10.0),
+            (3, None, 900, "DEBIT", 1.0, 20.0, 19.0, 0.0, 1.0),
+            (4, None, 5, None, 1.0, 20.0, 19.0, 0.0, 1.0)]
+    spark.createDataFrame(rows, REQUEST_SCHEMA).withColumn("prob", F.lit(0.5)) \
+        .withColumn("created_at", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")) \
+        .write.parquet(f"{d}/in")
+    schema = spark.read.parquet(f"{d}/in").schema
+    cfg = FeatureConfig(1e9, 1e9, step_bins(743), 1.0,
+                        spark.createDataFrame([(5, 10)], "step int, n long"))
+    q = G.start_score_stream(spark.readStream.schema(schema).parquet(f"{d}/in"), cfg,
+                             f"{d}/logs", f"{d}/quarantine", f"{d}/ckpt")
+    q.awaitTermination()
+    assert [r.id for r in IO.read_logs(spark, f"{d}/logs").collect()] == [1]
+    bad = {r.tx_id: r.violations for r in spark.read.parquet(f"{d}/quarantine").collect()}
+    assert bad == {2: ["amount < 0"], 3: ["step beyond last bin edge"], 4: ["type missing"]}
