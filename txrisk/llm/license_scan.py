@@ -117,20 +117,19 @@ def _better(a: tuple, b: tuple) -> tuple:
 
 
 def scan_text(text: str, index: TemplateIndex, coverage: float = COVERAGE) -> list[tuple]:
-    """(template, coverage, matched, template words, start, end) of a text."""
+    """(template, coverage, matched, template words, start, end) of a text.
+
+    Where matches overlap, the one with the most matched less missing words stays.
+    """
     lower = text.lower()
     words = WORD.findall(lower)
     get = index.vocab.get
     ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
     hits = index.hits(ids)
-    if not hits:
-        return []
-    spans = None
-    out = []
+    found = []
     for t, places in sorted(hits.items()):
         size, need = len(index.ids[t]), max(1, int(HITS * index.prints[t]))
         places.sort()
-        found = []
         i = 0
         while i < len(places):                    # hits within the band of one diagonal
             k = i
@@ -139,20 +138,22 @@ def scan_text(text: str, index: TemplateIndex, coverage: float = COVERAGE) -> li
             group, i = places[i:k], k
             if len(group) < need:
                 continue
-            diag = group[len(group) // 2][0]
-            m, first, last = banded_alignment(index.ids[t], ids, diag)
+            m, first, last = banded_alignment(index.ids[t], ids, group[len(group) // 2][0])
             if m >= coverage * size:
-                found.append((-m, first, last))
-        taken: list[tuple[int, int]] = []
-        for m, first, last in sorted(found):      # best first, spans of one template apart
-            at = bisect_left(taken, (first, last))
-            if (at < len(taken) and taken[at][0] <= last) or (at and taken[at - 1][1] >= first):
-                continue
-            taken.insert(at, (first, last))
-            if spans is None:
-                spans = [x.span() for x in WORD.finditer(lower)]
-            out.append((index.names[t], -m / size, -m, size, spans[first][0], spans[last][1]))
-    return sorted(out, key=lambda x: (x[4], x[0]))
+                found.append((size - 2 * m, first, last, t, m))
+    if not found:
+        return []
+    spans = [x.span() for x in WORD.finditer(lower)]
+    taken: list[tuple[int, int]] = []
+    out = []
+    for _, first, last, t, m in sorted(found):
+        at = bisect_left(taken, (first, last))
+        if (at < len(taken) and taken[at][0] <= last) or (at and taken[at - 1][1] >= first):
+            continue
+        taken.insert(at, (first, last))
+        size = len(index.ids[t])
+        out.append((index.names[t], m / size, m, size, spans[first][0], spans[last][1]))
+    return sorted(out, key=lambda x: x[4])
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
