@@ -110,7 +110,7 @@ def join_blocks(ua, ub, xa, xb, same: bool, min_cos: float, eps: float, leaf: in
     """Link counts of both blocks and a spanning forest [(row of a, row of b)].
 
     ``ua, ub`` unit vectors, ``xa, xb`` their principal coordinates, in grid
-    order; ``same``: both are one block, whose pairs count once.
+    order; ``same``: both are one block, whose pairs count once (in the first counts).
     """
     na, nb = np.zeros(len(ua), np.int64), np.zeros(len(ub), np.int64)
     links: list[tuple[int, int]] = []
@@ -142,7 +142,7 @@ def join_blocks(ua, ub, xa, xb, same: bool, min_cos: float, eps: float, leaf: in
             if not one:
                 nb[b0:b1] += hit.sum(0)
             links += [(a0 + r, b0 + c) for r, c in _forest(hit)]
-    return na, nb, links
+    return (na + nb, nb, links) if same else (na, nb, links)
 
 
 def prepare(vectors: DataFrame, id_col: str, vec_col: str, basis: dict, eps: float,
