@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import array
 import os
 import re
 
@@ -12,7 +11,7 @@ from txrisk.llm.common import process_cache
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.tiktoken"
-CACHE = 150_000  # chunks per generation of a worker's cache
+CACHE = 300_000  # chunks per generation of a worker's cache
 
 
 def vocabulary_path(name: str, folder: str | None = None) -> str:
@@ -27,11 +26,16 @@ class WordTokenizer:
 
     The vocabulary's pre-tokenizer never joins text across white space, so a
     text's ids are the ids of its chunks between ASCII white space in order.
-    Chunks recur; their ids are cached, in two generations of bounded size.
-    ASCII letters are lower-cased first, as the vocabulary's normalizer does.
+    Chunks recur; their ids are cached, in two generations of bounded size. To
+    meet fewer different chunks, marks that end a word are set apart (a run of
+    marks is a word of its own for the vocabulary, too; not ``<|>``, which occur
+    in special tokens) and capitals are lowered as the vocabulary's normalizer
+    does.
     """
 
+    ENDING = re.compile(r"(?<=[a-zß-öø-ÿ])[!-&(-;=?@\[-`{}~]+(?![^\x20\x09-\x0d])")
     CHUNK = re.compile(r"[^\x20\x09-\x0d]+")
+    SEPARATORS = "\x1c\x1d\x1e\x1f"   # white space for str.split, not for the vocabulary
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,14 +45,14 @@ class WordTokenizer:
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
             self.ends_word[i] = token.endswith("</w>")
-        self.special = "<|"
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _encode_plain(self, chunks: list[str]) -> list[bytes] | None:
         """Ids of chunks of letters only: each is one word, so words end where
         tokens end one. None if the counts disagree."""
-        ids = np.array(self.tok.encode(" ".join(chunks), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.tok.encode_batch_fast([" ".join(chunks)], add_special_tokens=False)[0]
+                       .ids, "<u4")
         ends = np.flatnonzero(self.ends_word[ids]) + 1
         if len(ends) != len(chunks) or (len(ids) and ends[-1] != len(ids)):
             return None
@@ -60,51 +64,51 @@ class WordTokenizer:
                 for e in self.tok.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def _learn(self, missing: list[str]) -> dict[str, bytes]:
-        """Ids of new chunks. Trailing ``.`` or ``,`` is a word of its own."""
         out: dict[str, bytes] = {}
-        plain = [c for c in missing if c.isascii() and c.isalpha()]
-        tailed = [c for c in missing if c[-1] in ".," and c[:-1].isascii() and c[:-1].isalpha()]
-        rest = set(missing).difference(plain, tailed)
-        if tailed:
-            stems = [c[:-1] for c in tailed]
-            tails = dict(zip(".,", self._encode_each([".", ","])))
-            got = self._encode_plain(stems) or self._encode_each(stems)
-            out.update((c, g + tails[c[-1]]) for c, g in zip(tailed, got))
+        plain = [c for c in missing if c.isalpha()]
         if plain:
             out.update(zip(plain, self._encode_plain(plain) or self._encode_each(plain)))
+        rest = [c for c in missing if c not in out]
         if rest:
-            r = list(rest)
-            out.update(zip(r, self._encode_each(r)))
+            out.update(zip(rest, self._encode_each(rest)))
         return out
 
+    def _chunks(self, text: str) -> list[str]:
+        if any(c in text for c in self.SEPARATORS):
+            return self.CHUNK.findall(text)
+        return text.split()
+
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [self.CHUNK.findall(_ascii_lower(t)) for t in texts]
+        split = [self._chunks(self.ENDING.sub(r" \g<0>", _lower(t))) for t in texts]
         young, old = self.young, self.old
-        missing: dict[str, None] = {}
-        local: dict[str, bytes] = {}
-        for chunks in split:
-            for c in set(chunks):
-                if c not in young and c not in missing:
-                    v = old.get(c)
-                    if v is None:
-                        missing[c] = None
-                    else:
-                        young[c] = v
+        new = set().union(*split).difference(young)
+        missing = []
+        for c in new:
+            v = old.get(c)
+            if v is None:
+                missing.append(c)
+            else:
+                young[c] = v
         if missing:
-            local = self._learn(list(missing))
-            young.update(local)
-        out = [b"".join([young[c] for c in chunks]) for chunks in split]
+            young.update(self._learn(missing))
+        out = [b"".join(map(young.__getitem__, chunks)) for chunks in split]
         if len(young) > CACHE:
             self.old, self.young = young, {}
         return out
 
 
-_UPPER = {c: c + 32 for c in range(65, 91)}
+_CAPITALS = {c: c + 32 for c in range(65, 91)}
 
 
-def _ascii_lower(text: str) -> str:
-    return text.lower() if text.isascii() else text.translate(_UPPER)
+def _lower(text: str) -> str:
+    """Lower case where it is sure to be the vocabulary's: whole Latin-1 texts,
+    else A-Z."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text.translate(_CAPITALS)
+    return text.lower()
 
 
 def word_tokenizer(path: str) -> WordTokenizer:
@@ -128,7 +132,3 @@ def byte_encoding(path: str, pattern: str):
         cache[key] = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks,
                                        special_tokens={})
     return cache[key]
-
-
-def as_bytes(ids: list[int]) -> bytes:
-    return array.array("I", ids).tobytes()
