@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from txrisk.llm.common import store
+
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = 42
 ROWS_PER_BUCKET = 8192
@@ -57,62 +59,63 @@ def fill_targets(sources: DataFrame, weights: tuple = (1, 2, 3),
         .otherwise(F.col("_cap").cast("double"))).select("source", "source_size", "target")
 
 
-def with_taken(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source",
-               seed: int = SEED, rows_per_bucket: int = ROWS_PER_BUCKET,
-               weights: tuple = (1, 2, 3), max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """``docs`` with _size, _source_size, _target and _taken (words the mix takes,
-    repeats counted).
+def with_taken(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
+               text_col: str = "text", seed: int = SEED, rows_per_bucket: int = ROWS_PER_BUCKET,
+               weights: tuple = (1, 2, 3), max_epochs: int = MAX_EPOCHS,
+               keep: list[str] | None = None) -> DataFrame:
+    """(row, size, source_size, target, taken): the input row as a struct (its
+    columns ``keep``, default all), its words, its source's words and target, and the words that the mix takes of it,
+    repeats counted.
 
     Null text has size 0, a null source is a source of its own (last in order),
-    a null doc_id draws the key of the empty id. Equal keys are ordered by
-    doc_id and size; rows equal in all three are interchangeable. Sources of
-    size 0 take nothing. Reruns agree: keys depend on the seed and doc_id only.
+    a null doc_id is keyed by its text. Equal keys are ordered by doc_id and
+    size; rows equal in all three are interchangeable. Sources of size 0 take
+    nothing. Reruns agree: keys depend on the seed, the id and the text only.
     """
-    key = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    key = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.md5(text))))
     n = docs.select(F.count(F.lit(1)).alias("n")).first()["n"]
     n_buckets = max(1, n // rows_per_bucket)
-    u = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long")
-    keyed = (docs.withColumns({"_size": size, "_key": key,
-                               "_src": F.coalesce(F.concat(F.lit("s"), F.col(source_col)
-                                                           .cast("string")), F.lit("n"))})
-             .withColumn("_bucket", F.shiftright(u * F.lit(n_buckets).cast("long"), 32)))
-    # bucket totals: one row per source and key range
-    parts = (keyed.groupBy("_src", "_bucket")
-             .agg(F.sum("_size").alias("_n"), F.first(F.col(source_col).cast("string"))
-                  .alias("source")))
-    sources = (parts.groupBy("_src").agg(F.sum("_n").alias("source_size"),
-                                         F.first("source").alias("source")))
+    source = F.col(source_col).cast("string")
+    keyed = docs.select(
+        F.struct(*(keep or ["*"])).alias("row"), word_count(F.col(text_col)).alias("size"), key.alias("key"),
+        F.col(id_col).alias("id"), source.alias("source"),
+        F.coalesce(F.concat(F.lit("s"), source), F.lit("n")).alias("src"))
+    u = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
+    keyed = keyed.withColumn("bucket", F.shiftright(u * F.lit(n_buckets).cast("long"), 32))
+    # bucket totals: one row per source and key range, stored as both uses need them
+    parts = store(keyed.groupBy("src", "bucket")
+                  .agg(F.sum("size").alias("words"), F.first("source").alias("source")),
+                  "mix-buckets")
+    sources = parts.groupBy("src").agg(F.sum("words").alias("source_size"),
+                                       F.first("source").alias("source"))
     targets = fill_targets(sources.select("source", "source_size"), weights, max_epochs).select(
-        F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("_src"),
-        F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
-    ahead = Window.partitionBy("_src").orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1)
-    plan = (parts.select("_src", "_bucket",
-                         F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
-            .join(targets, "_src"))
-    inside = (Window.partitionBy("_src", "_bucket").orderBy("_key", id_col, "_size")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    out = (keyed.withColumn("_in", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
-           .join(plan, ["_src", "_bucket"]))
-    budget = F.floor(F.col("_target") + 0.5)
-    # a source of size 0 has budget 0
-    epochs = F.when(F.col("_source_size") > 0,
-                    F.floor(budget / F.greatest("_source_size", F.lit(1)))).otherwise(0)
-    out = out.withColumns({"_epochs": epochs.cast("long")}).withColumn(
-        "_rest", budget - F.col("_epochs") * F.col("_source_size"))
+        F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("src"),
+        "source_size", "target")
+    before = (Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("src").orderBy("bucket").rowsBetween(*before)
+    plan = (parts.select("src", "bucket",
+                         F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("ahead"))
+            .join(targets, "src"))
+    inside = Window.partitionBy("src", "bucket").orderBy("key", "id", "size").rowsBetween(*before)
+    out = (keyed.select("row", "size", "src", "bucket",
+                        F.coalesce(F.sum("size").over(inside), F.lit(0)).alias("inside"))
+           .join(plan, ["src", "bucket"]))
+    budget = F.floor(F.col("target") + 0.5)
+    epochs = F.when(F.col("source_size") > 0,
+                    F.floor(budget / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long")
+    rest = budget - F.col("epochs") * F.col("source_size")
     last = F.greatest(F.lit(0).cast("long"),
-                      F.least(F.col("_size"), F.col("_rest") - F.col("_ahead") - F.col("_in")))
-    out = out.withColumn("_taken", (F.col("_epochs") * F.col("_size") + last).cast("long"))
-    return out.drop("_key", "_src", "_bucket", "_ahead", "_in", "_epochs", "_rest")
+                      F.least(F.col("size"), rest - F.col("ahead") - F.col("inside")))
+    return out.withColumn("epochs", epochs).select(
+        "row", "size", "source_size", "target",
+        (F.col("epochs") * F.col("size") + last).cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame, **kw) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of ``docs``."""
-    d = docs.select("doc_id", "source", "text")
-    out = with_taken(d, word_count(F.col("text")), **kw)
-    return out.select("doc_id", F.col("_size").alias("size"),
-                      F.col("_source_size").alias("source_size"),
-                      F.col("_target").alias("target"), F.col("_taken").alias("taken"))
+    out = with_taken(docs, keep=["doc_id"], **kw)
+    return out.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
@@ -122,12 +125,13 @@ def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
     its leading words (with the white space before each) up to the exact
     budget. Documents without words take nothing and leave the mix.
     """
-    cols = docs.columns
-    out = with_taken(docs, word_count(F.col("text")), **kw).where("_taken > 0")
-    out = out.withColumn("_copy", F.explode(F.sequence(
-        F.lit(1).cast("long"), F.ceil(F.col("_taken") / F.col("_size")).cast("long"))))
-    words = (F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")).cast("int")
-    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(
+    out = with_taken(docs, **kw).where("taken > 0")
+    out = out.withColumn("copy", F.explode(F.sequence(
+        F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size")).cast("long"))))
+    words = (F.col("taken") - (F.col("copy") - 1) * F.col("size")).cast("int")
+    text = F.col("row.text")
+    head = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(
         r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), words), "")
-    out = out.withColumn("text", F.when(words >= F.col("_size"), F.col("text")).otherwise(head))
-    return out.select(*cols)
+    cut = F.when(words >= F.col("size"), text).otherwise(head)
+    return out.select(*[cut.alias(c) if c == "text" else F.col("row").getField(c).alias(c)
+                        for c in docs.columns])

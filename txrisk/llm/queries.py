@@ -107,7 +107,7 @@ _MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, source,
     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-    md5('42|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+    md5('42|' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS k FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n FROM d GROUP BY source),
 w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w, 3 * n AS cap
   FROM s),
