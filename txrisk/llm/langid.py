@@ -196,7 +196,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reg = ridge * np.eye(m + 1) * max(len(langs), 1) / max(m, 1)
     reg[-1, -1] = 1e-9
     w = np.linalg.solve((z * wt[:, None]).T @ z + reg, (z * wt[:, None]).T @ y)
-    return LanguageModel(langs, vocabulary, (marked @ root @ w[:-1]).astype(np.float32), w[-1])
+    return LanguageModel(langs, vocabulary, marked @ root @ w[:-1], w[-1])
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, text_col: str = "text",
@@ -217,7 +217,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, text_col: str = "text"
     def run(batches):
         if model is not None:
             index = GramIndex(model.vocabulary)
-            rows = np.zeros((BATCH, len(model.vocabulary)), np.float32)
+            rows = np.zeros((BATCH, len(model.vocabulary)))
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH):
                 b = whole.slice(at, BATCH)
@@ -236,7 +236,8 @@ def predict(docs: DataFrame, model: LanguageModel | None, text_col: str = "text"
                     for j, i in enumerate(known):
                         best = int(f[j].argmax())
                         lang[i] = model.languages[best]
-                        score[i] = float(min(1.0, max(0.0, (1 + f[j, best]) / 2)))
+                        # rounded: the last bits depend on a row's place in its batch
+                        score[i] = round(float(min(1.0, max(0.0, (1 + f[j, best]) / 2))), 9)
                 yield pa.RecordBatch.from_arrays(
                     [*(b.column(k) for k in range(width)), pa.array(lang, pa.string()),
                      pa.array(score, pa.float64()), pa.array(cover, pa.float64())], out.names)
