@@ -129,18 +129,20 @@ def scan_text(text: str, index: TemplateIndex, coverage: float = COVERAGE) -> li
     found = []
     for t, places in sorted(hits.items()):
         size, need = len(index.ids[t]), max(1, int(HITS * index.prints[t]))
+        band = min(BAND, max(1, size // 4))
         places.sort()
         i = 0
         while i < len(places):                    # hits within the band of one diagonal
             k = i
-            while k < len(places) and places[k][0] <= places[i][0] + BAND:
+            while k < len(places) and places[k][0] <= places[i][0] + band:
                 k += 1
             group, i = places[i:k], k
-            if len(group) < need:
-                continue
-            m, first, last = banded_alignment(index.ids[t], ids, group[len(group) // 2][0])
-            if m >= coverage * size:
+            while len(group) >= need:             # the notice may occur more than once
+                m, first, last = banded_alignment(index.ids[t], ids, group[len(group) // 2][0], band)
+                if m < coverage * size:
+                    break
                 found.append((size - 2 * m, first, last, t, m))
+                group = [h for h in group if not first <= h[1] <= last]
     if not found:
         return []
     spans = [x.span() for x in WORD.finditer(lower)]
