@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txrisk.operators.quantiles import exact_quantiles, exact_quantiles_multi
+from txrisk.operators.quantiles import quantile_row, weighted_quantile
+from txrisk.session import stored
 
 N_STEP_BINS = 6
 
@@ -86,39 +87,23 @@ def step_bins_df(tx: DataFrame, n_bins: int = N_STEP_BINS) -> DataFrame:
                     .alias("edge")))
 
 
-def median_rows_per_step(counts: DataFrame) -> float:
-    """C4: median of the per-step counts, unweighted over steps."""
-    return exact_quantiles(counts, "n", [0.5])[0]
+def median_rows_per_step(counts: DataFrame) -> DataFrame:
+    """C4: median of the per-step counts, unweighted over steps (one row)."""
+    return weighted_quantile(counts.select("n", F.lit(1).alias("one")), "n", "one", 0.5,
+                             "median_transactions_in_step")
 
 
-def median_rows_weighted(tx_with_counts: DataFrame) -> float:
-    """C4': median of transactions_in_step over rows (training variant)."""
-    return exact_quantiles(tx_with_counts, "transactions_in_step", [0.5])[0]
-
-
-# A fitted per-step table up to this many rows is kept as a small local
-# relation (like the original's JSON map); beyond it, it is written to the
-# shared folder and joined as a table.
-MAX_LOCAL_STEPS = 200_000
-
-
-def materialize_counts(counts: DataFrame, max_rows: int = MAX_LOCAL_STEPS) -> DataFrame:
-    """Freeze the fitted per-step counts so scoring never recomputes them."""
-    spark = counts.sparkSession
-    rows = counts.limit(max_rows + 1).collect()
-    if len(rows) <= max_rows:
-        return spark.createDataFrame([(int(r["step"]), int(r["n"])) for r in rows],
-                                     "step int, n long")
-    from txrisk.session import scratch_path
-    path = scratch_path(spark, "step_counts")
-    counts.write.parquet(path)
-    return spark.read.parquet(path)
+def median_rows_weighted(counts: DataFrame) -> DataFrame:
+    """C4': median of transactions_in_step over rows (training variant). A step of
+    n rows holds the value n in n rows, so the per-step counts suffice."""
+    return weighted_quantile(counts, "n", "n", 0.5, "median_transactions_in_step_rows")
 
 
 def fit_feature_config(tx: DataFrame, p: float = 0.95) -> FeatureConfig:
-    """All of the config from one transactions frame."""
-    q = exact_quantiles_multi(tx, {"amount": [p], "oldbalanceDest": [0.5]})
-    counts = materialize_counts(step_counts(tx))
-    max_step = counts.agg(F.max("step")).first()[0]
-    return FeatureConfig(q["amount"][0], q["oldbalanceDest"][0], step_bins(max_step),
-                         median_rows_per_step(counts), counts)
+    """All of the config from one transactions frame. The per-step counts are
+    stored, so scoring never recomputes them; the driver reads one row of scalars."""
+    counts = stored(step_counts(tx), "step-counts")
+    q = quantile_row(tx, {"p95": ("amount", p), "dest": ("oldbalanceDest", 0.5)}).first()
+    s = counts.agg(F.max("step").alias("last")).select(
+        "last", median_rows_per_step(counts).scalar().alias("median")).first()
+    return FeatureConfig(q["p95"], q["dest"], step_bins(s["last"]), s["median"], counts)

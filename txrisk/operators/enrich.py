@@ -7,17 +7,12 @@ from pyspark.sql import functions as F
 
 from txrisk.functions.features import feature_columns
 from txrisk.operators.config import FeatureConfig
-from txrisk.operators.joins import broadcast_if_small
 from txrisk.schema import MODEL_COLUMNS, RAW_NUMERIC
 
-# Steps are a time unit; the per-step table is broadcast only while it stays
-# under this many rows (checked), else it is shuffle-joined.
-MAX_BROADCAST_STEPS = 5_000_000
-
 
 def velocity_join(tx: DataFrame, counts: DataFrame, out: str = "transactions_in_step") -> DataFrame:
     """Per-step count joined back to every row, 0 for unseen steps."""
-    c = broadcast_if_small(counts.select("step", F.col("n").alias(out)), MAX_BROADCAST_STEPS)
+    c = counts.select("step", F.col("n").alias(out))
     return tx.join(c, "step", "left").withColumn(out, F.coalesce(F.col(out), F.lit(0).cast("long")))
 
 
@@ -25,8 +20,7 @@ def build_features(tx: DataFrame, cfg: FeatureConfig, keep: list[str] | None = N
     """Raw pass-through + derived features. ``keep`` lists extra columns to carry."""
     keep = keep if keep is not None else [c for c in tx.columns if c not in
                                           ("step", *RAW_NUMERIC)]
-    c = broadcast_if_small(cfg.step_counts.select("step", F.col("n").alias("_n_step")),
-                           MAX_BROADCAST_STEPS)
+    c = cfg.step_counts.select("step", F.col("n").alias("_n_step"))
     joined = tx.join(c, "step", "left")
     feats = feature_columns(cfg.large_threshold_p95, cfg.median_oldbalanceDest,
                             cfg.step_bins, cfg.median_transactions_in_step)

@@ -1,33 +1,8 @@
-"""Join helpers: checked broadcast, lookups, alignment joins."""
+"""Join helpers. No broadcast hints: the planner and AQE choose from sizes."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-# Rows above which a lookup side is never broadcast by us (AQE may still
-# choose a broadcast from runtime sizes).
-DEFAULT_BROADCAST_ROWS = 1_000_000
-
-
-def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True when df has at most max_rows rows. Reads at most max_rows + 1 rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only behind a row-count check; otherwise the plain frame
-    (shuffle join, or AQE's own runtime choice)."""
-    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
-
-
-def lookup_join(df: DataFrame, table: DataFrame, key: str, value_cols: list[str],
-                defaults: dict | None = None, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Left lookup join with per-column defaults for missing keys."""
-    out = df.join(broadcast_if_small(table.select(key, *value_cols), max_rows), key, "left")
-    for c, v in (defaults or {}).items():
-        out = out.withColumn(c, F.coalesce(F.col(c), F.lit(v)))
-    return out
 
 
 def align_by_key(left: DataFrame, right: DataFrame, key: str = "tx_id") -> DataFrame:

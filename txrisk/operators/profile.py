@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from txrisk.functions.numeric import guarded_ratio
-from txrisk.operators.quantiles import exact_quantiles_by, quantiles_long, long_values
+from txrisk.operators.quantiles import long_values, quantiles_by
+from txrisk.session import stored
 
 
 def row_count(df: DataFrame) -> DataFrame:
@@ -19,20 +20,14 @@ def row_count(df: DataFrame) -> DataFrame:
 def describe(df: DataFrame, cols: list[str], group: str | None = None) -> DataFrame:
     """A4/A5: count, mean, sample std, min, quartiles (exact, linear), max per
     column (and group). Long form: one row per (group,) column."""
+    keys = [*([group] if group else []), "column_name"]
     lv = long_values(df, cols, group)
-    moments = lv.groupBy("k").agg(
+    moments = lv.groupBy(*keys).agg(
         F.count("*").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
         F.min("v").alias("min"), F.max("v").alias("max"))
-    q = quantiles_long(lv, [0.25, 0.5, 0.75])
-    spark = df.sparkSession
-    qdf = spark.createDataFrame([(k, *v) for k, v in q.items()],
-                                "k string, p25 double, p50 double, p75 double")
-    out = moments.join(F.broadcast(qdf), "k")  # one row per population: bounded
-    if group is None:
-        return out.withColumnRenamed("k", "column_name")
-    parts = F.split(F.col("k"), r"\|", 2)
-    return out.select(parts[0].cast("int").alias(group), parts[1].alias("column_name"),
-                      *[c for c in out.columns if c != "k"])
+    q = quantiles_by(lv, keys, [0.25, 0.5, 0.75]).select(
+        *keys, *[F.col("q")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75"))])
+    return moments.join(q, keys)
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
@@ -41,12 +36,12 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 
 
 def value_shares(df: DataFrame, col: str) -> DataFrame:
-    """Counts and percent of total (the total is one scalar, so any number
-    of distinct values stays distributed)."""
+    """Counts and percent of total (the total is a scalar subquery, so any
+    number of distinct values stays distributed)."""
     vc = value_counts(df, col)
-    tot = float(vc.agg(F.sum("n")).first()[0] or 0)
-    return vc.withColumn("pct", F.when(F.lit(tot) > 0, F.col("n").cast("double") * F.lit(100.0)
-                                       / F.lit(tot)).otherwise(F.lit(0.0)))
+    vc = vc.withColumn("_tot", vc.agg(F.sum("n").cast("double").alias("t")).scalar())
+    return vc.withColumn("pct", F.when(F.col("_tot") > 0, F.col("n").cast("double") * F.lit(100.0)
+                                       / F.col("_tot")).otherwise(F.lit(0.0))).drop("_tot")
 
 
 def crosstab(df: DataFrame, row: str, col: str, values: list, names: list[str]) -> DataFrame:
@@ -76,20 +71,16 @@ def per_key_series(df: DataFrame, key: str = "step", label: str = "isFraud") ->
 def histogram(df: DataFrame, col: str, bins: int = 50, group: str | None = None) -> DataFrame:
     """Fixed equal-width bins over [min, max] (per group when given);
     the last bin is closed; empty bins are kept (zero-filled)."""
-    from txrisk.operators.joins import broadcast_if_small
-
     keys = [group] if group else []
     x = F.col(col).cast("double")
     base = df.select(*keys, x.alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
     rng = base.groupBy(*keys).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     if keys:
-        # one row per group; broadcast only while the group count is small
-        j = base.join(broadcast_if_small(rng, 100_000), keys)
-        lo, hi = F.col("lo"), F.col("hi")
+        rng = stored(rng, "ranges")  # one row per group, of known size
+        j = base.join(rng, keys)
     else:
-        r = rng.first()
-        j, lo, hi = base, F.lit(r["lo"]), F.lit(r["hi"])
-        rng = rng.select(lo.alias("lo"), hi.alias("hi"))
+        j = base.withColumns({"lo": rng.select("lo").scalar(), "hi": rng.select("hi").scalar()})
+    lo, hi = F.col("lo"), F.col("hi")
     width = hi - lo
     idx = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col("x") - lo) * (F.lit(float(bins)) / width)), F.lit(bins - 1))
@@ -106,14 +97,11 @@ def histogram(df: DataFrame, col: str, bins: int = 50, group: str | None = None)
 def boxplot_stats(df: DataFrame, cols: list[str], group: str) -> DataFrame:
     """Per (group, column): quartiles, IQR, whiskers (most extreme datum
     within 1.5 IQR of the box) and outlier count."""
-    q = exact_quantiles_by(df, cols, [0.25, 0.5, 0.75], group)
-    spark = df.sparkSession
-    qdf = spark.createDataFrame([(int(g), c, *v) for (g, c), v in q.items()],
-                                f"{group} int, column_name string, q1 double, median double, q3 double")
+    keys = [group, "column_name"]
     lv = long_values(df, cols, group)
-    parts = F.split(F.col("k"), r"\|", 2)
-    lv = lv.select(parts[0].cast("int").alias(group), parts[1].alias("column_name"), "v")
-    j = lv.join(F.broadcast(qdf), [group, "column_name"])  # qdf: #groups x #cols rows
+    q = stored(quantiles_by(lv, keys, [0.25, 0.5, 0.75]).select(
+        *keys, *[F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))]), "boxes")
+    j = lv.join(q, keys)
     iqr = F.col("q3") - F.col("q1")
     lo_f = F.col("q1") - F.lit(1.5) * iqr
     hi_f = F.col("q3") + F.lit(1.5) * iqr
@@ -148,3 +136,13 @@ def imbalance(df: DataFrame, label: str = "isFraud") -> DataFrame:
 def mean_by(df: DataFrame, value: str, key: str) -> DataFrame:
     """Mean of value per key."""
     return df.groupBy(key).agg(F.avg(value).alias(f"avg_{value}"))
+
+
+def head(df: DataFrame, key: str, n: int = 5) -> DataFrame:
+    """The first n rows by ``key`` (top-k, no global sort)."""
+    return df.orderBy(F.asc(key)).limit(n)
+
+
+def tail(df: DataFrame, key: str, n: int = 5) -> DataFrame:
+    """The last n rows by ``key``, in ascending order."""
+    return df.orderBy(F.desc(key)).limit(n).orderBy(F.asc(key))

@@ -1,209 +1,101 @@
-"""Exact order statistics and quantiles without gathering a column.
+"""Exact quantiles as one DataFrame plan, the same at every size.
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one
-aggregation buffer, which does not survive 100 TB. Here the k-th smallest
-values are found by histogram narrowing over a long-form frame
-``(k = population key, v = value)``, so many columns and groups share every
-pass: each pass is one scan with a partial (map-side) aggregation to at most
-``buckets`` rows per open window; the bucket counts locate each target rank
-and the next pass only looks at the rows of the chosen buckets. A window is
-closed when all its values are equal, or when it holds at most ``small``
-rows, which are then read in one batched query. No task and no driver step
-holds more than ``buckets`` x windows or ``small`` x windows values,
-whatever the skew (a hot value closes its window at once: min == max).
-
-The quantile definition is the linear one (``quantile_cont`` / numpy's
-default): position p*(n-1) between the two neighbouring order statistics.
+buffer. Here each quantile takes two scans with map-side aggregation:
+
+1. ``percentile_approx`` gives, per population, two values that certainly
+   enclose the wanted order statistics (its rank error is n / ACCURACY, the
+   bracket is MARGIN * n ranks wide on both sides). A population of at most
+   ``OWN_BRACKET`` values, where so narrow a margin is less than a few ranks, is
+   enclosed by its minimum and maximum.
+2. Values below the bracket are only counted; those inside are counted per
+   distinct value, so a value that a third of all rows hold is one row. A
+   running count over the distinct values of the bracket (a share of 2 * MARGIN
+   of the population) picks the order statistics.
+
+No value reaches the driver. The brackets, one row per population, are stored,
+so the planner knows their size when it joins them. The definition is the
+linear one (``quantile_cont`` / numpy's default): position p * (n - 1) between two
+neighbouring order statistics. Nulls and NaN are ignored; infinities count.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass, field
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
-SMALL = 20_000
-MAX_PASSES = 16
-
-
-@dataclass
-class _Window:
-    key: object           # population key
-    cond: Column          # membership predicate on (k, v)
-    lo: float             # smallest value in the window
-    hi: float             # largest value in the window
-    count: int            # rows in the window
-    below: int            # rows of the population below the window
-    ranks: list = field(default_factory=list)
-
-
-def _bucket(v: Column, w: _Window, buckets: int) -> Column:
-    width = (w.hi - w.lo) / buckets
-    b = F.floor((v - F.lit(w.lo)) / F.lit(width))
-    return F.least(F.greatest(b, F.lit(0)), F.lit(buckets - 1)).cast("int")
+from txrisk.session import stored
 
-
-def _case(windows: list[_Window], value_of) -> Column:
-    expr = None
-    for i, w in enumerate(windows):
-        val = value_of(i, w)
-        expr = F.when(w.cond, val) if expr is None else expr.when(w.cond, val)
-    return expr
-
-
-def kth_values_long(values: DataFrame, targets: dict, stats: dict,
-                    buckets: int = BUCKETS, small: int = SMALL) -> dict:
-    """Exact order statistics per population.
-
-    values:  frame with columns k (population key) and v (non-null double)
-    targets: {key: [0-based ascending ranks]}
-    stats:   {key: (n, lo, hi)}
-    returns  {(key, rank): value}
-    """
-    v = F.col("v")
-    out: dict = {}
-    open_w = []
-    for key, ranks in targets.items():
-        n, lo, hi = stats[key]
-        cond = F.col("k") == F.lit(key)
-        open_w.append(_Window(key, cond, lo, hi, n, 0, sorted(set(ranks))))
-    for _ in range(MAX_PASSES):
-        fetch, pending = [], []
-        for w in open_w:
-            if w.lo == w.hi:
-                for r in w.ranks:
-                    out[(w.key, r)] = w.lo
-            elif w.count <= small:
-                fetch.append(w)
-            else:
-                pending.append(w)
-        if fetch:
-            got: dict[int, list] = {}
-            rows = (values.select(_case(fetch, lambda i, w: F.lit(i)).alias("w"), v)
-                    .where(F.col("w").isNotNull()).collect())
-            for row in rows:
-                got.setdefault(row["w"], []).append(row["v"])
-            for i, w in enumerate(fetch):
-                vals = sorted(got.get(i, []))
-                for r in w.ranks:
-                    out[(w.key, r)] = vals[r - w.below]
-        if not pending:
-            return out
-        # one aggregation for all open windows; they are pairwise disjoint
-        hist = (values.select(_case(pending, lambda i, w: F.lit(i)).alias("w"),
-                              _case(pending, lambda i, w: _bucket(v, w, buckets)).alias("b"), v)
-                .where(F.col("w").isNotNull())
-                .groupBy("w", "b").agg(F.count("*").alias("n"), F.min("v").alias("lo"),
-                                       F.max("v").alias("hi"))
-                .collect())
-        by_w: dict[int, list] = {}
-        for row in hist:
-            by_w.setdefault(row["w"], []).append(row)
-        nxt = []
-        for i, w in enumerate(pending):
-            cum = w.below
-            todo = list(w.ranks)
-            for row in sorted(by_w.get(i, []), key=lambda r: r["b"]):
-                inside = [r for r in todo if cum <= r < cum + row["n"]]
-                if inside:
-                    cond = w.cond & (_bucket(v, w, buckets) == F.lit(row["b"]))
-                    nxt.append(_Window(w.key, cond, row["lo"], row["hi"], row["n"], cum, inside))
-                    todo = [r for r in todo if r not in inside]
-                cum += row["n"]
-            if todo:
-                raise RuntimeError("rank outside the population; input changed between passes")
-        open_w = nxt
-    raise RuntimeError("quantile narrowing did not converge")
-
-
-def _interp(vals: dict, key, n: int, p: float):
-    pos = p * (n - 1)
-    k = math.floor(pos)
-    a, b = vals[(key, k)], vals[(key, min(k + 1, n - 1))]
-    d = pos - k
-    return a if d == 0 or a == b else a + (b - a) * d
-
-
-def _ranks(n: int, probs: list[float]) -> list[int]:
-    need = []
-    for p in probs:
-        k = math.floor(p * (n - 1))
-        need += [k, min(k + 1, n - 1)]
-    return need
+ACCURACY = 10_000
+MARGIN = 1e-3
+OWN_BRACKET = 4_000
 
 
 def long_values(df: DataFrame, cols: list[str], group: str | None = None) -> DataFrame:
-    """Unpivot to (k, v): k = column name, or 'group|column' when grouped."""
-    items = []
-    for c in cols:
-        key = (F.lit(c) if group is None
-               else F.concat(F.col(group).cast("string"), F.lit("|"), F.lit(c)))
-        items.append(F.struct(key.alias("k"), F.col(c).cast("double").alias("v")))
-    return (df.select(F.explode(F.array(*items)).alias("kv")).select("kv.k", "kv.v")
+    """Unpivot to (group,) column_name, v without nulls and NaN."""
+    items = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in cols]
+    keys = [group] if group else []
+    return (df.select(*keys, F.explode(F.array(*items)).alias("x")).select(*keys, "x.*")
             .where(F.col("v").isNotNull() & ~F.isnan("v")))
 
 
-def quantiles_long(values: DataFrame, probs: list[float], **kw) -> dict:
-    """{key: [quantiles]} for every population key of a (k, v) frame."""
-    st = values.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("lo"),
-                                 F.max("v").alias("hi")).collect()
-    stats = {r["k"]: (r["n"], r["lo"], r["hi"]) for r in st}
-    targets = {k: _ranks(s[0], probs) for k, s in stats.items()}
-    vals = kth_values_long(values, targets, stats, **kw)
-    return {k: [_interp(vals, k, stats[k][0], p) for p in probs] for k in stats}
-
-
-def exact_quantiles_multi(df: DataFrame, spec: dict[str, list[float]], **kw) -> dict[str, list]:
-    """Quantiles of several columns, all columns sharing every pass."""
-    probs_all = sorted({p for ps in spec.values() for p in ps})
-    res = quantiles_long(long_values(df, list(spec)), probs_all, **kw)
-    out = {}
-    for c, ps in spec.items():
-        if c not in res:
-            out[c] = [None] * len(ps)
-        else:
-            out[c] = [res[c][probs_all.index(p)] for p in ps]
-    return out
-
-
-def exact_quantiles(df: DataFrame, col: str, probs: list[float], **kw) -> list:
-    """Linear-interpolated quantiles of ``col`` (nulls and NaN ignored)."""
-    return exact_quantiles_multi(df, {col: probs}, **kw)[col]
-
-
-def exact_quantiles_by(df: DataFrame, cols: list[str], probs: list[float], group: str,
-                       **kw) -> dict:
-    """{(group value as string, column): [quantiles]} in shared passes."""
-    res = quantiles_long(long_values(df, cols, group), probs, **kw)
-    return {tuple(k.split("|", 1)): v for k, v in res.items()}
-
-
-def kth_smallest_rows(df: DataFrame, key: str, order_cols: list[str], k: int,
-                      **kw) -> DataFrame:
-    """The k rows with the smallest ``key`` (a double), ties on key broken by
-    ``order_cols``. Exact; never sorts the whole frame.
-
-    The k-th key value is found by narrowing; rows strictly below it are kept
-    by a filter and only the rows tied at that value are ranked (for a hash
-    key these are a handful).
+def _between(a: Column, b: Column, d: Column) -> Column:
+    return F.when((d == 0) | (a == b), a).otherwise(a + (b - a) * d)
+
+
+def quantiles_by(values: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    """``keys``, n and q (array of the quantiles ``probs``) per population of a
+    frame with a non-null, non-NaN double column v."""
+    m = len(probs)
+    marks = [max(0.0, p - MARGIN) for p in probs] + [min(1.0, p + MARGIN) for p in probs]
+    found = values.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"),
+        F.percentile_approx("v", marks, ACCURACY).alias("marks"))
+    own = F.col("n") <= OWN_BRACKET
+    brackets = stored(found.select(*keys, "n", F.explode(F.array(*[F.struct(
+        F.lit(i).alias("i"), F.lit(p).alias("p"),
+        F.when(own, F.col("least")).otherwise(F.col("marks")[i]).alias("lo"),
+        F.when(own, F.col("most")).otherwise(F.col("marks")[m + i]).alias("hi"))
+        for i, p in enumerate(probs)])).alias("b")).select(*keys, "n", "b.*"), "brackets")
+    # a null v stands for all values below the bracket
+    counts = (values.join(brackets, keys).where(F.col("v") <= F.col("hi"))
+              .groupBy(*keys, "i", "p", "n", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v"))
+              .agg(F.count("*").alias("c")))
+    running = F.sum("c").over(Window.partitionBy(*keys, "i").orderBy(F.col("v").asc_nulls_first()))
+    pos = F.col("p") * (F.col("n") - 1)
+    rank = F.floor(pos)
+    picked = (counts.withColumn("upto", running).groupBy(*keys, "i", "p", "n").agg(
+        F.max(F.when(F.col("v").isNull(), F.col("upto"))).alias("below"),
+        F.min(F.when(F.col("upto") > rank, F.col("v"))).alias("a"),
+        F.min(F.when(F.col("upto") > rank + 1, F.col("v"))).alias("b")))
+    # below > rank cannot happen; checked because an answer would be wrong without notice
+    value = F.when(F.coalesce(F.col("below"), F.lit(0)) <= rank, _between(
+        F.col("a"), F.coalesce("b", "a"), pos - rank)).otherwise(
+        F.raise_error(F.lit("quantile outside its bracket")).cast("double"))
+    return (picked.select(*keys, "n", "i", value.alias("value")).groupBy(*keys, "n")
+            .agg(*[F.max(F.when(F.col("i") == i, F.col("value"))).alias(f"q{i}") for i in range(m)])
+            .select(*keys, "n", F.array(*[F.col(f"q{i}") for i in range(m)]).alias("q")))
+
+
+def quantile_row(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """One row of quantiles: {name: (column, p)}; null for a column without values."""
+    probs = sorted({p for _, p in wanted.values()})
+    q = quantiles_by(long_values(df, sorted({c for c, _ in wanted.values()})), ["column_name"], probs)
+    return q.agg(*[F.max(F.when(F.col("column_name") == c, F.col("q")[probs.index(p)])).alias(name)
+                   for name, (c, p) in wanted.items()])
+
+
+def weighted_quantile(counts: DataFrame, value: str, weight: str, p: float, name: str) -> DataFrame:
+    """One row: the quantile of ``value`` where each row stands for ``weight`` rows.
+
+    For per-key row counts: the distinct values number at most the square root of
+    twice the rows, so their running count is small.
     """
-    from pyspark.sql import Window
-
-    if k <= 0:
-        return df.limit(0)
-    st = df.agg(F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-    n = st["n"]
-    if k >= n:
-        return df
-    vals = df.select(F.lit("x").alias("k"), F.col(key).cast("double").alias("v"))
-    v = kth_values_long(vals, {"x": [k - 1]}, {"x": (n, st["lo"], st["hi"])}, **kw)[("x", k - 1)]
-    below = df.where(F.col(key) < F.lit(v))
-    n_below = below.count()
-    tied = df.where(F.col(key) == F.lit(v))
-    w = Window.partitionBy(F.col(key)).orderBy(*order_cols)
-    take = (tied.withColumn("_rk", F.row_number().over(w))
-            .where(F.col("_rk") <= k - n_below).drop("_rk"))
-    return below.unionByName(take)
+    g = counts.groupBy(F.col(value).cast("double").alias("v")).agg(F.sum(weight).alias("c"))
+    run = g.select("v", F.sum("c").over(Window.orderBy("v")).alias("upto"),
+                   F.sum("c").over(Window.partitionBy()).alias("n"))
+    rank = F.floor(F.lit(p) * (F.col("n") - 1))
+    r = run.groupBy("n").agg(F.min(F.when(F.col("upto") > rank, F.col("v"))).alias("a"),
+                             F.min(F.when(F.col("upto") > rank + 1, F.col("v"))).alias("b"))
+    d = F.lit(p) * (F.col("n") - 1) - rank
+    return r.select(_between(F.col("a"), F.coalesce("b", "a"), d).alias(name))
