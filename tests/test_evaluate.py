@@ -37,7 +37,7 @@ def _ap_brute(rows):
 def test_auc_ap_against_brute_force(spark):
     rows = _data()
     df = spark.createDataFrame(rows, "tx_id long, prob double, isFraud int")
-    cum = EV.cumulative_by_score(df, buckets=7)  # few buckets: exercise the two levels
+    cum = EV.cumulative_by_score(df, ranges=7)  # several ranges: exercise the two levels
     assert abs(EV.roc_auc(cum).first()[0] - _auc_brute(rows)) < 1e-12
     assert abs(EV.average_precision(cum).first()[0] - _ap_brute(rows)) < 1e-12
     got = {r.threshold: (r.fpr, r.tpr) for r in EV.roc_curve(cum).collect()}
@@ -76,3 +76,30 @@ def test_classification_report_shape(spark):
     df = spark.createDataFrame(_data(), "tx_id long, prob double, isFraud int")
     rep = EV.classification_report(EV.confusion_counts(df)).collect()
     assert [r.label for r in rep] == ["0", "1", "accuracy", "macro avg", "weighted avg"]
+
+
+def test_curve_ranges_stay_even_when_scores_crowd(spark):
+    """99 % of the distinct scores below 1e-4."""
+    rnd = random.Random(2)
+    scores = [rnd.random() * 1e-4 for _ in range(9900)] + [rnd.random() for _ in range(100)]
+    rows = [(i, s, int(rnd.random() < 0.1 + s / 2)) for i, s in enumerate(scores)]
+    df = spark.createDataFrame(rows, "tx_id long, prob double, isFraud int")
+    sizes = [r["count"] for r in EV.ranged_scores(df, ranges=8).groupBy("b").count().collect()]
+    assert len(sizes) > 4 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+    cum = EV.cumulative_by_score(df, ranges=8)
+    pos = sum(y for *_, y in rows)
+    by = sorted(rows, key=lambda r: r[1])
+    num = seen_neg = 0
+    for _, _, y in by:                     # distinct scores: no ties
+        if y:
+            num += seen_neg
+        else:
+            seen_neg += 1
+    assert abs(EV.roc_auc(cum).first()[0] - num / (pos * (len(rows) - pos))) < 1e-12
+
+
+def test_report_at_a_threshold_column(spark):
+    df = spark.createDataFrame([(1, 0.2, 0), (2, 0.6, 1), (3, 0.7, 0)], "tx_id long, prob double, isFraud int")
+    best = df.agg(F.max("prob").alias("t")).scalar()
+    cm = EV.confusion_counts(df, threshold=best).first()
+    assert (cm.tn, cm.fp, cm.fn, cm.tp) == (1, 1, 1, 0)

@@ -12,12 +12,11 @@ table of #thresholds + 1 rows instead of rescanning per threshold.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txrisk.functions.numeric import guarded_ratio, py_round
-
-CURVE_BUCKETS = 4096
+from txrisk.session import stored
 
 
 def sweep_thresholds(start: float = 0.1, stop: float = 0.9, step: float = 0.05) -> list[float]:
@@ -29,9 +28,9 @@ def sweep_thresholds(start: float = 0.1, stop: float = 0.9, step: float = 0.05)
 
 
 def confusion_counts(df: DataFrame, score: str = "prob", label: str = "isFraud",
-                     threshold: float = 0.5) -> DataFrame:
-    """Tn, fp, fn, tp at score >= threshold (one pass)."""
-    pred = F.col(score) >= F.lit(threshold)
+                     threshold: float | Column = 0.5) -> DataFrame:
+    """Tn, fp, fn, tp at score >= threshold (a number or a scalar column)."""
+    pred = F.col(score) >= (threshold if isinstance(threshold, Column) else F.lit(threshold))
     y = F.col(label) == 1
     return df.agg(
         F.count(F.when(~pred & ~y, 1)).alias("tn"), F.count(F.when(pred & ~y, 1)).alias("fp"),
@@ -50,24 +49,24 @@ def with_rates(cm: DataFrame) -> DataFrame:
     })
 
 
-def cumulative_by_score(df: DataFrame, score: str = "prob", label: str = "isFraud",
-                        buckets: int = CURVE_BUCKETS) -> DataFrame:
-    """One row per distinct score s: pos, neg at s; tp, fp = positives and
-    negatives with score >= s; P, N totals."""
+def ranged_scores(df: DataFrame, score: str = "prob", label: str = "isFraud",
+                  ranges: int | None = None) -> DataFrame:
+    """Stored table of the distinct scores: s, pos, neg and b, the number of the
+    score range, descending. Ranges hold about as many distinct scores each."""
     g = df.groupBy(F.col(score).cast("double").alias("s")).agg(
         F.sum(F.col(label)).cast("long").alias("pos"),
         (F.count("*") - F.sum(F.col(label))).cast("long").alias("neg"))
-    st = g.agg(F.min("s").alias("lo"), F.max("s").alias("hi")).first()
-    lo, hi = st["lo"], st["hi"]
-    if lo is None:
-        lo = hi = 0.0
-    if hi > lo:
-        b = F.least(F.floor((F.lit(hi) - F.col("s")) / F.lit(hi - lo) * F.lit(float(buckets))),
-                    F.lit(buckets - 1)).cast("int")
-    else:
-        b = F.lit(0)
-    gb = g.withColumn("b", b)
-    bt = gb.groupBy("b").agg(F.sum("pos").alias("bpos"), F.sum("neg").alias("bneg"))
+    order = F.desc("s")
+    g = g.repartitionByRange(ranges, order) if ranges else g.repartitionByRange(order)
+    return stored(g.withColumn("b", F.spark_partition_id()), "scores")
+
+
+def cumulative_by_score(df: DataFrame, score: str = "prob", label: str = "isFraud",
+                        ranges: int | None = None) -> DataFrame:
+    """One row per distinct score s: pos, neg at s; tp, fp = positives and
+    negatives with score >= s; P, N totals."""
+    g = ranged_scores(df, score, label, ranges)
+    bt = g.groupBy("b").agg(F.sum("pos").alias("bpos"), F.sum("neg").alias("bneg"))
     before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
     off = bt.select(
@@ -77,10 +76,11 @@ def cumulative_by_score(df: DataFrame, score: str = "prob", label: str = "isFrau
         F.sum("bpos").over(everything).alias("P"),
         F.sum("bneg").over(everything).alias("N"))
     run = Window.partitionBy("b").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    return (gb.join(F.broadcast(off), "b")  # off: at most `buckets` rows
-            .select("s", "pos", "neg",
-                    (F.col("off_pos") + F.sum("pos").over(run)).cast("long").alias("tp"),
-                    (F.col("off_neg") + F.sum("neg").over(run)).cast("long").alias("fp"),
+    inside = g.select("b", "s", "pos", "neg", F.sum("pos").over(run).alias("rpos"),
+                      F.sum("neg").over(run).alias("rneg"))
+    return (inside.join(off, "b")
+            .select("s", "pos", "neg", (F.col("off_pos") + F.col("rpos")).cast("long").alias("tp"),
+                    (F.col("off_neg") + F.col("rneg")).cast("long").alias("fp"),
                     F.col("P").cast("long").alias("P"), F.col("N").cast("long").alias("N")))
 
 
@@ -117,6 +117,13 @@ def average_precision(cum: DataFrame) -> DataFrame:
         .select(guarded_ratio(F.col("t"), F.col("P")).alias("average_precision"))
 
 
+def with_areas(one_row: DataFrame, cum: DataFrame) -> DataFrame:
+    """Adds roc_auc and pr_auc (scalar subqueries, one aggregation over the curve)
+    to a one-row frame."""
+    return one_row.withColumns({"roc_auc": roc_auc(cum).scalar(),
+                                "pr_auc": average_precision(cum).scalar()})
+
+
 def threshold_sweep(df: DataFrame, thresholds: list[float], score: str = "prob",
                     label: str = "isFraud") -> DataFrame:
     """Counts and metrics at each threshold; thresholds with no predicted

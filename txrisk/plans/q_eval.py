@@ -15,7 +15,8 @@ from txrisk.plans.registry import query
 
 THRESHOLD = 0.5
 SAMPLE_N = 5000
-UNDERSAMPLE_RATIO = 30
+UNDERSAMPLE_RATIO = 30  # of the training split
+FIXTURE_RATIO = 5       # the fixture has about 18 negatives a positive
 
 _CUM = with_("tx") + """
 , cum AS (
@@ -121,13 +122,11 @@ SELECT {THRESHOLD} AS threshold,
        round(auc.roc_auc, 12) AS roc_auc, round(auc.ap, 6) AS pr_auc
 FROM cm, auc""")
 def metrics_at_threshold(spark, sf):
-    cm = EV.with_rates(_cm(spark, sf))
-    cum = _cum(spark, sf)
-    auc = EV.roc_auc(cum).first()["roc_auc"]
-    ap = EV.average_precision(cum).first()["average_precision"]
+    cm = EV.with_areas(EV.with_rates(_cm(spark, sf)), _cum(spark, sf))
     return cm.select(F.lit(THRESHOLD).alias("threshold"), "precision", "recall", "f1", "accuracy",
                      "tp", "fp", "tn", "fn", "false_positive_rate",
-                     py_round(F.lit(auc), 12).alias("roc_auc"), py_round(F.lit(ap), 6).alias("pr_auc"))
+                     py_round(F.col("roc_auc"), 12).alias("roc_auc"),
+                     py_round(F.col("pr_auc"), 6).alias("pr_auc"))
 
 
 @query("threshold_sweep", _SWEEP + "SELECT * FROM sw")
@@ -143,7 +142,7 @@ def best_threshold(spark, sf):
 _R6 = "round({}, 6)".format
 
 
-@query("classification_report", _CM + f"""
+_REPORT = f"""
 , r AS (SELECT
    CASE WHEN tn + fn > 0 THEN {_D('tn')} / {_D('tn + fn')} ELSE 0 END AS p0,
    CASE WHEN tn + fp > 0 THEN {_D('tn')} / {_D('tn + fp')} ELSE 0 END AS r0,
@@ -162,13 +161,33 @@ UNION ALL SELECT 'macro avg', {_R6('(p0 + p1) / CAST(2 AS DOUBLE)')}, {_R6('(r0
 UNION ALL SELECT 'weighted avg',
   {_R6(f"(p0 * {_D('s0')} + p1 * {_D('s1')}) / {_D('s0 + s1')}")},
   {_R6(f"(r0 * {_D('s0')} + r1 * {_D('s1')}) / {_D('s0 + s1')}")},
-  {_R6(f"(f0 * {_D('s0')} + f1 * {_D('s1')}) / {_D('s0 + s1')}")}, s0 + s1 FROM r""")
-def classification_report(spark, sf):
-    rep = EV.classification_report(_cm(spark, sf))
+  {_R6(f"(f0 * {_D('s0')} + f1 * {_D('s1')}) / {_D('s0 + s1')}")}, s0 + s1 FROM r"""
+
+
+def _report(cm):
+    rep = EV.classification_report(cm)
     return rep.select("label", *[py_round(F.col(c), 6).alias(c) for c in ("precision", "recall", "f1")],
                       "support")
 
 
+@query("classification_report", _CM + _REPORT)
+def classification_report(spark, sf):
+    return _report(_cm(spark, sf))
+
+
+@query("classification_report_best", _SWEEP + """
+, cm AS (
+  SELECT count(*) FILTER (WHERE prob < best.threshold AND isFraud = 0) AS tn,
+         count(*) FILTER (WHERE prob >= best.threshold AND isFraud = 0) AS fp,
+         count(*) FILTER (WHERE prob < best.threshold AND isFraud = 1) AS fn,
+         count(*) FILTER (WHERE prob >= best.threshold AND isFraud = 1) AS tp FROM tx, best)
+""" + _REPORT)
+def classification_report_best(spark, sf):
+    """The report at the best threshold (as reported, two places)."""
+    best = EV.best_by_f1(_sweep(spark, sf)).select("threshold").scalar()
+    return _report(EV.confusion_counts(C.tx(spark, sf), "prob", "isFraud", best))
+
+
 @query("final_metrics", _CUM.replace("WITH ", "WITH ", 1) + _SWEEP.split("\n", 1)[1].replace(
     with_("tx").split("\n", 1)[1], "", 1) + """
 SELECT round(auc.roc_auc, 4) AS roc_auc, round(auc.ap, 4) AS pr_auc,
@@ -176,11 +195,9 @@ SELECT round(auc.roc_auc, 4) AS roc_auc, round(auc.ap, 4) AS pr_auc,
        best.recall AS recall_at_best_threshold, best.f1 AS f1_at_best_threshold
 FROM auc, best""")
 def final_metrics(spark, sf):
-    cum = _cum(spark, sf)
-    auc = EV.roc_auc(cum).first()["roc_auc"]
-    ap = EV.average_precision(cum).first()["average_precision"]
-    best = EV.best_by_f1(_sweep(spark, sf))
-    return best.select(py_round(F.lit(auc), 4).alias("roc_auc"), py_round(F.lit(ap), 4).alias("pr_auc"),
+    best = EV.with_areas(EV.best_by_f1(_sweep(spark, sf)), _cum(spark, sf))
+    return best.select(py_round(F.col("roc_auc"), 4).alias("roc_auc"),
+                       py_round(F.col("pr_auc"), 4).alias("pr_auc"),
                        F.col("threshold").alias("best_threshold"),
                        F.col("precision").alias("precision_at_best_threshold"),
                        F.col("recall").alias("recall_at_best_threshold"),
@@ -212,10 +229,10 @@ SELECT tx_id, isFraud FROM (
   SELECT tx_id, isFraud, row_number() OVER (PARTITION BY isFraud ORDER BY {_MD5}, tx_id) AS rn,
          count(*) FILTER (WHERE isFraud = 1) OVER () AS n_pos
   FROM tx) q
-WHERE isFraud = 1 OR rn <= {UNDERSAMPLE_RATIO} * n_pos""")
+WHERE isFraud = 1 OR rn <= {FIXTURE_RATIO} * n_pos""")
 def undersample(spark, sf):
-    """All positives + min(n_neg, 30 * n_pos) negatives, chosen by hash order."""
-    return SM.undersample(C.tx(spark, sf).select("tx_id", "isFraud"), "isFraud", UNDERSAMPLE_RATIO)
+    """All positives + min(n_neg, 5 * n_pos) negatives, chosen by hash order."""
+    return SM.undersample(C.tx(spark, sf).select("tx_id", "isFraud"), "isFraud", FIXTURE_RATIO)
 
 
 def _strat_sql():
