@@ -13,8 +13,6 @@ from typing import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from txrisk.functions.scoring import (action_of_rank, level_from_rank, level_rank,
-                                      min_score_of_rank)
 from txrisk.schema import LEVELS
 
 
@@ -56,18 +54,3 @@ def policy_min_rank(rules=DEFAULT_RULES) -> Column:
 
 def policy_reasons(rules=DEFAULT_RULES) -> Column:
     return F.array_compact(F.array(*[F.when(r.predicate(), F.lit(r.reason)) for r in rules]))
-
-
-def apply_policy(ml_score: Column, ml_level: Column, rules=DEFAULT_RULES) -> dict[str, Column]:
-    """Final level = max(ML level, rules' minimum); score lifted to the level's
-    minimum; override flag = the level changed."""
-    ml_rank = level_rank(ml_level)
-    final_rank = F.greatest(ml_rank, policy_min_rank(rules))
-    return {
-        "policy_min_level": level_from_rank(policy_min_rank(rules)),
-        "policy_reasons": policy_reasons(rules),
-        "final_risk_level": level_from_rank(final_rank),
-        "final_risk_score": F.greatest(ml_score, min_score_of_rank(final_rank)),
-        "final_action": action_of_rank(final_rank),
-        "policy_override_applied": (final_rank != ml_rank).cast("int"),
-    }

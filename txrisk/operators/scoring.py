@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from txrisk.functions import scoring as S
 from txrisk.functions.policy import DEFAULT_RULES, policy_min_rank, policy_reasons
-from txrisk.schema import LEVELS
 
 ALERT_STATUS = "PENDING_REVIEW"
 ALERT_PREFIX = "ALT"
@@ -49,7 +48,7 @@ def alert_struct(id_col: str = "tx_id", ts_col: str = "created_at",
         F.col("final_risk_score").alias("risk_score"),
         F.col("ml_probability").alias("probability"),
         F.col("final_action").alias("recommended_action"),
-        F.col("policy_reasons").alias("reasons"),
+        F.transform("policy_reasons", lambda r: F.struct(r.alias("reason"))).alias("reasons"),
         F.lit(ALERT_STATUS).alias("status"),
     )
     return F.when(S.should_alert(F.col("final_risk_level"), min_level), alert)
@@ -94,9 +93,3 @@ def score_heuristic(events: DataFrame) -> DataFrame:
                 "policy_override_applied": (n > 0).cast("int"),
             })
             .withColumn("final_risk_level", S.heuristic_level(F.col("final_risk_score"))))
-
-
-def level_counts_frame(spark) -> DataFrame:
-    """The four levels with their rank (for zero-filled distributions)."""
-    return spark.createDataFrame([(i, name) for i, name in enumerate(LEVELS)],
-                                 "level_rank int, level string")

@@ -4,12 +4,14 @@ The original kept its audit log in a single-file SQL database with JSON text
 columns and one commit per row. Here the log is a Parquet table partitioned
 by ``created_date`` with native nested columns; JSON text exists only at the
 edge (``encode_log`` / ``decode_log``). Appends are bulk and idempotent per
-batch: each batch writes its own ``batch_id`` folder with overwrite, so a
-replayed batch replaces itself instead of duplicating rows.
+writer and batch: each batch writes its own ``writer=/batch_id=`` folder with
+overwrite, so a replayed batch replaces itself instead of duplicating rows, and
+no writer can replace another's.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,10 +28,6 @@ def read_transactions_csv(spark: SparkSession, path: str,
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
-def read_transactions(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return spark.read.format(fmt).load(path)
-
-
 def read_pruned(spark: SparkSession, path: str, columns: dict[str, str],
                 fmt: str = "parquet") -> DataFrame:
     """Only the named columns, cast to the given types (pruned at the scan)."""
@@ -49,17 +47,29 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
 
 
 def reuse_or_compute(spark: SparkSession, path: str, compute, fmt: str = "parquet") -> DataFrame:
-    """Read a persisted table if present, else compute, persist and read it."""
+    """Read a persisted table if present, else compute, persist and read it.
+    Only a path that does not exist counts as absent; any other failure to read
+    (permissions, damaged files) is raised and nothing is overwritten."""
     try:
         return spark.read.format(fmt).load(path)
-    except Exception:  # noqa: BLE001 - missing path raises AnalysisException
-        compute().write.mode("overwrite").format(fmt).save(path)
-        return spark.read.format(fmt).load(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    compute().write.mode("errorifexists").format(fmt).save(path)
+    return spark.read.format(fmt).load(path)
+
+
+def save_model_columns(df: DataFrame, path: str, labels: tuple = ("isFraud", "isFlaggedFraud")) -> None:
+    """The training column list (all columns but the labels) as a JSON array."""
+    names = [c for c in df.columns if c not in labels]
+    row = df.sparkSession.createDataFrame([(names,)], "columns array<string>")
+    row.select(F.to_json("columns")).coalesce(1).write.mode("overwrite").text(path)
 
 
-def model_columns(df: DataFrame, labels: tuple = ("isFraud", "isFlaggedFraud")) -> list[str]:
-    """Training column list = frame columns minus the labels."""
-    return [c for c in df.columns if c not in labels]
+def load_model_columns(spark: SparkSession, path: str) -> list[str]:
+    """The column list as saved, or as any file holding one JSON array."""
+    text = F.from_json("value", T.ArrayType(T.StringType()))
+    return spark.read.text(path, wholetext=True).select(text.alias("c")).first()["c"]
 
 
 # --------------------------------------------------------------------------- prediction log
@@ -74,9 +84,9 @@ CREATE TABLE IF NOT EXISTS {name} (
   policy_reasons ARRAY<STRING>, suspicious_signal_count INT,
   alert STRUCT<alert_id: STRING, created_at: STRING, transaction_ref: STRING, risk_level: STRING,
                risk_score: INT, probability: DOUBLE, recommended_action: STRING,
-               reasons: ARRAY<STRING>, status: STRING>,
-  batch_id BIGINT, created_date DATE)
-USING parquet PARTITIONED BY (batch_id, created_date) LOCATION '{path}'"""
+               reasons: ARRAY<STRUCT<reason: STRING>>, status: STRING>,
+  writer STRING, batch_id BIGINT, created_date DATE)
+USING parquet PARTITIONED BY (writer, batch_id, created_date) LOCATION '{path}'"""
 
 
 def create_log_table(spark: SparkSession, name: str, path: str) -> None:
@@ -84,20 +94,36 @@ def create_log_table(spark: SparkSession, name: str, path: str) -> None:
     spark.sql(LOG_TABLE_DDL.format(name=name, path=path))
 
 
-def append_logs(logs: DataFrame, path: str, batch_id: int, grain: str = "day") -> None:
-    """Bulk, idempotent append of one batch. Each batch owns the
-    folder ``batch_id=<n>`` and overwrites it, so a replayed batch replaces
-    itself; readers see ``batch_id`` and ``created_date`` as partition columns.
-    ``grain`` = "day" or "month" sets the date partition size (a sparse log
-    spread thin over many days is better stored by month)."""
+#: Pieces that the rows of one date are dealt to before the write.
+DATE_PIECES = 16
+
+
+def dated_logs(logs: DataFrame, grain: str = "day") -> DataFrame:
+    """Log rows with their date partition, dealt so that no date is one task:
+    rows of a date go to DATE_PIECES pieces, and the rebalance splits pieces
+    that are large and joins those that are small (bounded file sizes)."""
     day = F.to_date("created_at")
     part = day if grain == "day" else F.trunc(day, "month")
-    # one task per date: a date's rows land in one file instead of one per task
-    (logs.select(*[f.name for f in LOG_SCHEMA.fields])
-     .withColumn("created_date", part)
-     .repartition("created_date")
-     .write.mode("overwrite").partitionBy("created_date")
-     .parquet(f"{path.rstrip('/')}/batch_id={int(batch_id)}"))
+    return (logs.select(*[f.name for f in LOG_SCHEMA.fields])
+            .withColumns({"created_date": part, "_piece": F.pmod(F.xxhash64("id"), F.lit(DATE_PIECES))})
+            .hint("rebalance", "created_date", "_piece").drop("_piece"))
+
+
+def append_logs(logs: DataFrame, path: str, writer: str, batch_id: int, grain: str = "day",
+                table: str | None = None) -> None:
+    """Bulk, idempotent append of one batch of one writer.
+
+    Each (writer, batch) owns a folder and overwrites it, so a replayed batch
+    replaces itself and nothing else; readers see ``writer``, ``batch_id`` and
+    ``created_date`` as partition columns. A stream's writer is its query id, which
+    lives in its checkpoint: a stream that lost it is a new writer. ``grain`` =
+    "day" or "month" sets the date partition size. ``table``: the declared table
+    over ``path``, whose new partitions are registered.
+    """
+    (dated_logs(logs, grain).write.mode("overwrite").partitionBy("created_date")
+     .parquet(f"{path.rstrip('/')}/writer={writer}/batch_id={int(batch_id)}"))
+    if table is not None:
+        logs.sparkSession.catalog.recoverPartitions(table)
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
@@ -146,3 +172,9 @@ def flatten(df: DataFrame, struct_cols: list[str]) -> DataFrame:
 def report_json(df: DataFrame) -> DataFrame:
     """Each row as one JSON document."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
+
+
+def write_report(df: DataFrame, path: str) -> DataFrame:
+    """Write each row as one JSON document and read the text back."""
+    report_json(df).coalesce(1).write.mode("overwrite").text(path)
+    return df.sparkSession.read.text(path).withColumnRenamed("value", "json")

@@ -72,14 +72,20 @@ def start_score_stream(tx_stream: DataFrame, cfg: FeatureConfig, log_path: str,
                        quarantine_path: str, checkpoint: str, prob_col: str = "prob",
                        available_now: bool = True):
     """G1 + G2: score every micro-batch and append it to the log table;
-    invalid rows go to the quarantine table with their violations."""
+    invalid rows go to the quarantine table with their violations. A batch is
+    computed once for both; its writer is the query's id."""
     step_max = float(cfg.step_bins[-1])
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        valid, bad = split_valid(batch, step_max)
-        logs = audit_records(score(build_features(valid, cfg), prob_col=prob_col))
-        IO.append_logs(logs, log_path, batch_id, grain="month")
-        write_batch(bad, quarantine_path, batch_id)
+        writer = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        batch.persist()
+        try:
+            valid, bad = split_valid(batch, step_max)
+            logs = audit_records(score(build_features(valid, cfg), prob_col=prob_col))
+            IO.append_logs(logs, log_path, writer, batch_id, grain="month")
+            write_batch(bad, quarantine_path, batch_id)
+        finally:
+            batch.unpersist()
 
     w = tx_stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
