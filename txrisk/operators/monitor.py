@@ -61,26 +61,27 @@ def distribution_filled(logs: DataFrame) -> DataFrame:
 
 
 def alert_trend(logs: DataFrame, days: int = 14, simulated_only: bool = False) -> DataFrame:
-    """M4/M5: HIGH/CRITICAL rows per day, last ``days`` observed days."""
+    """HIGH/CRITICAL rows per day, last ``days`` observed days, ascending."""
     f = logs.where(F.col("created_at").isNotNull() & F.col("final_risk_level").isin(*HIGH_LEVELS))
     if simulated_only:
         f = f.where(F.col("_is_simulated"))
     daily = f.groupBy(F.to_date("created_at").alias("date")).agg(F.count("*").alias("count"))
-    return daily.orderBy(F.desc("date")).limit(days)
+    return daily.orderBy(F.desc("date")).limit(days).orderBy("date")
 
 
 def top_override_reasons(logs: DataFrame, k: int = 5) -> DataFrame:
     """M6: most frequent reasons among overridden rows: count, % of overrides,
     bar share of the top count. Ties broken by reason text."""
     ov = logs.where(F.col("policy_override_applied") == 1)
-    n_ov = ov.count()  # one scalar
+    n_ov = ov.agg(F.count("*").alias("n")).scalar()
     counts = (ov.select(F.explode("policy_reasons").alias("reason"))
               .groupBy("reason").agg(F.count("*").alias("count")))
     top = counts.orderBy(F.desc("count"), F.asc("reason")).limit(k)
     mx = F.max("count").over(Window.partitionBy())  # over <= k rows
+    top = top.withColumn("_n", n_ov)
     return top.select(
         "reason", "count",
-        py_round(guarded_ratio(F.col("count"), F.lit(n_ov)) * F.lit(100.0), 6).alias("pct_of_overrides"),
+        py_round(guarded_ratio(F.col("count"), F.col("_n")) * F.lit(100.0), 6).alias("pct_of_overrides"),
         py_round(guarded_ratio(F.col("count"), mx) * F.lit(100.0), 6).alias("bar_pct"))
 
 
@@ -98,6 +99,17 @@ def recent(logs: DataFrame, n: int = 50, cols: list[str] | None = None) -> DataF
     return out.select(*cols) if cols else out
 
 
+def recent_records(logs: DataFrame, n: int = 50) -> DataFrame:
+    """The latest n log records with their twelve fields: the override flag as
+    a boolean, transaction, reasons and alert as nested values."""
+    return logs.orderBy(F.desc("id")).limit(n).select(
+        "id", "created_at", "transaction", "ml_probability", "ml_risk_level", "ml_risk_score",
+        "final_risk_level", "final_risk_score",
+        (F.col("policy_override_applied") == 1).alias("policy_override_applied"),
+        F.coalesce("policy_reasons", F.array().cast("array<string>")).alias("policy_reasons"),
+        "suspicious_signal_count", "alert")
+
+
 def alert_queue(logs: DataFrame, levels=("HIGH", "CRITICAL"), min_score: int = 70,
                 only_override: bool = False, n: int = 200) -> DataFrame:
     """Filtered queue, newest first, first n."""
@@ -107,6 +119,7 @@ def alert_queue(logs: DataFrame, levels=("HIGH", "CRITICAL"), min_score: int = 7
     return f.orderBy(F.desc("id")).limit(n)
 
 
+# Fixed value: the explanation text.
 EXPLANATION = ("ML model assessed base risk. Policy engine may have elevated it based on "
                "business rules.")
 

@@ -6,26 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txrisk.schema import RAW_NUMERIC, REQUEST_FIELDS
+from txrisk.schema import RAW_NUMERIC
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
                  T.DoubleType, T.DecimalType)
 
 
 def columns_by_kind(df: DataFrame) -> DataFrame:
-    """(column, kind) for each column, kind numeric / string / other."""
-    rows = []
+    """Position, column, dtype, kind (numeric / string / other) and, from the
+    table, the number of non-null values (one pass)."""
+    info, aggs = [], []
     for i, f in enumerate(df.schema.fields):
         kind = ("numeric" if isinstance(f.dataType, NUMERIC_TYPES)
                 else "string" if isinstance(f.dataType, T.StringType) else "other")
-        rows.append((i, f.name, f.dataType.simpleString(), kind))
-    return df.sparkSession.createDataFrame(rows, "position int, column string, dtype string, kind string")
-
-
-def select_kind(df: DataFrame, kind: str = "numeric") -> DataFrame:
-    """Only the numeric (or string) columns."""
-    want = NUMERIC_TYPES if kind == "numeric" else (T.StringType,)
-    return df.select(*[f.name for f in df.schema.fields if isinstance(f.dataType, want)])
+        info.append((i, f.name, f.dataType.simpleString(), kind))
+        aggs.append(F.count(F.col(f.name)).alias(f"n{i}"))
+    rows = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(n).alias("column"),
+                              F.lit(t).alias("dtype"), F.lit(k).alias("kind"),
+                              F.col(f"n{i}").alias("non_null")) for i, n, t, k in info])
+    return df.agg(*aggs).select(F.explode(rows).alias("x")).select("x.*")
 
 
 def debug_projection(df: DataFrame, names: list[str], keep: list[str] | None = None) -> DataFrame:
@@ -93,5 +92,3 @@ def duplicate_count(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     g = df.groupBy(*cols).agg(F.count("*").alias("_n"))
     return g.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
 
-
-REQUIRED = REQUEST_FIELDS

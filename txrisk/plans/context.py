@@ -17,6 +17,7 @@ from txrisk.sources import fixtures
 _CONFIGS: dict = {}
 _TX: dict = {}
 _LOG_TABLES: dict = {}
+MEMOS: list[dict] = [_CONFIGS, _TX, _LOG_TABLES]
 
 
 def _key(spark: SparkSession, sf_dir: str):
@@ -30,6 +31,17 @@ def tx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _TX[k]
 
 
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with faults and repeated rows."""
+    return fixtures.requests(spark, sf_dir, tx(spark, sf_dir))
+
+
+def reset() -> None:
+    """Forget everything fitted or stored so far (files changed, fair timings)."""
+    for memo in MEMOS:
+        memo.clear()
+
+
 def config(spark: SparkSession, sf_dir: str) -> FeatureConfig:
     k = _key(spark, sf_dir)
     if k not in _CONFIGS:
@@ -63,6 +75,6 @@ def log_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = _key(spark, sf_dir)
     if k not in _LOG_TABLES:
         path = scratch_path(spark, "prediction_logs")
-        IO.append_logs(logs(spark, sf_dir), path, batch_id=0, grain="month")
+        IO.append_logs(logs(spark, sf_dir), path, writer="batch", batch_id=0, grain="month")
         _LOG_TABLES[k] = path
     return IO.read_logs(spark, _LOG_TABLES[k]).select(*[f.name for f in LOG_SCHEMA.fields])

@@ -44,14 +44,14 @@ SELECT o.o_orderkey AS tx_id,
        'C' || CAST(o.o_custkey AS VARCHAR) AS nameOrig,
        CASE WHEN o.o_orderkey % 6 = 0 THEN {D0}
             ELSE greatest(c.c_acctbal, {D0}) * {D100} END AS oldbalanceOrg,
-       'M' || CAST(o.o_orderkey % 10 AS VARCHAR) AS nameDest,
+       'M' || CAST(o.o_orderkey % (SELECT count(*) FROM supplier) AS VARCHAR) AS nameDest,
        CASE WHEN o.o_orderkey % 3 = 0 THEN {D0}
             ELSE greatest(s.s_acctbal, {D0}) * {D100} END AS oldbalanceDest,
        (o.o_orderkey * 37) % 1009 AS _h,
        o.o_orderkey AS _k
 FROM orders o
 JOIN customer c ON o.o_custkey = c.c_custkey
-JOIN supplier s ON s.s_suppkey = o.o_orderkey % 10""")
+JOIN supplier s ON s.s_suppkey = o.o_orderkey % (SELECT count(*) FROM supplier)""")
 
 cte("tx", ["tx0"], f"""
 SELECT tx_id, created_at, step, type, amount, nameOrig, oldbalanceOrg,
@@ -65,6 +65,21 @@ SELECT tx_id, created_at, step, type, amount, nameOrig, oldbalanceOrg,
        CAST(_h AS DOUBLE) / CAST(1008 AS DOUBLE) AS prob
 FROM tx0""")
 
+# requests with faults and repeated rows
+cte("req", ["tx"], """
+SELECT tx_id, created_at,
+       CASE WHEN tx_id % 50 = 6 THEN -5 WHEN tx_id % 50 = 7 THEN NULL WHEN tx_id % 50 = 8 THEN 5000
+            ELSE step END AS step,
+       CASE WHEN tx_id % 50 = 4 THEN NULL WHEN tx_id % 50 = 5 THEN 'XYZ' ELSE type END AS type,
+       CASE WHEN tx_id % 50 = 1 THEN NULL WHEN tx_id % 50 = 9 THEN -amount ELSE amount END AS amount,
+       nameOrig,
+       CASE WHEN tx_id % 50 = 3 THEN CAST(-1 AS DOUBLE) ELSE oldbalanceOrg END AS oldbalanceOrg,
+       CASE WHEN tx_id % 50 = 2 THEN CAST('nan' AS DOUBLE) ELSE newbalanceOrig END AS newbalanceOrig,
+       nameDest, oldbalanceDest,
+       CASE WHEN tx_id % 50 = 10 THEN NULL ELSE newbalanceDest END AS newbalanceDest,
+       isFraud, isFlaggedFraud, prob
+FROM tx JOIN range(2) c(i) ON i = 0 OR tx_id % 20 = 0""")
+
 cte("step_counts", ["tx"], "SELECT step, count(*) AS n FROM tx GROUP BY step")
 
 cte("cfg", ["tx", "step_counts"], f"""
@@ -141,6 +156,7 @@ cte("scored0", ["feat"], f"""
 SELECT *, prob AS ml_probability, {RISK_SCORE.format(p='prob')} AS ml_risk_score
 FROM feat""")
 
+# The policy rules (written out again, independent of the engine).
 R1 = "(amount_to_oldbalance_orig_ratio > 1 AND sender_account_emptied = 1)"
 R2 = "(suspicious_signal_count >= 3)"
 R3 = "(suspicious_signal_count >= 5)"

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from txrisk.functions.features import type_decode
+from txrisk.functions.features import type_decode, type_encoded
 from txrisk.functions.numeric import py_round
 from txrisk.functions import scoring as S
 from txrisk.functions.policy import policy_min_rank, policy_reasons
 from txrisk.operators import config as CF
 from txrisk.operators import quality as QL
 from txrisk.operators.enrich import align_to_model_columns, velocity_join
-from txrisk.operators.quantiles import exact_quantiles
+from txrisk.operators.quantiles import quantile_row
 from txrisk.operators.scoring import score_heuristic
 from txrisk.plans import context as C
 from txrisk.plans.oracle_base import (ACTION_OF_LEVEL, LEVEL_OF_RANK, LEVEL_OF_SCORE, RISK_SCORE,
@@ -25,17 +25,6 @@ TX_COLS = ["tx_id", "created_at", "step", "type", "amount", "nameOrig", "oldbala
            "isFlaggedFraud", "prob"]
 
 
-def _one_row(spark, **values):
-    """A one-row frame of values Spark computed from the tables."""
-    from pyspark.sql import types as T
-    fields = []
-    for k, v in values.items():
-        t = (T.LongType() if isinstance(v, int) and not isinstance(v, bool)
-             else T.DoubleType() if isinstance(v, float) else T.StringType())
-        fields.append(T.StructField(k, t))
-    return spark.createDataFrame([tuple(values.values())], T.StructType(fields))
-
-
 # --------------------------------------------------------------------------- entry
 
 @query("level_summary", with_("scored") + """
@@ -76,10 +65,20 @@ def project_drop(spark, sf):
     return C.tx(spark, sf).drop(*_DROP)
 
 
-@query("debug_features", with_("feat") + "SELECT tx_id, "
-       + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in DEBUG_FEATURES) + " FROM feat")
+@query("debug_features", with_("feat") + """
+SELECT tx_id, amount, oldbalanceOrg, newbalanceOrig, oldbalanceDest, newbalanceDest,
+       round(log_amount, 9) AS log_amount, amount_to_oldbalance_orig_ratio,
+       CAST(sender_account_emptied AS DOUBLE) AS sender_account_emptied,
+       CAST(dest_received_large_amount AS DOUBLE) AS dest_received_large_amount,
+       CAST(is_large_transaction AS DOUBLE) AS is_large_transaction,
+       balance_error_orig, balance_error_dest,
+       CAST(transactions_in_step AS DOUBLE) AS transactions_in_step,
+       CAST(is_high_velocity_step AS DOUBLE) AS is_high_velocity_step,
+       CAST(type_encoded AS DOUBLE) AS type_encoded, CAST(type_risk_score AS DOUBLE) AS type_risk_score,
+       CAST(suspicious_signal_count AS DOUBLE) AS suspicious_signal_count FROM feat""")
 def debug_features(spark, sf):
-    return QL.debug_projection(C.features(spark, sf), DEBUG_FEATURES, keep=["tx_id"])
+    d = QL.debug_projection(C.features(spark, sf), DEBUG_FEATURES, keep=["tx_id"])
+    return d.withColumn("log_amount", py_round(F.col("log_amount"), 9))
 
 
 _ALIGN_PRESENT = {"step", "amount", "oldbalanceOrg", "newbalanceOrig", "oldbalanceDest",
@@ -93,7 +92,7 @@ def align_columns(spark, sf):
     return align_to_model_columns(C.tx(spark, sf), keep=["tx_id"])
 
 
-_VALIDATE_SQL = with_("tx") + """
+_VALIDATE_SQL = with_("req") + """
 SELECT tx_id, len(v) = 0 AS is_valid, array_to_string(v, '; ') AS violations
 FROM (SELECT tx_id, list_filter([
   CASE WHEN step IS NULL THEN 'step missing' WHEN step < 0 THEN 'step < 0' END,
@@ -107,32 +106,43 @@ FROM (SELECT tx_id, list_filter([
   CASE WHEN oldbalanceDest IS NULL THEN 'oldbalanceDest missing' WHEN isnan(oldbalanceDest) THEN 'oldbalanceDest NaN'
        WHEN oldbalanceDest < 0 THEN 'oldbalanceDest < 0' END,
   CASE WHEN newbalanceDest IS NULL THEN 'newbalanceDest missing' WHEN isnan(newbalanceDest) THEN 'newbalanceDest NaN'
-       WHEN newbalanceDest < 0 THEN 'newbalanceDest < 0' END
-], lambda x: x IS NOT NULL) AS v FROM tx) q"""
+       WHEN newbalanceDest < 0 THEN 'newbalanceDest < 0' END,
+  CASE WHEN step > (SELECT max(step) FROM tx) THEN 'step beyond last bin edge' END
+], lambda x: x IS NOT NULL) AS v FROM req) q"""
 
 
 @query("validate_tx", _VALIDATE_SQL)
 def validate_tx(spark, sf):
-    """Every row with its violations (quarantine = not is_valid)."""
-    v = QL.with_violations(C.tx(spark, sf))
+    """Every request with its violations (quarantine = not is_valid)."""
+    v = QL.with_violations(C.requests(spark, sf), float(C.config(spark, sf).step_bins[-1]))
     return v.select("tx_id", (F.size("violations") == 0).alias("is_valid"),
                     F.concat_ws("; ", "violations").alias("violations"))
 
 
-@query("fill_missing_raw", with_("feat") + """
-SELECT tx_id,
-       CASE type_encoded WHEN 0 THEN 'CASH_IN' WHEN 1 THEN 'CASH_OUT' WHEN 2 THEN 'DEBIT'
-            WHEN 3 THEN 'PAYMENT' WHEN 4 THEN 'TRANSFER' ELSE 'TRANSFER' END AS type,
+@query("quarantine", _VALIDATE_SQL.replace(
+    "SELECT tx_id, len(v) = 0 AS is_valid, array_to_string(v, '; ') AS violations",
+    "SELECT violation, count(*) AS n, min(tx_id) AS first_tx FROM (SELECT tx_id, unnest(v) AS violation",
+    1) + """) u GROUP BY violation""")
+def quarantine(spark, sf):
+    """Quarantined requests per violation."""
+    _, bad = QL.split_valid(C.requests(spark, sf), float(C.config(spark, sf).step_bins[-1]))
+    return (bad.select("tx_id", F.explode("violations").alias("violation")).groupBy("violation")
+            .agg(F.count("*").alias("n"), F.min("tx_id").alias("first_tx")))
+
+
+@query("fill_missing_raw", with_("req") + """
+SELECT tx_id, CASE WHEN upper(type) IN ('CASH_IN', 'CASH_OUT', 'DEBIT', 'PAYMENT', 'TRANSFER')
+                   THEN upper(type) ELSE 'TRANSFER' END AS type,
        coalesce(amount, CAST(0 AS DOUBLE)) AS amount,
        coalesce(oldbalanceOrg, CAST(0 AS DOUBLE)) AS oldbalanceOrg,
        coalesce(newbalanceOrig, CAST(0 AS DOUBLE)) AS newbalanceOrig,
        coalesce(oldbalanceDest, CAST(0 AS DOUBLE)) AS oldbalanceDest,
        coalesce(newbalanceDest, CAST(0 AS DOUBLE)) AS newbalanceDest
-FROM feat""")
+FROM req""")
 def fill_missing_raw(spark, sf):
-    """Feature rows back to raw requests: type decoded, missing raw -> 0.0."""
-    f = C.features(spark, sf)
-    return QL.fill_missing(f.select("tx_id", type_decode().alias("type"), *RAW_NUMERIC),
+    """Requests made complete: type decoded from its code, missing raw -> 0.0."""
+    r = C.requests(spark, sf).withColumn("type_encoded", type_encoded())
+    return QL.fill_missing(r.select("tx_id", type_decode().alias("type"), *RAW_NUMERIC),
                            RAW_NUMERIC, 0.0)
 
 
@@ -167,15 +177,13 @@ def velocity_join_q(spark, sf):
 
 @query("cfg_p95", with_("tx") + "SELECT quantile_cont(amount, 0.95) AS large_threshold_p95 FROM tx")
 def cfg_p95(spark, sf):
-    v = exact_quantiles(C.tx(spark, sf), "amount", [0.95])[0]
-    return _one_row(spark, large_threshold_p95=float(v))
+    return quantile_row(C.tx(spark, sf), {"large_threshold_p95": ("amount", 0.95)})
 
 
 @query("cfg_median_dest", with_("tx")
        + "SELECT quantile_cont(oldbalanceDest, 0.5) AS median_oldbalanceDest FROM tx")
 def cfg_median_dest(spark, sf):
-    v = exact_quantiles(C.tx(spark, sf), "oldbalanceDest", [0.5])[0]
-    return _one_row(spark, median_oldbalanceDest=float(v))
+    return quantile_row(C.tx(spark, sf), {"median_oldbalanceDest": ("oldbalanceDest", 0.5)})
 
 
 @query("cfg_step_counts", with_("step_counts") + "SELECT step, n FROM step_counts")
@@ -186,17 +194,14 @@ def cfg_step_counts(spark, sf):
 @query("cfg_median_steps", with_("step_counts")
        + "SELECT quantile_cont(CAST(n AS DOUBLE), 0.5) AS median_transactions_in_step FROM step_counts")
 def cfg_median_steps(spark, sf):
-    v = CF.median_rows_per_step(CF.step_counts(C.tx(spark, sf)))
-    return _one_row(spark, median_transactions_in_step=float(v))
+    return CF.median_rows_per_step(CF.step_counts(C.tx(spark, sf)))
 
 
 @query("cfg_median_rows", with_("tx", "step_counts") + """
 SELECT quantile_cont(CAST(s.n AS DOUBLE), 0.5) AS median_transactions_in_step_rows
 FROM tx t JOIN step_counts s ON s.step = t.step""")
 def cfg_median_rows(spark, sf):
-    t = C.tx(spark, sf)
-    v = CF.median_rows_weighted(velocity_join(t, CF.step_counts(t)))
-    return _one_row(spark, median_transactions_in_step_rows=float(v))
+    return CF.median_rows_weighted(CF.step_counts(C.tx(spark, sf)))
 
 
 @query("cfg_step_bins", with_("tx") + """
@@ -279,13 +284,14 @@ SELECT 'ALT-' || strftime(created_at, '%Y%m%d%H%M%S') || '-' || CAST(tx_id AS VA
        strftime(created_at, '%Y-%m-%dT%H:%M:%S+00:00') AS created_at,
        CAST(tx_id AS VARCHAR) AS transaction_ref, final_risk_level AS risk_level,
        final_risk_score AS risk_score, ml_probability AS probability,
-       final_action AS recommended_action, array_to_string(policy_reasons, '|') AS reasons,
+       final_action AS recommended_action,
+       CAST(to_json([{{'reason': x}} for x in policy_reasons]) AS VARCHAR) AS reasons,
        'PENDING_REVIEW' AS status
 FROM scored WHERE final_risk_level <> 'LOW'""")
 def alerts(spark, sf):
     lg = C.log_table(spark, sf)
     return (lg.where(F.col("alert").isNotNull()).select("alert.*")
-            .withColumn("reasons", F.concat_ws("|", "reasons")))
+            .withColumn("reasons", F.to_json("reasons")))
 
 
 _HEUR_SQL = with_("sim_scored") + """

@@ -57,15 +57,17 @@ _UNION_CTE = """
 
 @query("log_decode", with_("logs") + """
 SELECT id, created_at, type AS tx_type, amount AS tx_amount, ml_probability, final_risk_level,
-       len(policy_reasons) AS n_reasons, alert_id
+       len(policy_reasons) AS n_reasons, alert_id,
+       CASE WHEN alert_id IS NOT NULL THEN len(policy_reasons) END AS n_alert_reasons
 FROM logs""")
 def log_decode(spark, sf):
     """Log rows through the JSON text layout and back (NULL-safe decode)."""
     d = IO.decode_log(IO.encode_log(C.log_table(spark, sf)))
+    d = d.withColumn("n_alert_reasons", F.when(F.col("alert").isNotNull(), F.size("alert.reasons")))
     return d.select("id", "created_at", F.col("transaction.type").alias("tx_type"),
                     F.col("transaction.amount").alias("tx_amount"), "ml_probability",
                     "final_risk_level", F.size("policy_reasons").alias("n_reasons"),
-                    F.col("alert.alert_id").alias("alert_id"))
+                    F.col("alert.alert_id").alias("alert_id"), "n_alert_reasons")
 
 
 _TX_FIELDS = ["step", "type", "amount", "oldbalanceOrg", "newbalanceOrig", "oldbalanceDest",
@@ -81,20 +83,32 @@ def log_flatten(spark, sf):
     return flat
 
 
-@query("log_append")
+@query("log_append", with_("logs") + """
+SELECT id, CAST(date_trunc('month', created_at) AS DATE) AS created_date, w.writer, w.batch_id,
+       final_risk_level
+FROM logs JOIN (VALUES ('a', 0, 2, 0), ('a', 1, 2, 1), ('b', 0, 3, 0)) w(writer, batch_id, m, r)
+  ON id % w.m = w.r""")
 def log_append(spark, sf):
-    """Bulk append of the scored batch to the partitioned log table (monthly
-    partitions: the fixture spreads few rows over thousands of days)."""
+    """Bulk appends of two writers, one batch of them replayed, to the partitioned
+    log table (monthly partitions: the fixture spreads few rows over thousands of
+    days). Writer b's batch 0 replaces nothing of writer a's."""
     path = scratch_path(spark, "prediction_logs")
-    IO.append_logs(C.logs(spark, sf), path, batch_id=0, grain="month")
-    return IO.read_logs(spark, path).select("id", "created_date", "batch_id", "final_risk_level")
+    logs = C.logs(spark, sf)
+    half = [logs.where(F.col("id") % 2 == i) for i in (0, 1)]
+    IO.append_logs(half[0], path, writer="a", batch_id=0, grain="month")
+    IO.append_logs(half[1], path, writer="a", batch_id=1, grain="month")
+    IO.append_logs(logs.where(F.col("id") % 3 == 0), path, writer="b", batch_id=0, grain="month")
+    IO.append_logs(half[0], path, writer="a", batch_id=0, grain="month")
+    return IO.read_logs(spark, path).select("id", "created_date", "writer",
+                                            F.col("batch_id").cast("int").alias("batch_id"),
+                                            "final_risk_level")
 
 
 @query("report_json")
 def report_json(spark, sf):
-    """Final-metrics record as one JSON document."""
+    """Final-metrics record written as one JSON document and read back."""
     from txrisk.plans.q_eval import final_metrics
-    return IO.report_json(final_metrics(spark, sf))
+    return IO.write_report(final_metrics(spark, sf), scratch_path(spark, "report"))
 
 
 # --------------------------------------------------------------------------- monitoring
@@ -148,7 +162,8 @@ SELECT CAST(created_at AS DATE) AS date, count(*) AS count FROM u
 WHERE created_at IS NOT NULL AND final_risk_level IN ('HIGH', 'CRITICAL')
 GROUP BY 1 ORDER BY 1 DESC LIMIT 14""")
 def alert_trend(spark, sf):
-    """HIGH/CRITICAL per day over stored + simulated rows, last 14 observed days."""
+    """HIGH/CRITICAL per day over stored + simulated rows, last 14 observed days,
+    ascending."""
     return M.alert_trend(_union(spark, sf))
 
 
@@ -191,13 +206,29 @@ def union_logs(spark, sf):
 
 # --------------------------------------------------------------------------- top-k / lookups
 
-_RECENT_COLS = ["id", "created_at", "final_risk_level", "final_risk_score", "ml_probability"]
-
-
-@query("recent_logs", with_("logs") + f"""
-SELECT {', '.join(_RECENT_COLS)} FROM logs ORDER BY id DESC LIMIT 50""")
+@query("recent_logs", with_("logs") + """
+SELECT l.id, l.created_at,
+       l.step AS tx_step, l.type AS tx_type, l.amount AS tx_amount, l.oldbalanceOrg AS tx_oldbalanceOrg,
+       l.newbalanceOrig AS tx_newbalanceOrig, l.oldbalanceDest AS tx_oldbalanceDest,
+       l.newbalanceDest AS tx_newbalanceDest,
+       l.ml_probability, l.ml_risk_level, l.ml_risk_score, l.final_risk_level, l.final_risk_score,
+       l.policy_override_applied = 1 AS policy_override_applied,
+       CAST(to_json(l.policy_reasons) AS VARCHAR) AS policy_reasons, l.suspicious_signal_count,
+       l.alert_id, CASE WHEN l.alert_id IS NOT NULL
+         THEN CAST(to_json([{'reason': x} for x in l.policy_reasons]) AS VARCHAR) END AS alert_reasons,
+       CASE WHEN l.alert_id IS NOT NULL THEN 'PENDING_REVIEW' END AS alert_status
+FROM logs l ORDER BY l.id DESC LIMIT 50""")
 def recent_logs(spark, sf):
-    return M.recent(C.log_table(spark, sf), 50, _RECENT_COLS)
+    """The latest 50 log records, all twelve fields decoded (the nested
+    transaction and alert are shown flat)."""
+    r = M.recent_records(C.log_table(spark, sf), 50)
+    return r.select("id", "created_at", *[F.col(f"transaction.{c}").alias(f"tx_{c}") for c in _TX_FIELDS],
+                    "ml_probability", "ml_risk_level", "ml_risk_score", "final_risk_level",
+                    "final_risk_score", "policy_override_applied",
+                    F.to_json("policy_reasons").alias("policy_reasons"), "suspicious_signal_count",
+                    F.col("alert.alert_id").alias("alert_id"),
+                    F.to_json("alert.reasons").alias("alert_reasons"),
+                    F.col("alert.status").alias("alert_status"))
 
 
 @query("recent_table", with_("logs") + """

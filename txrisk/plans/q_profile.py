@@ -14,7 +14,7 @@ from txrisk.plans.q_core import TX_COLS
 from txrisk.plans.registry import query
 
 DESCRIBE_COLS = ["step", "amount", "oldbalanceOrg", "newbalanceOrig", "oldbalanceDest",
-                 "newbalanceDest"]
+                 "newbalanceDest", "isFraud", "isFlaggedFraud"]
 BOX_COLS = ["amount", "oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newbalanceDest"]
 DUP_COLS = [c for c in TX_COLS if c not in ("tx_id", "created_at", "prob")]
 CORR_FEATURES = ["step", "amount", "oldbalanceOrg", "newbalanceOrig", "oldbalanceDest",
@@ -25,7 +25,7 @@ CORR_FEATURES = ["step", "amount", "oldbalanceOrg", "newbalanceOrig", "oldbalanc
                  "step_bucket", "transactions_in_step", "is_high_velocity_step",
                  "is_dest_high_balance", "type_risk_score", "suspicious_signal_count"]
 MATRIX_COLS = ["step", "amount", "oldbalanceOrg", "newbalanceOrig", "oldbalanceDest",
-               "newbalanceDest", "isFraud"]
+               "newbalanceDest", "isFraud", "isFlaggedFraud", "log_amount"]
 
 
 def _union(parts):
@@ -37,23 +37,51 @@ def row_count(spark, sf):
     return P.row_count(C.tx(spark, sf).select(*TX_COLS))
 
 
-@query("profile_columns")
+_KINDS = {"tx_id": "numeric", "created_at": "other", "step": "numeric", "type": "string",
+          "amount": "numeric", "nameOrig": "string", "oldbalanceOrg": "numeric",
+          "newbalanceOrig": "numeric", "nameDest": "string", "oldbalanceDest": "numeric",
+          "newbalanceDest": "numeric", "isFraud": "numeric", "isFlaggedFraud": "numeric",
+          "prob": "numeric"}
+
+
+@query("profile_columns", with_("req") + _union(
+    [f"SELECT CAST({i} AS INTEGER) AS position, '{c}' AS column_name, '{_KINDS[c]}' AS kind, "
+     f"count({c}) AS non_null FROM req" for i, c in enumerate(TX_COLS)]))
 def profile_columns(spark, sf):
-    """Column kinds (numeric / string / other) of the transaction table."""
-    return QL.columns_by_kind(C.tx(spark, sf).select(*TX_COLS))
+    """Column kinds (numeric / string / other) and non-null values of the requests."""
+    p = QL.columns_by_kind(C.requests(spark, sf).select(*TX_COLS))
+    return p.select("position", F.col("column").alias("column_name"), "kind", "non_null")
 
 
-@query("null_counts", with_("tx") + _union(
-    [f"SELECT '{c}' AS column_name, count(*) - count({c}) AS nulls FROM tx" for c in TX_COLS]))
+@query("null_counts", with_("req") + _union(
+    [f"SELECT '{c}' AS column_name, count(*) - count({c}) AS nulls FROM req" for c in TX_COLS]))
 def null_counts(spark, sf):
-    return QL.null_counts(C.tx(spark, sf).select(*TX_COLS)).withColumnRenamed("column", "column_name")
+    """Nulls per column of the requests."""
+    r = C.requests(spark, sf).select(*TX_COLS)
+    return QL.null_counts(r).withColumnRenamed("column", "column_name")
 
 
-@query("duplicate_count", with_("tx") + f"""
+@query("duplicate_count", with_("req") + f"""
 SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicate_rows
-FROM (SELECT count(*) AS n FROM tx GROUP BY {', '.join(DUP_COLS)}) g""")
+FROM (SELECT count(*) AS n FROM req GROUP BY {', '.join(DUP_COLS)}) g""")
 def duplicate_count(spark, sf):
-    return QL.duplicate_count(C.tx(spark, sf), DUP_COLS)
+    """Requests that repeat another one."""
+    return QL.duplicate_count(C.requests(spark, sf), DUP_COLS)
+
+
+_HEAD_COLS = ["tx_id", "step", "type", "amount", "isFraud"]
+
+
+@query("head_rows", with_("tx") + f"SELECT {', '.join(_HEAD_COLS)} FROM tx ORDER BY tx_id LIMIT 5")
+def head_rows(spark, sf):
+    """The first five rows by id (top-k, no global sort)."""
+    return P.head(C.tx(spark, sf).select(*_HEAD_COLS), "tx_id", 5)
+
+
+@query("tail_rows", with_("tx") + f"SELECT {', '.join(_HEAD_COLS)} FROM tx ORDER BY tx_id DESC LIMIT 5")
+def tail_rows(spark, sf):
+    """The last five rows by id."""
+    return P.tail(C.tx(spark, sf).select(*_HEAD_COLS), "tx_id", 5)
 
 
 def _describe_sql(src: str, group: str | None):
@@ -157,6 +185,30 @@ def histogram_amount(spark, sf):
     return P.histogram(C.tx(spark, sf), "amount", 50)
 
 
+@query("histogram_log_amount", with_("tx") + """
+, x AS (SELECT round(ln(1 + amount), 9) AS x FROM tx),
+r AS (SELECT min(x) AS lo, max(x) AS hi FROM x),
+c AS (SELECT CAST(CASE WHEN r.hi = r.lo THEN 0
+                  ELSE least(floor((x.x - r.lo) * (CAST(50 AS DOUBLE) / (r.hi - r.lo))), 49) END
+             AS INTEGER) AS bin, count(*) AS n
+      FROM x, r GROUP BY 1)""" + _HIST_SQL.format(g="", jg=""))
+def histogram_log_amount(spark, sf):
+    """50 equal-width bins of log(1 + amount)."""
+    t = C.tx(spark, sf).select(py_round(F.log1p("amount"), 9).alias("log_amount"))
+    return P.histogram(t, "log_amount", 50)
+
+
+@query("histogram_step", with_("tx") + """
+, r AS (SELECT CAST(min(step) AS DOUBLE) AS lo, CAST(max(step) AS DOUBLE) AS hi FROM tx),
+c AS (SELECT CAST(CASE WHEN r.hi = r.lo THEN 0
+                  ELSE least(floor((t.step - r.lo) * (CAST(50 AS DOUBLE) / (r.hi - r.lo))), 49) END
+             AS INTEGER) AS bin, count(*) AS n
+      FROM tx t, r GROUP BY 1)""" + _HIST_SQL.format(g="", jg=""))
+def histogram_step(spark, sf):
+    """50 equal-width bins of the time step."""
+    return P.histogram(C.tx(spark, sf).select("step"), "step", 50)
+
+
 @query("histogram_score_by_class", with_("tx") + """
 , s AS (SELECT isFraud, CAST(CAST(trunc(prob * CAST(100 AS DOUBLE)) AS INTEGER) AS DOUBLE) AS x FROM tx),
 r AS (SELECT isFraud, min(x) AS lo, max(x) AS hi FROM s GROUP BY isFraud),
@@ -213,10 +265,11 @@ def corr_with_label(spark, sf):
     return r.withColumn("corr", py_round(F.col("corr"), 6))
 
 
-@query("corr_matrix", with_("tx") + _corr_sql(_MATRIX_PAIRS, "tx"))
+@query("corr_matrix", with_("tx") + ", txl AS (SELECT *, ln(1 + amount) AS log_amount FROM tx)\n"
+       + _corr_sql(_MATRIX_PAIRS, "txl"))
 def corr_matrix(spark, sf):
-    """Upper triangle of the correlation matrix, one aggregation pass."""
-    r = P.correlations(C.tx(spark, sf), _MATRIX_PAIRS)
+    """Upper triangle (36 pairs) of the correlation matrix, one aggregation pass."""
+    r = P.correlations(C.tx(spark, sf).withColumn("log_amount", F.log1p("amount")), _MATRIX_PAIRS)
     return r.withColumn("corr", py_round(F.col("corr"), 6))
 
 

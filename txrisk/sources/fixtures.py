@@ -11,11 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txrisk.operators.joins import broadcast_if_small
-
 STEP_ORIGIN = "1992-01-01"
 STEP_PERIOD = 743
-N_DEST = 10  # destination accounts are the suppliers with key 0..9
 
 PRIORITY_TO_TYPE = {
     "1-URGENT": "TRANSFER",
@@ -68,16 +65,14 @@ def transactions(spark: SparkSession, sf_dir: str, with_prob: bool = True,
     o = (orders if orders is not None else read_table(spark, sf_dir, "orders")).select(
         "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
-    # Only ten supplier keys are referenced: the filter reaches the scan and
-    # the result is broadcast only after its row count is checked.
-    s = (read_table(spark, sf_dir, "supplier")
-         .where((F.col("s_suppkey") >= 0) & (F.col("s_suppkey") < N_DEST))
-         .select("s_suppkey", "s_acctbal"))
+    s = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
+    # destination accounts: all suppliers, whose keys are 0 .. count - 1
+    n_dest = s.agg(F.count("*").alias("n")).scalar()
     zero = F.lit(0.0)
     k = F.col("o_orderkey")
     df = (o.join(c, o.o_custkey == c.c_custkey)
-          .withColumn("_dest", k % N_DEST)
-          .join(broadcast_if_small(s, 10 * N_DEST), F.col("_dest") == F.col("s_suppkey")))
+          .withColumn("_dest", k % n_dest)
+          .join(s, F.col("_dest") == F.col("s_suppkey")))
     old_o = F.when(k % 6 == 0, zero).otherwise(F.greatest(F.col("c_acctbal"), zero) * F.lit(100.0))
     old_d = F.when(k % 3 == 0, zero).otherwise(F.greatest(F.col("s_acctbal"), zero) * F.lit(100.0))
     ttype = _case(F.col("o_orderpriority"), PRIORITY_TO_TYPE)
@@ -112,6 +107,25 @@ def transactions(spark: SparkSession, sf_dir: str, with_prob: bool = True,
     return df if with_prob else df.drop("prob")
 
 
+def requests(spark: SparkSession, sf_dir: str, tx: DataFrame | None = None) -> DataFrame:
+    """Transactions as callers might send them: one in fifty of each fault (null,
+    NaN and negative numbers, missing and unknown types, negative, missing and
+    late steps), and one row in twenty sent twice."""
+    t = tx if tx is not None else transactions(spark, sf_dir)
+    r = F.col("tx_id") % 50
+    null = F.lit(None)
+    t = t.withColumns({
+        "amount": F.when(r == 1, null).when(r == 9, -F.col("amount")).otherwise(F.col("amount")),
+        "oldbalanceOrg": F.when(r == 3, F.lit(-1.0)).otherwise(F.col("oldbalanceOrg")),
+        "newbalanceOrig": F.when(r == 2, F.lit(float("nan"))).otherwise(F.col("newbalanceOrig")),
+        "newbalanceDest": F.when(r == 10, null).otherwise(F.col("newbalanceDest")),
+        "type": F.when(r == 4, null).when(r == 5, F.lit("XYZ")).otherwise(F.col("type")),
+        "step": F.when(r == 6, F.lit(-5)).when(r == 7, null).when(r == 8, F.lit(5000))
+        .otherwise(F.col("step"))})
+    copies = F.when(F.col("tx_id") % 20 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return t.withColumn("_copy", F.explode(copies)).drop("_copy")
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tx_id, prob, isFraud: the evaluation input."""
     return transactions(spark, sf_dir).select("tx_id", "prob", "isFraud")
