@@ -1,4 +1,6 @@
 """Monitoring on empty input, explanation invariants, entry contract."""
+import math
+
 from pyspark.sql import functions as F
 
 from txrisk.operators import explain as X
@@ -57,6 +59,45 @@ def test_forest_attribution_adds_up(spark):
     assert worst < 1e-9
 
 
+def test_boosted_attribution_adds_up_to_the_margin(spark):
+    from txrisk.operators import models as ML
+    from txrisk.plans import context as C
+    from txrisk.schema import MODEL_COLUMNS
+    f = C.features(spark, SF).select("tx_id", *MODEL_COLUMNS, "isFraud")
+    m = ML.fit(f, MODEL_COLUMNS, ML.Preset("t", "gbt", {"maxIter": 4, "maxDepth": 4, "seed": 1}))
+    trees = X.tree_tables(ML.classifier(m), spark)
+    contrib = X.forest_contributions(f.limit(200), trees, MODEL_COLUMNS)
+    tot = contrib.groupBy("tx_id").agg((F.sum("contribution") + F.first("bias")).alias("margin"))
+    pred = ML.predict_proba(m, f.limit(200)).select("tx_id", F.col("prob"))
+    p = F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * F.col("margin")))
+    worst = tot.join(pred, "tx_id").select(F.max(F.abs(p - F.col("prob")))).first()[0]
+    assert worst < 1e-9
+
+
+def test_linear_reasons_explain_the_model_they_come_from(spark):
+    """Sum of the contributions and the intercept is the fitted model's margin, and
+    the reasons are its largest contributions."""
+    from txrisk.operators import models as ML
+    from txrisk.plans import context as C
+    from txrisk.schema import MODEL_COLUMNS
+    f = C.features(spark, SF).select("tx_id", *MODEL_COLUMNS, "isFraud")
+    m = ML.fit(f, MODEL_COLUMNS, "logreg")
+    coefs = X.model_coefficients(MODEL_COLUMNS, *ML.linear_coefficients(m, MODEL_COLUMNS))
+    few = f.limit(100)
+    r = few.select("tx_id", X.reasons(coefs, MODEL_COLUMNS, 3).alias("r"))
+    pred = ML.predict_proba(m, few).select("tx_id", "prob")
+    b = float(ML.classifier(m).intercept)
+    long = X.linear_contributions(few, coefs, MODEL_COLUMNS)
+    top = {}
+    for x in X.top_reasons(long, k=3).collect():
+        top.setdefault((x.tx_id, x.direction), []).append((x.rank, x.feature, x.contribution))
+    for x in r.join(pred, "tx_id").collect():
+        assert abs(1 / (1 + math.exp(-(x.r.margin + b))) - x.prob) < 1e-9
+        for got, d in ((x.r.toward, "fraud"), (x.r.against, "not_fraud")):
+            want = [(f_, c) for _, f_, c in sorted(top.get((x.tx_id, d), []))]
+            assert [(y.feature, y.contribution) for y in got] == want
+
+
 def test_entry_contract(spark):
     import __spark_entry__ as E
     df = E.entry(spark)

@@ -1,16 +1,18 @@
 """Explanations as Spark jobs.
 
-Linear contributions are exact column expressions, coef * (x - mean) /
-scale, computed wide (one column per feature) in a single projection. Per-row
-rankings (top reasons, explained alerts) are array sorts inside the row and
-global importance is one wide aggregation, so none of these shuffles by row
-id; the long table (id, feature, value, contribution) is produced only when
-asked for. Forest contributions (path attribution) run in ``mapInPandas``
-over partitions with the tree arrays broadcast; see ``forest_contributions``.
+A linear contribution is coef * (x - mean) / scale. Contributions of a batch of
+rows are one matrix expression in an Arrow batch, and per-row rankings (top
+reasons, explained alerts) one sort along its rows, so nothing shuffles by row
+id; the long table (id, feature, value, contribution) is produced only when asked
+for, and global importance adds up one row per feature and batch. (As column
+expressions, 29 features with their ranking generate methods beyond the JVM's
+compile limit; measured, that is several times slower.) Forest contributions
+(path attribution) run in ``mapInPandas`` with the tree arrays broadcast.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,115 +48,114 @@ def model_coefficients(features: list[str], coef: list[float], mean: list[float]
 
 # --------------------------------------------------------------------------- contributions
 
-def _c(f: str) -> str:
-    return f"contrib__{f}"
-
-
-def linear_contributions_wide(df: DataFrame, coefs: dict, features: list[str],
-                              keep: list[str], digits: int | None = None) -> DataFrame:
-    """X1, wide: keep columns, each feature value (as double) and its
-    contribution ``contrib__<feature>`` = coef * (value - mean) / scale (0 when
-    scale is 0 or missing). One projection; no shuffle."""
-    cols = []
-    for f in features:
-        coef, mean, scale = coefs[f]
-        x = F.col(f).cast("double")
-        z = (x - F.lit(mean)) / F.lit(scale) if scale and scale > 0 else F.lit(0.0)
-        cols.append((F.lit(coef) * z).alias(_c(f)))
-    wide = df.select(*keep, *[F.col(f).cast("double").alias(f) for f in features], *cols)
+def contributions_of(x, coefs: dict, features: list[str], digits: int | None = None):
+    """X1 on a matrix (rows x features): coef * (x - mean) / scale, 0 where the
+    scale is 0 or missing; optionally rounded half up to ``digits`` places (only
+    to compare engines)."""
+    import numpy as np
+    c, mean, scale = (np.array([coefs[f][i] or 0.0 for f in features]) for i in range(3))
+    ok = scale > 0
+    out = c * np.where(ok, (x - mean) / np.where(ok, scale, 1.0), 0.0)
     if digits is not None:
-        # rounding only to compare engines (last-bit noise), not a semantic of
-        # the scorer, so Spark's own round() is enough here
-        from txrisk.functions.numeric import round_half_up_fast
-        wide = wide.select(*keep, *features,
-                           *[round_half_up_fast(F.col(_c(f)), digits).alias(_c(f)) for f in features])
-    return wide
-
-
-def wide_to_long(wide: DataFrame, features: list[str], id_col: str = "tx_id") -> DataFrame:
-    """X1, long: (id, feature, value, contribution)."""
-    stack = ", ".join(f"'{f}', `{f}`, `{_c(f)}`" for f in features)
-    return wide.selectExpr(f"`{id_col}`",
-                           f"stack({len(features)}, {stack}) AS (feature, value, contribution)")
-
-
-def linear_contributions(df: DataFrame, coefs: dict, features: list[str],
-                         id_col: str = "tx_id") -> DataFrame:
-    return wide_to_long(linear_contributions_wide(df, coefs, features, [id_col]), features, id_col)
-
-
-def global_importance_wide(wide: DataFrame, features: list[str]) -> DataFrame:
-    """Mean |contribution| per feature in one aggregation pass."""
-    a = wide.agg(*[F.avg(F.abs(F.col(_c(f)))).alias(f"i{i}") for i, f in enumerate(features)])
-    stack = ", ".join(f"'{f}', i{i}" for i, f in enumerate(features))
-    return a.selectExpr(f"stack({len(features)}, {stack}) AS (feature, mean_abs_contribution)")
-
-
-def _items(features: list[str], keep) -> Column:
-    """Per-row array with one slot per feature: a struct ordered by
-    (-contribution, name rank) where ``keep(contribution)`` holds, else null.
-    The name rank is the feature's position in alphabetical order, so ties
-    break by name while the sort compares numbers only."""
-    rank = {f: i for i, f in enumerate(sorted(features))}
-    return F.array(*[F.when(keep(F.col(_c(f))), F.struct(
-        (-F.col(_c(f))).alias("neg"), F.lit(rank[f]).alias("name_rank"),
-        F.col(f).alias("value"), F.col(_c(f)).alias("contribution"))) for f in features])
-
-
-def feature_of(features: list[str], name_rank: Column) -> Column:
-    """Feature name from its alphabetical rank."""
-    return F.element_at(F.array(*[F.lit(f) for f in sorted(features)]), name_rank + 1)
+        unit = float(10 ** digits)
+        out = np.floor(out * unit + 0.5) / unit
+    return out
 
 
-def _count(features: list[str], keep) -> Column:
-    return sum((keep(F.col(_c(f))).cast("int") for f in features), F.lit(0))
+def _matrix(columns):
+    import numpy as np
+    return np.column_stack([c.to_numpy(zero_copy_only=False) for c in columns])
 
 
-def reasons_toward(features: list[str], k: int) -> Column:
-    """Top k positive contributions of the row, largest first (ties by
-    feature). ``sort_array`` puts the null slots first and orders the rest by
-    (-contribution, name rank); row-local, no lambda, no shuffle. Items are
-    struct<neg, name_rank, value, contribution>; see ``feature_of``."""
-    pos = lambda c: c > 0
-    nulls = F.lit(len(features)) - _count(features, pos)
-    return F.slice(F.sort_array(_items(features, pos)), nulls + 1, k)
+def _doubles(df: DataFrame, features: list[str], id_col: str) -> DataFrame:
+    return df.select(id_col, *[F.col(f).cast("double").alias(f) for f in features])
 
 
-def reasons_against(features: list[str], k: int) -> Column:
-    """The last k of the descending order among negative contributions."""
-    neg = lambda c: c < 0
-    n = len(features)
-    start = F.greatest(F.lit(n - k + 1), F.lit(n) - _count(features, neg) + 1)
-    return F.slice(F.sort_array(_items(features, neg)), start, k)
+def linear_contributions(df: DataFrame, coefs: dict, features: list[str], id_col: str = "tx_id",
+                         digits: int | None = None) -> DataFrame:
+    """X1, long: (id, feature, value, contribution)."""
+    import numpy as np
 
+    def run(batches):
+        names = pa.array(features)
+        for b in batches:
+            x = _matrix(b.columns[1:])
+            c = contributions_of(x, coefs, features, digits)
+            at = np.tile(np.arange(len(features), dtype=np.int32), len(x))
+            ids = b.column(0).take(pa.array(np.repeat(np.arange(len(x)), len(features))))
+            yield pa.RecordBatch.from_arrays(
+                [ids, names.take(pa.array(at)), pa.array(x.reshape(-1)), pa.array(c.reshape(-1))],
+                [id_col, "feature", "value", "contribution"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return _doubles(df, features, id_col).mapInArrow(
+        run, f"`{id_col}` {kind}, feature string, value double, contribution double")
+
+
+def global_importance(df: DataFrame, coefs: dict, features: list[str], id_col: str = "tx_id",
+                      digits: int | None = None) -> DataFrame:
+    """Mean |contribution| per feature; tasks send one row per feature and batch."""
+    import numpy as np
 
-def top_reasons_wide(wide: DataFrame, features: list[str], k: int = TOP_K_DEFAULT,
-                     id_col: str = "tx_id") -> DataFrame:
-    """X5 from the wide frame: (id, direction, rank, feature, value, contribution).
-    The two reason arrays are built once per row, then each is exploded in
-    its own branch (a literal direction per branch lets a filter on it prune
-    a whole branch)."""
-    arrs = wide.select(id_col, reasons_toward(features, k).alias("_tw"),
-                       reasons_against(features, k).alias("_ag"))
+    def run(batches):
+        for b in batches:
+            c = np.abs(contributions_of(_matrix(b.columns[1:]), coefs, features, digits))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(features), pa.array(c.sum(0)), pa.array([len(c)] * len(features))],
+                ["feature", "s", "n"])
 
-    def part(col: str, direction: str) -> DataFrame:
-        e = arrs.select(id_col, F.posexplode(col).alias("pos", "r"))
-        return e.select(id_col, F.lit(direction).alias("direction"), (F.col("pos") + 1).alias("rank"),
-                        feature_of(features, F.col("r.name_rank")).alias("feature"),
-                        "r.value", "r.contribution")
+    part = _doubles(df, features, id_col).mapInArrow(run, "feature string, s double, n long")
+    return part.groupBy("feature").agg(
+        (F.sum("s") / F.sum("n")).alias("mean_abs_contribution"))
 
-    return part("_tw", "fraud").unionByName(part("_ag", "not_fraud"))
 
+REASONS = ("struct<margin:double,toward:array<struct<feature:string,value:double,contribution:double>>,"
+           "against:array<struct<feature:string,value:double,contribution:double>>>")
 
-def global_importance(contrib: DataFrame, k: int | None = None) -> DataFrame:
-    """X3 on a long table: mean |contribution| per feature, largest first."""
-    g = contrib.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs_contribution"))
-    return g.orderBy(F.desc("mean_abs_contribution"), "feature").limit(k) if k else g
 
+def reasons(coefs: dict, features: list[str], k: int = TOP_K_DEFAULT,
+            digits: int | None = None) -> Column:
+    """X5 as a column over a feature frame: margin (sum of the contributions), the k
+    largest positive contributions (largest first) and the k most negative ones,
+    the last k of the descending order. Ties by feature name."""
+    import numpy as np
 
-def dependence(contrib: DataFrame, features: list[str]) -> DataFrame:
-    """(id, feature, value, contribution) for the chosen features."""
-    return contrib.where(F.col("feature").isin(*features))
+    names = sorted(features)
+    k = min(k, len(names))
+
+    def picked(x, c, order, take):
+        idx = order[take]
+        rows = np.repeat(np.arange(len(x)), take.sum(1))
+        items = pa.StructArray.from_arrays(
+            [pa.array(names).take(pa.array(idx)), pa.array(x[rows, idx]), pa.array(c[rows, idx])],
+            ["feature", "value", "contribution"])
+        ends = np.concatenate([[0], np.cumsum(take.sum(1))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), items)
+
+    def run(row: pa.Array) -> pa.Array:
+        x = _matrix(row.flatten())
+        c = contributions_of(x, coefs, names, digits)
+        order = np.argsort(-c, axis=1, kind="stable")   # names ascend, so ties do
+        place = np.arange(len(names))[None, :]
+        n_pos, n_neg = (c > 0).sum(1)[:, None], (c < 0).sum(1)[:, None]
+        first = place < np.minimum(n_pos, k)
+        last = place >= len(names) - np.minimum(n_neg, k)
+        return pa.StructArray.from_arrays(
+            [pa.array(c.sum(1)), picked(x, c, order, first), picked(x, c, order, last)],
+            ["margin", "toward", "against"])
+
+    return F.arrow_udf(run, REASONS)(F.struct(*[F.col(f).cast("double").alias(f) for f in names]))
+
+
+def top_reasons_rows(df: DataFrame, coefs: dict, features: list[str], k: int = TOP_K_DEFAULT,
+                     id_col: str = "tx_id", digits: int | None = None) -> DataFrame:
+    """(id, direction, rank, feature, value, contribution)."""
+    r = df.select(id_col, reasons(coefs, features, k, digits).alias("_r"))
+    both = F.array(F.struct(F.lit("fraud").alias("direction"), F.col("_r.toward").alias("items")),
+                   F.struct(F.lit("not_fraud").alias("direction"), F.col("_r.against").alias("items")))
+    e = r.select(id_col, F.explode(both).alias("d")).select(
+        id_col, "d.direction", F.posexplode("d.items").alias("pos", "r"))
+    return e.select(id_col, "direction", (F.col("pos") + 1).alias("rank"), "r.*")
 
 
 def top_reasons(contrib: DataFrame, k: int = TOP_K_DEFAULT, id_col: str = "tx_id",
@@ -218,24 +219,14 @@ def reason_text(feature: Column, value: Column) -> Column:
     return expr.otherwise(F.concat(F.lit(a), feature, F.lit(b)))
 
 
-def explained_alerts(scored_wide: DataFrame, features: list[str], k: int = TOP_K_DEFAULT,
-                     id_col: str = "tx_id") -> DataFrame:
-    """One record per alerted row with its ordered top reasons toward
-    fraud and their texts. Works on a scored frame that also carries the wide
-    contribution columns, so every record is built row-locally."""
-    # k fixed slots instead of a lambda: each slot is a plain expression on a
-    # bare array column, so the whole record stays in generated code
-    def slot(i: int) -> Column:
-        r = F.try_element_at(F.col("_top"), F.lit(i + 1))
-        name = feature_of(features, r["name_rank"])
-        return F.when(r.isNotNull(), F.struct(
-            name.alias("feature"), r["value"].alias("value"),
-            r["contribution"].alias("shap_contribution"),
-            reason_text(name, r["value"]).alias("reason_text")))
-
-    top = F.array_compact(F.array(*[slot(i) for i in range(k)]))
-    scored_wide = scored_wide.withColumn("_top", reasons_toward(features, k))
-    return scored_wide.where(F.col("alert").isNotNull()).select(
+def explained_alerts(scored: DataFrame, id_col: str = "tx_id") -> DataFrame:
+    """One record per alerted row with its ordered top reasons toward fraud and
+    their texts, from a scored frame with ``alert`` and the ``reasons`` column."""
+    top = F.transform("reasons.toward", lambda r: F.struct(
+        r["feature"].alias("feature"), r["value"].alias("value"),
+        r["contribution"].alias("shap_contribution"),
+        reason_text(r["feature"], r["value"]).alias("reason_text")))
+    return scored.where(F.col("alert").isNotNull()).select(
         id_col, F.col("alert.alert_id").alias("alert_id"),
         F.col("alert.transaction_ref").alias("transaction_ref"),
         F.col("alert.created_at").alias("created_at_utc"),
@@ -248,8 +239,14 @@ def explained_alerts(scored_wide: DataFrame, features: list[str], k: int = TOP_K
 
 def tree_tables(model, spark) -> list[dict]:
     """Node arrays of every tree of a fitted tree-ensemble classifier, read
-    from the model's saved data (one row per node; bounded by model size)."""
+    from the model's saved data (one row per node; bounded by model size).
+
+    A forest's trees hold class shares and are averaged to the probability; a
+    boosted model's are regression trees whose weighted predictions add up to the
+    margin (probability = 1 / (1 + exp(-2 * margin)))."""
     import numpy as np
+    from pyspark.ml.classification import GBTClassificationModel
+
     from txrisk.session import scratch_path
 
     path = scratch_path(spark, "forest")
@@ -257,11 +254,8 @@ def tree_tables(model, spark) -> list[dict]:
     data = spark.read.parquet(f"{path}/data")
     has_tree = "treeID" in data.columns
     rows = data.select(*(["treeID"] if has_tree else []), "nodeData.*").collect()
-    weights = None
-    try:
-        weights = list(model.treeWeights)
-    except Exception:  # noqa: BLE001
-        pass
+    boosted = isinstance(model, GBTClassificationModel)
+    weights = list(model.treeWeights)
     by_tree: dict[int, list] = {}
     for r in rows:
         by_tree.setdefault(r["treeID"] if has_tree else 0, []).append(r)
@@ -281,21 +275,21 @@ def tree_tables(model, spark) -> list[dict]:
                 feat[i] = r["split"]["featureIndex"]
                 thr[i] = r["split"]["leftCategoriesOrThreshold"][0]
             stats = r["impurityStats"]
-            if stats is not None and len(stats) >= 2 and sum(stats) > 0:
+            if not boosted and stats is not None and len(stats) >= 2 and sum(stats) > 0:
                 val[i] = stats[1] / sum(stats)  # class-1 share at the node
             else:
                 val[i] = r["prediction"]
         out.append({"left": left, "right": right, "feat": feat, "thr": thr, "val": val,
-                    "w": 1.0 if weights is None else float(weights[t])})
+                    "w": float(weights[t]), "boosted": boosted})
     return out
 
 
 def forest_contributions(df: DataFrame, trees: list[dict], features: list[str],
                          id_col: str = "tx_id") -> DataFrame:
-    """Path attribution per row: walking each tree, the change of the
-    node's class-1 share is credited to the split feature; contributions are
-    averaged over trees. Invariant: bias + sum(contributions) = the forest's
-    class-1 probability. Vectorized per Arrow batch in ``mapInPandas``."""
+    """Path attribution per row: walking each tree, the change of the node's
+    value is credited to the split feature. Invariant: bias + sum(contributions) =
+    the forest's class-1 probability (averaged over trees), or the boosted model's
+    margin (added over trees). Vectorized per Arrow batch in ``mapInPandas``."""
     import numpy as np
     import pandas as pd
 
@@ -325,8 +319,9 @@ def forest_contributions(df: DataFrame, trees: list[dict], features: list[str],
                     np.add.at(contrib, (idx, f), t["w"] * (t["val"][child] - t["val"][nd]))
                     node[idx] = child
                     active = t["left"][node] >= 0
-            contrib /= total_w
-            bias /= total_w
+            if not ts[0]["boosted"]:
+                contrib /= total_w
+                bias /= total_w
             ids = np.repeat(pdf[id_col].to_numpy(), nf)
             yield pd.DataFrame({
                 id_col: ids,

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from txrisk.functions.numeric import py_round
 from txrisk.operators import explain as X
 from txrisk.plans import context as C
 from txrisk.plans.oracle_base import with_
@@ -66,6 +67,7 @@ _KEY = "tx_id"
 
 
 _COEFS_MEMO: dict = {}
+C.MEMOS.append(_COEFS_MEMO)
 
 
 def _rounded_features(spark, sf):
@@ -81,22 +83,19 @@ def coefficients(spark, sf):
     return _COEFS_MEMO[k]
 
 
-def _wide(spark, sf, extra: list[str] | None = None):
-    """Features with the wide contribution columns (6 places)."""
-    return X.linear_contributions_wide(_rounded_features(spark, sf), coefficients(spark, sf),
-                                       MODEL_COLUMNS, [_KEY, *(extra or [])], digits=6)
-
-
 def _contrib(spark, sf):
-    return X.wide_to_long(_wide(spark, sf), MODEL_COLUMNS, _KEY)
+    return X.linear_contributions(_rounded_features(spark, sf), coefficients(spark, sf),
+                                  MODEL_COLUMNS, _KEY, digits=6)
 
 
 def _reasons(spark, sf):
-    return X.top_reasons_wide(_wide(spark, sf), MODEL_COLUMNS, TOP_K, _KEY)
+    return X.top_reasons_rows(_rounded_features(spark, sf), coefficients(spark, sf), MODEL_COLUMNS,
+                              TOP_K, _KEY, digits=6)
 
 
 def _importance(spark, sf):
-    g = X.global_importance_wide(_wide(spark, sf), MODEL_COLUMNS)
+    g = X.global_importance(_rounded_features(spark, sf), coefficients(spark, sf), MODEL_COLUMNS,
+                            _KEY, digits=6)
     from txrisk.functions.numeric import round_half_up_fast
     return g.withColumn("mean_abs_contribution", round_half_up_fast(F.col("mean_abs_contribution"), 6))
 
@@ -111,7 +110,7 @@ def contrib_linear(spark, sf):
 SELECT feature, mean_abs_contribution,
        row_number() OVER (ORDER BY mean_abs_contribution DESC, feature) AS rank FROM imp""")
 def global_importance(spark, sf):
-    """Mean |contribution| per feature (one wide aggregation), ranked."""
+    """Mean |contribution| per feature, ranked."""
     from pyspark.sql import Window
     # ranks over one row per feature (29 rows)
     return _importance(spark, sf).withColumn("rank", F.row_number().over(
@@ -124,16 +123,15 @@ JOIN (SELECT feature FROM imp ORDER BY mean_abs_contribution DESC, feature LIMIT
   ON t.feature = c.feature""")
 def dependence(spark, sf):
     """(value, contribution) pairs of the two most important features."""
-    top = _importance(spark, sf).orderBy(F.desc("mean_abs_contribution"), "feature").limit(2).collect()
-    feats = [r["feature"] for r in top]
-    return X.wide_to_long(_wide(spark, sf).select(_KEY, *feats, *[f"contrib__{f}" for f in feats]),
-                          feats, _KEY)
+    top = _importance(spark, sf).orderBy(F.desc("mean_abs_contribution"), "feature").limit(2)
+    return _contrib(spark, sf).join(top.select("feature"), "feature", "left_semi").select(
+        _KEY, "feature", "value", "contribution")
 
 
 @query("top_reasons", _CONTRIB + "SELECT tx_id, direction, rank, feature, value, contribution FROM ranked")
 def top_reasons(spark, sf):
-    """Top 8 contributions toward fraud and the 8 most negative, per row
-    (array sort inside each row: no shuffle)."""
+    """Top 8 contributions toward fraud and the 8 most negative, per row (sorted
+    inside each row: no shuffle)."""
     return _reasons(spark, sf)
 
 
@@ -146,7 +144,21 @@ def reason_text_q(spark, sf):
                     X.reason_text(F.col("feature"), F.col("value")).alias("reason_text"))
 
 
-@query("explained_alerts", _CONTRIB.replace(with_("feat"), with_("feat", "scored"), 1) + f"""
+def _model_scored_sql():
+    """The scoring chain on the probability of the explained scorer itself."""
+    from txrisk.plans.oracle_base import CTES
+    chain = []
+    for name, source in (("scored0", "feat"), ("scored1", "scored0"), ("scored2", "scored1"),
+                         ("scored", "scored2")):
+        chain.append(f"m{name} AS (" + CTES[name][1].replace(f"FROM {source}", f"FROM m{source}") + ")")
+    return """
+, msum AS (SELECT tx_id, sum(contribution) AS margin FROM contrib GROUP BY tx_id)
+, mfeat AS (SELECT f.* REPLACE (round(CAST(1 AS DOUBLE) / (CAST(1 AS DOUBLE) + exp(-m.margin)), 6) AS prob)
+            FROM feat f JOIN msum m ON m.tx_id = f.tx_id)
+, """ + "\n, ".join(chain)
+
+
+@query("explained_alerts", _CONTRIB + _model_scored_sql() + f"""
 , lists AS (
   SELECT tx_id, string_agg(feature, '|' ORDER BY rank) AS top_features,
          string_agg({_TEXT}, '|' ORDER BY rank) AS top_texts, count(*) AS n_reasons
@@ -156,17 +168,18 @@ SELECT 'ALT-' || strftime(s.created_at, '%Y%m%d%H%M%S') || '-' || CAST(s.tx_id A
        s.ml_risk_score AS risk_score, s.ml_risk_level AS risk_level,
        s.ml_action AS recommended_action, coalesce(l.n_reasons, 0) AS n_reasons,
        coalesce(l.top_features, '') AS top_features, coalesce(l.top_texts, '') AS top_texts
-FROM scored s LEFT JOIN lists l ON l.tx_id = s.tx_id
+FROM mscored s LEFT JOIN lists l ON l.tx_id = s.tx_id
 WHERE s.final_risk_level <> 'LOW'""")
 def explained_alerts(spark, sf):
-    """Each alert with its ranked reasons toward fraud and their texts, built
-    inside each row from the wide contributions."""
+    """Each alert with its ranked reasons toward fraud and their texts. Probability,
+    score, level and reasons all come from the same scorer: the probability is
+    the logistic function of the sum of the contributions."""
     from txrisk.operators.scoring import score, with_alerts
-    scored = with_alerts(score(_rounded_features(spark, sf)))
-    wide = X.linear_contributions_wide(
-        scored, coefficients(spark, sf), MODEL_COLUMNS,
-        [_KEY, "alert", "ml_probability", "ml_risk_score", "ml_risk_level", "ml_action"], digits=6)
-    e = X.explained_alerts(wide, MODEL_COLUMNS, TOP_K, _KEY)
+    f = _rounded_features(spark, sf).withColumn(
+        "reasons", X.reasons(coefficients(spark, sf), MODEL_COLUMNS, TOP_K, digits=6))
+    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("reasons.margin")))
+    scored = with_alerts(score(f.withColumn("model_prob", py_round(p, 6)), prob_col="model_prob"))
+    e = X.explained_alerts(scored, _KEY)
     return e.select("alert_id", "transaction_ref", "fraud_probability", "risk_score", "risk_level",
                     "recommended_action", F.size("top_reasons").cast("long").alias("n_reasons"),
                     F.concat_ws("|", F.transform("top_reasons", lambda r: r["feature"])).alias("top_features"),
