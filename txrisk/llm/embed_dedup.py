@@ -26,38 +26,42 @@ from txrisk.llm.common import store
 from txrisk.llm.components import connected_components
 
 DIMS = 8                 # principal coordinates that order and bound the vectors
-GRID = 3                 # leading coordinates whose cells blocks never cross
+GRID = 2                 # leading coordinates whose cells blocks never cross
 SAMPLE = 4096            # vectors the directions are fitted on (smallest id hashes)
-BLOCK = 1024             # vectors per block
+BLOCK = 4096             # vectors per block
 LEAF = 128
 SLACK = 1e-9             # on distance bounds, so rounding never skips a link
-MAX_CELL = 1 << 20
 
 
-def unit_rows(col) -> tuple[np.ndarray, list]:
-    """Which vectors count (non-null, finite, non-zero) and all of them as double
-    arrays scaled to length one (None where they do not count)."""
-    ok, out = np.zeros(len(col), bool), []
-    for i, x in enumerate(col):
-        v = None
-        if x.is_valid and len(x) and x.values.null_count == 0:
-            v = x.values.to_numpy(zero_copy_only=False).astype(np.float64)
-            big = np.abs(v).max() if np.isfinite(v).all() else 0.0
-            v = v / big if big > 0 else None       # no overflow in the norm
-        ok[i] = v is not None
-        out.append(None if v is None else v / np.sqrt(v @ v))
-    return ok, out
+def usable(x, kind: str) -> np.ndarray | None:
+    """A vector that counts (non-null, finite, non-zero) in its stored type, else None."""
+    if not x.is_valid or not len(x) or x.values.null_count:
+        return None
+    v = x.values.to_numpy(zero_copy_only=False).astype(kind)
+    return v if np.isfinite(v).all() and v.any() else None
 
 
-def principal_directions(vectors: DataFrame, sample: int, dims: int) -> dict[int, np.ndarray]:
+def unit(rows: np.ndarray) -> np.ndarray:
+    """Rows as doubles of length one (scaled first, so no norm overflows)."""
+    u = rows.astype(np.float64)
+    u /= np.abs(u).max(1)[:, None]
+    return u / np.sqrt((u * u).sum(1))[:, None]
+
+
+def matrix(raw: bytes, length: int, kind: str) -> np.ndarray:
+    return unit(np.frombuffer(raw, kind).reshape(-1, length))
+
+
+def principal_directions(vectors: DataFrame, sample: int, dims: int,
+                         kind: str) -> dict[int, np.ndarray]:
     """Leading directions by vector length, from a bounded sample; any
     orthonormal directions give right results, these order best."""
 
     def units(batches):
         for b in batches:
-            ok, u = unit_rows(b.column(1))
+            good = [v for v in (usable(x, kind) for x in b.column(1)) if v is not None]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x for x in u if x is not None], pa.list_(pa.float64()))], ["u"])
+                [pa.array([unit(v[None, :])[0] for v in good], pa.list_(pa.float64()))], ["u"])
 
     rows = (vectors.where("id is not null and vec is not null")
             .orderBy(F.xxhash64(F.lit("directions"), "id"), "id").limit(sample)
@@ -145,35 +149,34 @@ def join_blocks(ua, ub, xa, xb, same: bool, min_cos: float, eps: float, leaf: in
     return (na + nb, nb, links) if same else (na, nb, links)
 
 
-def prepare(vectors: DataFrame, id_col: str, vec_col: str, basis: dict, eps: float,
-            dims: int) -> DataFrame:
-    """(id, sig, u, cells): sig tells apart vectors repeated under one id; u and
-    cells are null for vectors that link with nothing."""
+def prepare(vectors: DataFrame, basis: dict, eps: float, dims: int, kind: str) -> DataFrame:
+    """(id, sig, vec, cells): the vector's bytes and grid cells, null for vectors
+    that link with nothing; sig tells apart vectors repeated under one id."""
     import xxhash
 
     def run(batches):
         for b in batches:
-            ok, u = unit_rows(b.column(1))
-            raw = [None if v is None else v.tobytes() for v in u]
-            cells: list = [None] * len(u)
-            for i in np.flatnonzero(ok):
-                x = np.floor(_coords(u[i][None, :], basis, dims)[0] / eps)
-                cells[i] = [len(u[i]), *np.clip(x, -MAX_CELL, MAX_CELL).astype(int).tolist()]
-            keep = [c if i.is_valid else None for c, i in zip(cells, b.column(0))]
+            vs = [usable(x, kind) for x in b.column(1)]
+            raw = [None if v is None else v.tobytes() for v in vs]
+            cells: list = [None] * len(vs)
+            for i, v in enumerate(vs):
+                if v is not None and b.column(0)[i].is_valid:
+                    x = np.floor(_coords(unit(v[None, :]), basis, dims)[0] / eps)
+                    cells[i] = [len(v), *x.astype(int).tolist()]
             sig = [xxhash.xxh3_64_intdigest(r or b"") - (1 << 63) for r in raw]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(sig, pa.int64()), pa.array(raw, pa.binary()),
-                 pa.array(keep, pa.list_(pa.int32()))], ["id", "sig", "u", "cells"])
+                 pa.array(cells, pa.list_(pa.int32()))], ["id", "sig", "vec", "cells"])
 
-    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
-    return v.mapInArrow(run, "id long, sig long, u binary, cells array<int>")
+    return vectors.mapInArrow(run, "id long, sig long, vec binary, cells array<int>")
 
 
 BLOCK_SCHEMA = ("block long, length int, cell array<int>, lo array<double>, hi array<double>, "
-                "ids array<long>, sigs array<long>, u binary")
+                "ids array<long>, sigs array<long>, vecs binary")
 
 
-def cut_blocks(prepared: DataFrame, basis: dict, dims: int, grid: int, block: int) -> DataFrame:
+def cut_blocks(prepared: DataFrame, basis: dict, dims: int, grid: int, block: int,
+               kind: str) -> DataFrame:
     """The vectors in epsilon grid order, cut into stored blocks."""
 
     def run(batches):
@@ -183,29 +186,29 @@ def cut_blocks(prepared: DataFrame, basis: dict, dims: int, grid: int, block: in
 
         def emit():
             nonlocal made, held
-            u = np.stack([np.frombuffer(h[2]) for h in held])
-            x = _coords(u, basis, dims)
+            raw = b"".join(h[2] for h in held)
+            x = _coords(matrix(raw, cell[0], kind), basis, dims)
             made += 1
             out = pa.RecordBatch.from_arrays(
                 [pa.array([(part << 32) + made]), pa.array([cell[0]], pa.int32()),
                  pa.array([list(cell[1:])], pa.list_(pa.int32())),
                  pa.array([x.min(0).tolist()]), pa.array([x.max(0).tolist()]),
                  pa.array([[h[0] for h in held]]), pa.array([[h[1] for h in held]]),
-                 pa.array([u.tobytes()], pa.binary())],
-                ["block", "length", "cell", "lo", "hi", "ids", "sigs", "u"])
+                 pa.array([raw], pa.binary())],
+                ["block", "length", "cell", "lo", "hi", "ids", "sigs", "vecs"])
             held = []
             return out
 
         for b in batches:
-            for i, s, u, c in zip(b.column("id").to_pylist(), b.column("sig").to_pylist(),
-                                  b.column("u").to_pylist(), b.column("cells").to_pylist()):
+            for i, s, v, c in zip(b.column("id").to_pylist(), b.column("sig").to_pylist(),
+                                  b.column("vec").to_pylist(), b.column("cells").to_pylist()):
                 if (i, s) == last:                # a repeated row: counted once
                     continue
                 c = tuple(c[:1 + grid])
                 if held and (c != cell or len(held) == block):
                     yield emit()
                 cell, last = c, (i, s)
-                held.append((i, s, u))
+                held.append((i, s, v))
         if held:
             yield emit()
 
@@ -239,7 +242,7 @@ def block_pairs(blocks: DataFrame, eps: float, grid: int) -> DataFrame:
 
 
 def link_blocks(blocks: DataFrame, pairs: DataFrame, basis: dict, dims: int, min_cos: float,
-                eps: float) -> DataFrame:
+                eps: float, kind: str) -> DataFrame:
     """Rows (kind, x, y, n): kind 0 a vector (id, sig) with n links found in one
     pair of blocks; kind 1 a link (id, id) of the spanning forest."""
 
@@ -248,8 +251,7 @@ def link_blocks(blocks: DataFrame, pairs: DataFrame, basis: dict, dims: int, min
             for r in range(b.num_rows):
                 get = lambda name: b.column(name)[r].as_py()  # noqa: B023, E731
                 n = get("length")
-                ua = np.frombuffer(get("ua")).reshape(-1, n)
-                ub = np.frombuffer(get("ub")).reshape(-1, n)
+                ua, ub = matrix(get("va"), n, kind), matrix(get("vb"), n, kind)
                 same = get("a") == get("b")
                 ia, ib, sa, sb = get("ia"), get("ib"), get("sa"), get("sb")
                 na, nb, links = join_blocks(ua, ub, _coords(ua, basis, dims),
@@ -264,9 +266,9 @@ def link_blocks(blocks: DataFrame, pairs: DataFrame, basis: dict, dims: int, min
                     ["kind", "x", "y", "n"])
 
     left = blocks.select(F.col("block").alias("a"), "length", F.col("ids").alias("ia"),
-                         F.col("sigs").alias("sa"), F.col("u").alias("ua"))
+                         F.col("sigs").alias("sa"), F.col("vecs").alias("va"))
     right = blocks.select(F.col("block").alias("b"), F.col("ids").alias("ib"),
-                          F.col("sigs").alias("sb"), F.col("u").alias("ub"))
+                          F.col("sigs").alias("sb"), F.col("vecs").alias("vb"))
     return (pairs.join(left, "a").join(right, "b")
             .mapInArrow(run, "kind int, x long, y long, n long"))
 
@@ -283,13 +285,16 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     empty result; other columns are ignored. The recursion compares vectors, not
     labels, in double precision.
     """
-    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
+    single = vectors.schema[vec_col].dataType.simpleString() == "array<float>"
+    kind = "<f4" if single else "<f8"             # vectors travel in their own precision
+    vec = F.col(vec_col) if single else F.col(vec_col).cast("array<double>")
+    v = vectors.select(F.col(id_col).cast("long").alias("id"), vec.alias("vec"))
     eps = float(np.sqrt(2 - 2 * min_cos))
-    basis = principal_directions(v, sample, dims)
-    prepared = store(prepare(v, "id", "vec", basis, eps, dims), "unit-vectors")
-    blocks = store(cut_blocks(prepared, basis, dims, grid, block), "vector-blocks")
+    basis = principal_directions(v, sample, dims, kind)
+    prepared = store(prepare(v, basis, eps, dims, kind), "prepared-vectors")
+    blocks = store(cut_blocks(prepared, basis, dims, grid, block, kind), "vector-blocks")
     pairs = block_pairs(blocks, eps, grid)
-    found = store(link_blocks(blocks, pairs, basis, dims, min_cos, eps), "vector-links")
+    found = store(link_blocks(blocks, pairs, basis, dims, min_cos, eps, kind), "vector-links")
     counts = (found.where("kind = 0").groupBy(F.col("x").alias("id"), F.col("y").alias("sig"))
               .agg(F.sum("n").alias("n_links")))
     labels = connected_components(found.where("kind = 1"), "x", "y")
