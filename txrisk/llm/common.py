@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+import functools
 import sys
 import types
 
 from pyspark.sql import DataFrame, SparkSession
 
+from txrisk.plans import registry
 from txrisk.session import scratch_path
 
+#: Bytes of a batch that goes to or comes from Python. Long texts and matrices make
+#: batches of the default size (64 MB) large for workers that share a machine.
+ARROW_BYTES = 8 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """Session settings that the operators' queries rely on."""
+    registry.prepare(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -34,3 +46,22 @@ def process_cache() -> dict:
     mod = sys.modules.setdefault("_txrisk_llm_process_cache",
                                  types.ModuleType("_txrisk_llm_process_cache"))
     return mod.__dict__.setdefault("items", {})
+
+
+def frees_memory(run):
+    """A function over Arrow batches that gives freed memory back to the machine when
+    its task ends: workers are reused, and others need the room meanwhile."""
+    @functools.wraps(run)
+    def wrapped(batches):
+        import ctypes
+
+        import pyarrow as pa
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)   # glibc only
+            if trim is not None:
+                trim(0)
+
+    return wrapped

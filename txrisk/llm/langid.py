@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from txrisk.llm.common import frees_memory
+
 SPECTRUM = 3
 LANDMARKS = 64           # expected landmark texts per language
 SAMPLE = 1500            # expected training texts per language (documented bound)
@@ -181,7 +183,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 ["id", "lang", "k"])
 
     got = rows.where(u < share(sample)).mapInArrow(
-        kernel_rows, "id long, lang string, k array<float>").collect()
+        frees_memory(kernel_rows), "id long, lang string, k array<float>").collect()
     got = sorted((r["lang"], -1 if r["id"] is None else r["id"], r["k"]) for r in got)
     marked = landmark_matrix().astype(np.float64)
     k_nm = np.array([g[2] for g in got], np.float64).reshape(len(got), m)
@@ -242,7 +244,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, text_col: str = "text"
                     [*(b.column(k) for k in range(width)), pa.array(lang, pa.string()),
                      pa.array(score, pa.float64()), pa.array(cover, pa.float64())], out.names)
 
-    return docs.select("*", has_letter(F.col(text_col)).alias("_letter")).mapInArrow(run, out)
+    return docs.select("*", has_letter(F.col(text_col)).alias("_letter")).mapInArrow(frees_memory(run), out)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -21,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from txrisk.llm.common import frees_memory
 from txrisk.llm.tokens import WORD_BPE, vocabulary_path, word_tokenizer
 
 TIERS = (512, 1024, 2048, 4096)
 SHARD_BYTES = 12 << 20   # bytes of text per shard; token ids take about as many
 STEP_TOKENS = 1 << 16
 END_ID = 2
-ENCODE_CHARS = 1 << 21   # characters tokenised at a time
+ENCODE_CHARS = 1 << 20   # characters tokenised at a time
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long, window int, step_group long")
 
@@ -118,7 +119,7 @@ def token_rows(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFr
                     ["doc_id", "ids"])
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return d.mapInArrow(run, "doc_id long, ids binary")
+    return d.mapInArrow(frees_memory(run), "doc_id long, ids binary")
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 from txrisk.llm import (chat, embed_dedup, exact_dedup, langid, license_scan, line_dedup, mixing,
                         packing, simhash, token_output)
-from txrisk.llm.common import table
-from txrisk.plans.registry import prepare
+from txrisk.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txrisk.llm.common import store
+from txrisk.llm.common import frees_memory, store
 from txrisk.llm.components import connected_components
 
 BITS = 64
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3,
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                     F.col(text_col).cast("binary").alias("text"))
-    return d.mapInArrow(run, "doc_id long, fp long")
+    return d.mapInArrow(frees_memory(run), "doc_id long, fp long")
 
 
 def _segments(max_bits: int) -> list[tuple[int, int]]:

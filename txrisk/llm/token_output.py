@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from txrisk.llm.common import frees_memory
 from txrisk.llm.tokens import BYTE_BPE, byte_encoding, vocabulary_path
 
 WINDOW = 2048
@@ -128,7 +129,7 @@ def packed_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.table([pa.array(c, ty) for c, ty in zip(rows, types)], names=names)
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = d.mapInArrow(encode, "doc_id long, ids binary").withColumn(
+    rows = d.mapInArrow(frees_memory(encode), "doc_id long, ids binary").withColumn(
         "shard", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(shards)))
     return rows.groupBy("shard").applyInArrow(build, SCHEMA)
 
