@@ -13,7 +13,7 @@ from txrisk.session import scratch_path
 
 #: Bytes of a batch that goes to or comes from Python. Long texts and matrices make
 #: batches of the default size (64 MB) large for workers that share a machine.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:

@@ -17,7 +17,7 @@ from txrisk.llm.common import store
 
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = 42
-ROWS_PER_BUCKET = 8192
+ROWS_PER_BUCKET = 2048
 MAX_EPOCHS = 3
 
 
