@@ -43,13 +43,16 @@ def _case(col: F.Column, mapping: dict) -> F.Column:
     return expr
 
 
-def orders_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
-    """The orders file replayed as a file stream (same schema as the batch read)."""
-    schema = read_table(spark, sf_dir, "orders").schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet")
-    if max_files:
-        r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(sf_dir)
+def file_stream(table: DataFrame, path: str, files: int = 4) -> DataFrame:
+    """A table replayed as a stream of ``files`` files, one per micro-batch."""
+    table.repartition(files).write.parquet(path)
+    return (table.sparkSession.readStream.schema(table.schema).option("maxFilesPerTrigger", 1)
+            .parquet(path))
+
+
+def orders_stream(spark: SparkSession, sf_dir: str, path: str, files: int = 4) -> DataFrame:
+    """The orders replayed as a stream of several micro-batches."""
+    return file_stream(read_table(spark, sf_dir, "orders"), path, files)
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,8 +93,9 @@ def start_score_stream(tx_stream: DataFrame, cfg: FeatureConfig, log_path: str,
 
 
 def start_window_stream(agg: DataFrame, path: str, checkpoint: str, available_now: bool = True,
-                        state_partitions: int | None = None):
-    """Windowed aggregate in update mode through an idempotent batch sink.
+                        state_partitions: int | None = None, mode: str = "update"):
+    """Stateful stream (a windowed aggregate in update mode, or deduplicated rows in
+    append mode) through an idempotent batch sink.
     The state store keeps the shuffle partition count the query starts with
     (AQE does not resize streaming state), so it is set to the cluster's
     parallelism unless given."""
@@ -103,7 +104,7 @@ def start_window_stream(agg: DataFrame, path: str, checkpoint: str, available_no
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", str(n))
     try:
-        w = (agg.writeStream.outputMode("update")
+        w = (agg.writeStream.outputMode(mode)
              .foreachBatch(lambda df, bid: write_batch(df, path, bid))
              .option("checkpointLocation", checkpoint))
         w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
