@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txrisk.llm import langid, line_dedup, mixing, packing, simhash
-from txrisk.llm.common import store, table
-from txrisk.plans.registry import prepare
+from txrisk.llm.common import prepare, store, table
 
 #: Share of a text's n-grams that the learned languages must know.
 MIN_COVERAGE = 0.5
