@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from tests.llm.helpers import clashing, documents, words
-from txrisk.llm.token_output import END_ID, PAD_ID, RoomTree, best_fit_decreasing, packed_ids
+from txrisk.llm.token_output import (END_ID, PAD_ID, RoomTree, best_fit_decreasing, packed_ids,
+                                     write_matrices)
 
 
 def _slow_best_fit(sizes, window):
@@ -72,3 +73,10 @@ def test_matrices_decode_to_the_texts(spark):
 
 def test_empty_table(spark):
     assert packed_ids(documents(spark, [])).count() == 0
+
+
+def test_written_matrices_read_back(spark, tmp_path):
+    packed = packed_ids(documents(spark, [(1, "one two three", "en", "s"), (2, "four", "en", "s")]))
+    write_matrices(packed, str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(got.collect(), key=str) == sorted(packed.collect(), key=str)
