@@ -159,4 +159,5 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         return pa.table([pa.array(c, ty) for c, ty in zip(cols, types)], names=names)
 
-    return rows.groupBy("shard").applyInArrow(run, SCHEMA)
+    # as many partitions as shards, whatever the session's shuffle setting is
+    return rows.repartition(shards, "shard").groupBy("shard").applyInArrow(run, SCHEMA)

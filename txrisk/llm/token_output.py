@@ -131,7 +131,8 @@ def packed_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = d.mapInArrow(frees_memory(encode), "doc_id long, ids binary").withColumn(
         "shard", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(shards)))
-    return rows.groupBy("shard").applyInArrow(build, SCHEMA)
+    # as many partitions as shards, whatever the session's shuffle setting is
+    return rows.repartition(shards, "shard").groupBy("shard").applyInArrow(build, SCHEMA)
 
 
 def write_matrices(packed: DataFrame, path: str) -> None:

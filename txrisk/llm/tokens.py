@@ -11,7 +11,7 @@ from txrisk.llm.common import process_cache
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.tiktoken"
-CACHE = 80_000  # chunks per generation of a worker's cache
+CACHE = 200_000  # chunks per generation of a worker's cache
 
 
 def vocabulary_path(name: str, folder: str | None = None) -> str:
