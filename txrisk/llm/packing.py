@@ -119,7 +119,7 @@ def token_rows(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFr
                     ["doc_id", "ids"])
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return d.mapInArrow(frees_memory(run), "doc_id long, ids binary")
+    return d.mapInArrow(frees_memory(run, cached=True), "doc_id long, ids binary")
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -129,7 +129,7 @@ def packed_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.table([pa.array(c, ty) for c, ty in zip(rows, types)], names=names)
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = d.mapInArrow(frees_memory(encode), "doc_id long, ids binary").withColumn(
+    rows = d.mapInArrow(frees_memory(encode, cached=True), "doc_id long, ids binary").withColumn(
         "shard", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(shards)))
     # as many partitions as shards, whatever the session's shuffle setting is
     return rows.repartition(shards, "shard").groupBy("shard").applyInArrow(build, SCHEMA)
