@@ -175,6 +175,7 @@ def heuristic_reasons(amount: Column, country: Column, hour: Column, signals: Co
                       velocity: Column) -> Column:
     """The simulator's five additive rules, in order (the signal rule prints the
     actual count)."""
+    # fixed values: the reason texts
     return F.array_compact(F.array(
         F.when(signals >= 3, F.format_string(
             "Policy: Multiple suspicious signals detected (>=%d)", signals)),

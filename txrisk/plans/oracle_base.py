@@ -212,7 +212,8 @@ SELECT event_id AS id, ts AS created_at, value * CAST(200 AS DOUBLE) AS amount,
        event_id % 5 = 0 AS velocity_flag
 FROM events""")
 
-
+# The simulator's weights, thresholds and reason texts (written out again,
+# independent of the engine).
 cte("sim_scored", ["sim_events"], """
 SELECT * FROM (SELECT *,
         CASE WHEN final_risk_score >= 85 THEN 'CRITICAL' WHEN final_risk_score >= 60 THEN 'HIGH'
