@@ -87,3 +87,14 @@ def test_unlabelled_documents_pass_language_id(spark):
 def test_run_over_the_documents_table(spark, sf):
     out = P.run(spark, sf)
     assert out.columns[:3] == ["doc_id", "start", "length"] and out.count() > 100
+
+
+def test_short_and_unspaced_lines_recur(spark):
+    rng = random.Random(5)
+    notice = "本網站所有內容均受版權保護" * 20
+    rows = [(i, "\n".join(["Les.", text_of(rng, "fr", 12), "", "And ornd.", notice, f"{i}", ""]), "fr", "s")
+            for i in range(9)]
+    got = {r["doc_id"]: r["text"] for r in P.drop_lines(spark, documents(spark, rows), "unused").collect()}
+    assert got[0] == rows[0][1]
+    # blank lines and numbers of their own stay
+    assert all(got[i] == "\n".join([rows[i][1].split("\n")[1], "", f"{i}", ""]) for i in range(1, 9))
