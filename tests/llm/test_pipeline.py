@@ -98,3 +98,17 @@ def test_short_and_unspaced_lines_recur(spark):
     assert got[0] == rows[0][1]
     # blank lines and numbers of their own stay
     assert all(got[i] == "\n".join([rows[i][1].split("\n")[1], "", f"{i}", ""]) for i in range(1, 9))
+
+
+def test_a_long_passage_recurs_from_two_documents_on(spark):
+    rng = random.Random(6)
+    passage = text_of(rng, "de", 60)
+    own = [[text_of(rng, "de", 30) for _ in range(3)] for _ in range(6)]
+    rows = [(i, "\n".join([*own[i], "kurze Zeile"] if i > 1 else [own[i][0], passage, *own[i][1:], "kurze Zeile"]),
+             "de", "s") for i in range(4)]
+    rows += [(4, "\n".join([passage.replace("e", "a"), *own[4]]), "de", "s"),
+             (5, "\n".join([passage.replace("e", "a"), *own[4]]), "de", "s")]   # a copy, short lines too
+    got = {r["doc_id"]: r["text"] for r in P.drop_lines(spark, documents(spark, rows), "unused").collect()}
+    assert got[0] == rows[0][1] and got[4] == rows[4][1] and 5 not in got
+    assert got[1] == "\n".join(own[1])         # what is shared with document 0 goes
+    assert [got[i] for i in (2, 3)] == [rows[i][1] for i in (2, 3)]   # four documents: short line stays
