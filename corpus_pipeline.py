@@ -42,7 +42,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go, of any length; so do documents that consisted
     of them."""
     prepare(spark)
-    out = line_dedup.drop_recurring_lines(docs, min_tokens=1, long_docs=2)
+    out = line_dedup.drop_recurring_lines(docs, min_tokens=1, long_docs=2, tree=True)
     blank = F.coalesce(F.col("text").rlike(r"^[\x20\x09-\x0D]*$"), F.lit(False))
     return _counted(out.where(~((F.col("_dropped") > 0) & blank)).select(*docs.columns))
 

@@ -112,3 +112,21 @@ def test_a_long_passage_recurs_from_two_documents_on(spark):
     assert got[0] == rows[0][1] and got[4] == rows[4][1] and 5 not in got
     assert got[1] == "\n".join(own[1])         # what is shared with document 0 goes
     assert [got[i] for i in (2, 3)] == [rows[i][1] for i in (2, 3)]   # four documents: short line stays
+
+
+def test_lines_with_variable_fields_recur(spark):
+    rng = random.Random(8)
+
+    def name():
+        return text_of(rng, "de", 1) + "abcdefghij"[rng.randrange(10)]
+
+    notice = [w + "n" for w in text_of(rng, "de", 40).split()]
+    rows, own = [], []
+    for i in range(40):
+        own.append([text_of(rng, "de", 12), f"Und die {text_of(rng, 'de', 3)}"])
+        far = notice[:3] + [name()] + notice[4:33] + [name()] + notice[34:]
+        rows.append((i, "\n".join([own[i][0], f"Posted by {name()} in {name()}", own[i][1],
+                                   f"{name()} wrote this for us", " ".join(far)]), "de", "s"))
+    got = {r["doc_id"]: r["text"] for r in P.drop_lines(spark, documents(spark, rows), "unused").collect()}
+    assert got[0] == rows[0][1]
+    assert all(got[i] == "\n".join(own[i]) for i in range(1, 40))
