@@ -63,3 +63,28 @@ def test_table_cases(spark):
     assert got == sorted([(1, "GPL-3.0"), (None, "MIT"), (5, "Apache-2.0"), (6, "MIT"), (6, "MIT")],
                          key=str)
     assert scan_licenses(documents(spark, [])).count() == 0
+
+
+def test_versions_and_variants_are_told_apart(spark):
+    index = TemplateIndex(TEMPLATES)
+
+    def names(text):
+        return [f[0] for f in scan_text(text, index)]
+
+    for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
+        for version in ("3.0", "4.0"):
+            assert names(f"Text. Licensed under CC {kind} {version}. More.") == [f"CC-{kind}-{version}"]
+    assert names("Licensed under CC BY-ND 7.0.") == []
+    gnu = "This work is licensed under the GNU {}General Public License, version {}."
+    for kind, version, want in (("", 2, "GPL-2.0"), ("", 3, "GPL-3.0"), ("Lesser ", "2.1", "LGPL-2.1"),
+                                ("Lesser ", 3, "LGPL-3.0"), ("Affero ", 3, "AGPL-3.0")):
+        assert names(gnu.format(kind, version)) == [want]
+    assert names(gnu.format("", 9)) == []
+    assert names(TEMPLATES["BSD-2-Clause-text"]) == ["BSD-2-Clause-text"]
+    # a table of the caller's, with a long body
+    rng = random.Random(4)
+    body = words(rng, 3000)
+    table = spark.createDataFrame([("Own-1.0", body)], "license string, text string")
+    docs = documents(spark, [(1, "before " + body + " after", "en", "s"), (2, "none of it", "en", "s")])
+    assert [(r["doc_id"], r["license"], r["coverage"]) for r in
+            scan_licenses(docs, templates=table).collect()] == [(1, "Own-1.0", 1.0)]

@@ -20,13 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txrisk.llm.license_templates import TEMPLATES
+from txrisk.llm.license_templates import TEMPLATES, VARIANTS
 
 WORD = re.compile(r"[^\W_]+")
 GRAM = 3
 WINDOW = 2               # trigrams: shared runs of GRAM + WINDOW - 1 words always meet
 BAND = 8                 # words that may be inserted or left out around a diagonal
 COVERAGE = 0.8
+NUMBERED = 200           # words up to which a template's numbers must all be in a match
 HITS = 0.15              # share of a template's fingerprints a candidate needs
 SCHEMA = ("doc_id long, license string, coverage double, matched_words long, "
           "template_words long, start_char long, end_char long")
@@ -37,12 +38,29 @@ def _mix(x: int) -> int:
     return (x ^ (x >> 32)) * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF
 
 
+def _telling(words: list[str]) -> tuple[set[str], set[str], set[str]]:
+    """Of a template: its numbers, the words that tell its family's licenses apart, and
+    those of them that it has."""
+    have = set(words)
+    family = {v for k, vs in VARIANTS.items() if k in have for v in vs}
+    numbers = {w for w in have if w.lstrip("v").isdigit()} if len(words) <= NUMBERED else set()
+    return numbers, family, have & family
+
+
+def same_license(telling: tuple[set[str], set[str], set[str]], words: list[str]) -> bool:
+    """Whether a document's words have the template's numbers and exactly its variant."""
+    numbers, family, own = telling
+    have = set(words)
+    return numbers <= have and have & family == own
+
+
 class TemplateIndex:
     """Words, winnowed fingerprints and word numbers of the templates."""
 
     def __init__(self, templates: dict[str, str], window: int = WINDOW):
         self.names = sorted(templates)
         words = [WORD.findall(templates[n].lower()) for n in self.names]
+        self.telling = [_telling(ws) for ws in words]
         self.vocab = {w: i + 1 for i, w in enumerate(sorted({w for ws in words for w in ws}))}
         self.ids = [np.array([self.vocab[w] for w in ws], np.int64) for ws in words]
         places: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -141,7 +159,8 @@ def scan_text(text: str, index: TemplateIndex, coverage: float = COVERAGE) -> li
                 m, first, last = banded_alignment(index.ids[t], ids, group[len(group) // 2][0], band)
                 if m < coverage * size:
                     break
-                found.append((size - 2 * m, first, last, t, m))
+                if same_license(index.telling[t], words[first:last + 1]):
+                    found.append((size - 2 * m, first, last, t, m))
                 group = [h for h in group if not first <= h[1] <= last]
     if not found:
         return []
@@ -159,17 +178,22 @@ def scan_text(text: str, index: TemplateIndex, coverage: float = COVERAGE) -> li
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  templates: dict[str, str] | None = None,
+                  templates: dict[str, str] | DataFrame | None = None,
                   coverage: float = COVERAGE) -> DataFrame:
     """One row per license found: doc_id, license, coverage, matched_words,
     template_words, start_char and end_char (0-based code points of the lower-cased
     text, end exclusive).
 
-    Words are runs of letters and digits, lower-cased. Null and empty texts have
+    ``templates`` are names and texts, as a dictionary or a table with the columns
+    license and text (whole license bodies, too; it is read by the driver). A
+    match must have the version numbers of a template of up to ``NUMBERED`` words and
+    its variant (``VARIANTS``). Words are runs of letters and digits, lower-cased. Null and empty texts have
     no licenses; repeated rows are reported as often as they occur; a null
     doc_id stays null; empty tables give an empty result; other columns are
     ignored. Whole texts are scanned in one pass without a shuffle.
     """
+    if isinstance(templates, DataFrame):
+        templates = {r["license"]: r["text"] for r in templates.select("license", "text").collect()}
     chosen = dict(templates if templates is not None else TEMPLATES)
 
     def run(batches):

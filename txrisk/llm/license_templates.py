@@ -1,4 +1,7 @@
-"""Public license notices used as templates of the license scan (fixed texts)."""
+"""Public license notices used as templates of the license scan (fixed texts).
+
+Notices and short license texts, not the bodies of the long licenses: those come in
+as a table or a dictionary of the caller (``scan_licenses(templates=...)``)."""
 
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -27,6 +30,37 @@ source code must retain the above copyright notice, this list of conditions and
 disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of
 conditions and the following disclaimer in the documentation and/or other materials provided with
 the distribution.""",
+    "BSD-3-Clause-text": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met: Redistributions of
+source code must retain the above copyright notice, this list of conditions and the following
+disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of
+conditions and the following disclaimer in the documentation and/or other materials provided with
+the distribution. Neither the name of the copyright holder nor the names
+of its contributors may be used to endorse or promote products derived from this software without
+specific prior written permission.""",
+    "Unlicense-text": """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in
+source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any
+means.""",
+    "EPL-1.0": """This program and the accompanying materials are made available under the terms of
+the Eclipse Public License v1.0""",
+    "EPL-2.0": """This program and the accompanying materials are made available under the terms of
+the Eclipse Public License 2.0""",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-2.0-header": """This program is free software; you can redistribute it and/or modify it
+under the terms of the GNU General Public License as published by the Free Software Foundation;
+either version 2 of the License, or (at your option) any later version.""",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-2.1-header": """This library is free software; you can redistribute it and/or modify it
+under the terms of the GNU Lesser General Public License as published by the Free Software
+Foundation; either version 2.1 of the License, or (at your option) any later version.""",
+    "LGPL-3.0-header": """This library is free software: you can redistribute it and/or modify it
+under the terms of the GNU Lesser General Public License as published by the Free Software
+Foundation, either version 3 of the License, or (at your option) any later version.""",
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "AGPL-3.0-header": """This program is free software: you can redistribute it and/or modify it
+under the terms of the GNU Affero General Public License as published by the Free Software
+Foundation, either version 3 of the License, or (at your option) any later version.""",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0-header": """This program is free software: you can redistribute it and/or modify it
 under the terms of the GNU General Public License as published by the Free Software Foundation,
@@ -40,3 +74,22 @@ v. 2.0.""",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright.",
     "proprietary": "All rights reserved.",
 }
+
+# the Creative Commons variants and versions
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial",
+       "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+       "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+for _kind, _name in _CC.items():
+    for _version in ("2.0", "2.5", "3.0", "4.0"):
+        TEMPLATES.setdefault(f"CC-{_kind}-{_version}", f"Licensed under CC {_kind} {_version}.")
+        _scope = "International" if _version == "4.0" else "Unported" if _version == "3.0" else "Generic"
+        TEMPLATES[f"CC-{_kind}-{_version}-name"] = (
+            f"licensed under a Creative Commons {_name} {_version} {_scope} License")
+
+#: Words that tell the licenses of a family apart: a notice that has the family's word must
+#: have exactly those of the template. Version numbers of the template must all be there.
+VARIANTS = {
+    "cc": {"nc", "nd", "sa"},
+    "commons": {"noncommercial", "noderivatives", "noderivs", "sharealike"},
+    "gnu": {"lesser", "affero", "library"},
+}
