@@ -99,3 +99,14 @@ def test_one_document_of_each_class_stays(spark):
     assert got.count(None) == 2
     assert simhash_classes(documents(spark, [])).count() == 0
     assert keep_one_per_class(documents(spark, [])).count() == 0
+
+
+def test_an_id_with_texts_of_two_classes_keeps_both(spark):
+    rng = random.Random(9)
+    a, b = words(rng, 80), words(rng, 80)
+    rows = [(2, b, "en", "s"), (5, a, "en", "s"), (5, b, "en", "s"), (5, a, "en", "s")]
+    got = sorted((r["doc_id"], r["text"]) for r in keep_one_per_class(documents(spark, rows)).collect())
+    assert got == [(2, b), (5, a)]
+    # two unrelated texts under one id are two classes
+    got = keep_one_per_class(documents(spark, [(5, a, "en", "s"), (5, b, "en", "s")])).collect()
+    assert sorted(r["text"] for r in got) == sorted([a, b])

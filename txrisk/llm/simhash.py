@@ -57,19 +57,22 @@ def fingerprint(text: bytes | None, shingle: int, seed: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3,
-                 seed: int = 42) -> DataFrame:
-    """(doc_id, fp) for every row; fp is the fingerprint as a signed long."""
+                 seed: int = 42, *others: str) -> DataFrame:
+    """(doc_id, fp) for every row, and ``others``, long columns of ``docs``; fp is the
+    fingerprint as a signed long."""
 
     def run(batches):
         for b in batches:
             fps = np.fromiter((fingerprint(x.as_py(), shingle, seed) for x in b.column(1)),
                               np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))],
-                                             ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]],
+                ["doc_id", "fp", *others])
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"),
-                    F.col(text_col).cast("binary").alias("text"))
-    return d.mapInArrow(frees_memory(run), "doc_id long, fp long")
+                    F.col(text_col).cast("binary").alias("text"), *others)
+    schema = ", ".join(f"{c} long" for c in ("doc_id", "fp", *others))
+    return d.mapInArrow(frees_memory(run), schema)
 
 
 def _segments(max_bits: int) -> list[tuple[int, int]]:
@@ -133,30 +136,42 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     share their class. Empty tables give an empty result.
     """
     d = store(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
+    return d.join(_classes(d, max_bits), "fp").select("doc_id", "fp", "component_id")
+
+
+def _classes(d: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, label, component_id) of the fingerprints of stored rows (doc_id, fp)."""
     distinct = store(d.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
     labels = connected_components(linked_fingerprints(distinct.select("fp"), max_bits), "a", "b")
     # class of a fingerprint = smallest fingerprint reachable; its id = smallest doc_id inside
     named = store(distinct.join(labels, distinct["fp"] == labels["node"], "left")
                   .select("fp", "rep", F.coalesce("label", "fp").alias("label")), "labels")
     smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    classes = named.join(smallest, "label").select("fp", "component_id")
-    return d.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return named.join(smallest, "label").select("fp", "label", "component_id")
 
 
 def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one_per_class(docs: DataFrame, **kw) -> DataFrame:
-    """One row of ``docs`` per class: the one whose doc_id is the component_id.
+def keep_one_per_class(docs: DataFrame, shingle: int = 3, max_bits: int = 2,
+                       seed: int = 42) -> DataFrame:
+    """One row of ``docs`` per class: one whose doc_id is the component_id.
 
-    Rows repeated under the kept doc_id count once. Rows without a doc_id cannot
-    be told apart and always stay. Columns of ``docs`` are returned.
+    Rows are told apart by doc_id and text, so an id that repeats with texts of
+    several classes keeps each class's row. Rows without a doc_id cannot be told
+    apart and always stay. Columns of ``docs`` are returned.
     """
     cols = docs.columns
-    c = simhash_classes(docs, **kw)
-    lost = (c.where(F.col("doc_id") != F.col("component_id"))
-            .select(F.col("doc_id").alias("_lost")).distinct())
     named = docs.where(F.col("doc_id").isNotNull())
-    kept = named.join(lost, named["doc_id"] == lost["_lost"], "left_anti").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*cols)
+    key = [F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash")]
+    d = store(fingerprints(docs.select("doc_id", "text", key[1]), "doc_id", "text", shingle, seed,
+                           "_hash"), "fingerprints")
+    # one (doc_id, text) of each class
+    keep = (d.join(_classes(d, max_bits), "fp").where(F.col("doc_id") == F.col("component_id"))
+            .groupBy("label").agg(F.min(F.struct("doc_id", "_hash")).alias("row"))
+            .select(F.col("row.doc_id").alias("_id"), F.col("row._hash").alias("_hash")))
+    rows = named.select(F.struct(*cols).alias("row"), *key)
+    kept = rows.join(keep, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"])
+    return (kept.select(*[F.col("row").getField(c).alias(c) for c in cols])
+            .unionByName(docs.where(F.col("doc_id").isNull())))
