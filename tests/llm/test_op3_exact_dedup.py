@@ -58,3 +58,13 @@ def test_every_split_of_history_gives_the_same_groups(spark):
 
 def test_empty_table(spark):
     assert _run(documents(spark, []), F.lit(True)) == []
+
+
+def test_a_first_load_is_dealt_over_buckets(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from txrisk.llm import exact_dedup as E
+    seen, resolve = [], E.resolve
+    monkeypatch.setattr(E, "resolve", lambda i, a, n: seen.append(n) or resolve(i, a, n))
+    docs = documents(spark, [(i, f"text {i % 90}", "en", "s") for i in range(100)])
+    got = E.exact_dedup(docs, F.lit(False), bucket_size=10).collect()
+    assert seen == [10] and len(got) == 100 and sum(r["kept"] for r in got) == 90

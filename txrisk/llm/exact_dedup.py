@@ -180,7 +180,7 @@ def exact_dedup(docs: DataFrame, historical: Column, id_col: str = "doc_id",
     d = store(digests(docs, id_col, text_col,
                       F.coalesce(historical, F.lit(False)).alias("old")), "digests")
     old, new = d.where("old"), d.where(~F.col("old"))
-    n_buckets = max(1, -(-old.count() // bucket_size))
+    n_buckets = max(1, -(-max(old.count(), new.count()) // bucket_size))
     groups = resolve(build_index(old, n_buckets), new, n_buckets)
     return (d.join(groups, "digest")
             .select("doc_id", "keep_id", "group_size",
