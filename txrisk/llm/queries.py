@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txrisk.llm import (chat, embed_dedup, exact_dedup, langid, license_scan, line_dedup, mixing,
-                        packing, simhash, token_output)
+                        packing, simhash, token_output, turn_repair)
 from txrisk.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,3 +183,91 @@ def op10(spark, sf):
     c = simhash.simhash_classes(table(spark, sf, "documents"), shingle=3, max_bits=2, seed=42)
     return c.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"),
                     "component_id")
+
+
+#: CRC-32 of a string k in DuckDB: table t.tab of 256 entries, bytes from the hex form.
+_CRC_TABLE = """t AS (SELECT list(list_reduce(list_prepend(i, range(8)),
+    lambda c, _: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS tab
+  FROM range(256) AS r(i))"""
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295,
+    [CAST('0x' || substr(hex(encode(k)), 2 * j + 1, 2) AS BIGINT) for j in range(strlen(k))]),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])))"""
+
+
+def _repair_sql() -> str:
+    def d(q):
+        return f"{{'c': w{q}.c + 3, 'a': 'D' || w{q}.a}}"
+
+    def k(kind, q):
+        return (f"{{'c': CASE WHEN kind = '{kind}' AND fault <> 'x' THEN w{q}.c + extra ELSE 1000000000 "
+                f"END, 'a': 'K' || w{q}.a}}")
+
+    def r(q):
+        return f"{{'c': CASE WHEN fault <> 'x' THEN w{q}.c + 2 + extra ELSE 1000000000 END, 'a': 'R' || w{q}.a}}"
+
+    def i(q):
+        return f"{{'c': v{q}.c + 2, 'a': 'I' || v{q}.a}}"
+
+    return rf"""
+WITH RECURSIVE {_CRC_TABLE},
+o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+  FROM conversations),
+c AS (SELECT o.*, {_CRC} % 20 AS c FROM o, t),
+e AS (SELECT conv_id, turn, CASE WHEN c = 4 THEN 'user' ELSE role END AS role,
+    CASE c WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM c, (VALUES (1), (2)) AS n(n) WHERE c <> 0 AND (n = 1 OR c = 3)),
+e1 AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1
+    AS again FROM e),
+f AS (SELECT *, row_number() OVER q AS pos, lag(substr(role, 1, 1)) OVER q || substr(role, 1, 1) AS pair
+  FROM e1 WINDOW q AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), again)),
+g AS (SELECT *, substr(role, 1, 1) AS kind, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+    WHEN again THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE 'none' END AS what
+  FROM f),
+h AS (SELECT *, CASE WHEN what IN ('blank', 'duplicate') THEN 'x' ELSE 'o' END AS fault,
+    CASE WHEN what = 'truncated' THEN 1 ELSE 0 END AS extra FROM g),
+s AS (SELECT conv_id, count(*) AS n,
+    coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (what = 'blank') AS blank, count(*) FILTER (what = 'duplicate') AS duplicate,
+    count(*) FILTER (what = 'truncated') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM h GROUP BY conv_id),
+w AS (
+  SELECT conv_id, n + 1 AS pos, {{'c': 0, 'a': ''}} AS w0, {{'c': 4, 'a': 'II'}} AS w1,
+    {{'c': 2, 'a': 'I'}} AS w2, {{'c': 0, 'a': ''}} AS w3 FROM s
+  UNION ALL
+  SELECT conv_id, pos, list_min([v0, {i(2)}, {{'c': v3.c + 4, 'a': 'II' || v3.a}}]),
+    list_min([v1, {i(2)}, {{'c': v3.c + 4, 'a': 'II' || v3.a}}]),
+    list_min([v2, {i(3)}]), list_min([v3, {i(2)}])
+  FROM (SELECT h.conv_id, h.pos,
+      list_min([{d(0)}, {k('s', 1)}, {k('u', 2)}, {r(2)}]) AS v0,
+      list_min([{d(1)}, {k('u', 2)}, {r(2)}]) AS v1,
+      list_min([{d(2)}, {k('a', 3)}, {r(3)}]) AS v2,
+      list_min([{d(3)}, {k('u', 2)}, {r(2)}]) AS v3
+    FROM w JOIN h ON h.conv_id IS NOT DISTINCT FROM w.conv_id AND h.pos = w.pos - 1) AS x),
+b AS (SELECT conv_id, w0.c AS cost, w0.a AS audit FROM w WHERE pos = 1),
+u AS (SELECT conv_id, i, substr(audit, CAST(i AS INT), 1) AS edit,
+    i - strlen(replace(audit[1:i], 'I', '')) AS skipped
+  FROM b, (SELECT unnest(range(1, 20001)) AS i) AS r WHERE i <= length(audit)),
+y AS (SELECT u.*, h.role, h.text, row_number() OVER p AS out,
+    first_value(edit = 'K' AND h.kind = 's') OVER p AS system
+  FROM u LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM u.conv_id AND h.pos = u.i - u.skipped AND edit <> 'I'
+  WHERE edit <> 'D' WINDOW p AS (PARTITION BY u.conv_id ORDER BY i)),
+z AS (SELECT conv_id, sha256(string_agg((CASE WHEN edit = 'K' THEN role
+      WHEN (out - CAST(system AS INT)) % 2 = 1 THEN 'user' ELSE 'assistant' END) || ':'
+    || coalesce(text, ''), chr(10) ORDER BY i)) AS repaired_sha256 FROM y GROUP BY conv_id)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank,
+  coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+  coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS a
+LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM a.conv_id"""
+
+
+@_query("op11_turn_repair", _repair_sql())
+def op11(spark, sf):
+    """Damaged conversations, their faults, cheapest edits and repaired text."""
+    c = table(spark, sf, "conversations")
+    return turn_repair.report(c, turn_repair.damage(c))
