@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txrisk.llm import (chat, embed_dedup, exact_dedup, langid, license_scan, line_dedup, mixing,
-                        packing, simhash, token_output, turn_repair)
+                        packing, simhash, spelling, token_output, turn_repair)
 from txrisk.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -271,3 +271,34 @@ def op11(spark, sf):
     """Damaged conversations, their faults, cheapest edits and repaired text."""
     c = table(spark, sf, "conversations")
     return turn_repair.report(c, turn_repair.damage(c))
+
+
+_SPELLING_SQL = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+g AS (SELECT w, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w AS k, count(*) AS n
+  FROM r WHERE length(w) >= 7 GROUP BY doc_id, w),
+h AS (SELECT w, n, {_CRC} AS h FROM g, t),
+m AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, CAST(h % length(w) AS INT))
+    || substr(w, CAST(h % length(w) + 2 AS INT)) ELSE w END AS w, n FROM h),
+v AS (SELECT w, CAST(sum(n) AS BIGINT) AS n FROM m WHERE length(w) >= 7 GROUP BY w HAVING sum(n) >= 2),
+d AS (SELECT w, n, i, substr(w, 1, CAST(i - 1 AS INT)) || substr(w, CAST(i + 1 AS INT)) AS x
+  FROM (SELECT w, n, unnest(range(1, length(w) + 1)) AS i FROM v)),
+p AS (SELECT a.w, a.n, b.w AS o, b.n AS m FROM d a JOIN d b ON a.i = b.i AND a.x = b.x AND a.w <> b.w
+  UNION SELECT a.w, a.n, v.w, v.n FROM d a JOIN v ON v.w = a.x
+  UNION SELECT v.w, v.n, a.w, a.n FROM d a JOIN v ON v.w = a.x),
+q AS (SELECT w, count(*) AS n_near, min({{'m': -m, 'o': o}}) AS best FROM p GROUP BY w),
+f AS (SELECT v.w, v.n, coalesce(n_near, 0) AS n_near,
+    CASE WHEN -best.m >= 10 * v.n THEN best.o END AS form,
+    CASE WHEN -best.m >= 10 * v.n THEN -best.m END AS form_n FROM v LEFT JOIN q ON q.w = v.w),
+c AS (SELECT w, w AS at, 0 AS step FROM f
+  UNION ALL SELECT c.w, f.form, step + 1 FROM c JOIN f ON f.w = c.at WHERE f.form IS NOT NULL),
+z AS (SELECT w, arg_max(at, step) AS root FROM c GROUP BY w)
+SELECT f.w AS word, form, root, n, n_near, form_n FROM f JOIN z ON z.w = f.w"""
+
+
+@_query("op13_spelling_variants", _SPELLING_SQL)
+def op13(spark, sf):
+    """Spelling variants among the words of all documents, some of them mistyped."""
+    return spelling.variant_groups(spelling.vocabulary(table(spark, sf, "documents"), every=31))
