@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txrisk.llm import (chat, embed_dedup, exact_dedup, langid, license_scan, line_dedup, mixing,
-                        packing, simhash, spelling, token_output, turn_repair)
+                        packing, secret_scan, simhash, spelling, token_output, turn_repair)
 from txrisk.llm.common import prepare, table
+from txrisk.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -273,6 +274,48 @@ def op11(spark, sf):
     return turn_repair.report(c, turn_repair.damage(c))
 
 
+def _secret_sql() -> str:
+    rules = [("assign", r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]"""
+              r"""|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?"""
+              r"([A-Za-z0-9+/_.=-]+)", 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24),
+             ("pem", "-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----", 0, 0),
+             ("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{20,}", 0, 0),
+             ("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 0), ("slack", "xox[abprs]-[A-Za-z0-9-]{20,}", 0, 0)]
+    # matches are set between two private-use code points, then the text is cut there
+    each = " UNION ALL ".join(
+        f"""SELECT b, {k} AS k, '{kind}' AS kind, CAST(sum(length(hit) + gap) OVER (PARTITION BY b ORDER BY i) - gap
+          - length(hit) AS BIGINT) AS start, length(hit) AS size, length(regexp_extract(hit, '{p}', {g})) >= {least} AS ok
+        FROM (SELECT b, i, CASE WHEN i = 1 THEN '' ELSE split_part(x, chr(57345), 1) END AS hit,
+            length(CASE WHEN i = 1 THEN x ELSE split_part(x, chr(57345), 2) END) AS gap
+          FROM (SELECT b, unnest(xs) AS x, generate_subscripts(xs, 1) AS i FROM (SELECT b, string_split(
+            regexp_replace(text, '({p})', chr(57344) || '\\1' || chr(57345), 'g'), chr(57344)) AS xs
+            FROM t WHERE regexp_matches(text, '{p}'))))"""
+        for k, (kind, p, g, least) in enumerate(rules))
+    return f"""
+WITH t AS (SELECT DISTINCT sha256(coalesce(text, '')) AS b, coalesce(text, '') AS text FROM documents),
+m AS ({each}),
+s AS (SELECT *, kind || ':' || start || ':' || start + size AS span FROM m WHERE ok AND size > 0),
+g AS (SELECT b, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+    count(*) FILTER (kind = 'hex') AS n_hex, string_agg(span, ',' ORDER BY start, k) FILTER (k < 3) AS base,
+    string_agg(span, ',' ORDER BY start, k) AS spans FROM s GROUP BY b)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+  coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN g ON g.b = sha256(coalesce(d.text, ''))"""
+
+
+@_query("op12_secret_scan", _secret_sql())
+def op12(spark, sf):
+    """Secrets in all documents. The half with an even id hash has been scanned before
+    under the base rules; then all rules and all documents come."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    ledger, early = scratch_path(spark, "secret-ledger"), F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    secret_scan.record(docs.where(early), ledger)
+    secret_scan.scan(docs.where(early), ledger, secret_scan.BASE)
+    secret_scan.record(docs.where(~early), ledger)
+    secret_scan.scan(docs, ledger, secret_scan.RULES)
+    return secret_scan.summarise(secret_scan.by_path(spark, ledger, secret_scan.RULES))
+
+
 _SPELLING_SQL = rf"""
 WITH RECURSIVE {_CRC_TABLE},
 r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')),
@@ -292,9 +335,9 @@ q AS (SELECT w, count(*) AS n_near, min({{'m': -m, 'o': o}}) AS best FROM p GROU
 f AS (SELECT v.w, v.n, coalesce(n_near, 0) AS n_near,
     CASE WHEN -best.m >= 10 * v.n THEN best.o END AS form,
     CASE WHEN -best.m >= 10 * v.n THEN -best.m END AS form_n FROM v LEFT JOIN q ON q.w = v.w),
-c AS (SELECT w, w AS at, 0 AS step FROM f
-  UNION ALL SELECT c.w, f.form, step + 1 FROM c JOIN f ON f.w = c.at WHERE f.form IS NOT NULL),
-z AS (SELECT w, arg_max(at, step) AS root FROM c GROUP BY w)
+c AS (SELECT w, w AS last, 0 AS step FROM f
+  UNION ALL SELECT c.w, f.form, step + 1 FROM c JOIN f ON f.w = c.last WHERE f.form IS NOT NULL),
+z AS (SELECT w, arg_max(last, step) AS root FROM c GROUP BY w)
 SELECT f.w AS word, form, root, n, n_near, form_n FROM f JOIN z ON z.w = f.w"""
 
 
