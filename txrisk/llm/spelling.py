@@ -295,7 +295,9 @@ def near_words(vocab: DataFrame, piece: int = PIECE) -> DataFrame:
     many, and the most frequent of them (ties: the smallest by code points)."""
     both = vocab.select(F.lit(0).alias("way"), F.col("word").alias("text"), "n").unionByName(
         vocab.select(F.lit(1).alias("way"), F.reverse("word").alias("text"), "n"))
-    found = both.repartitionByRange("way", "text").sortWithinPartitions("way", "text").mapInArrow(
+    # words are few bytes and much work: tasks by their number, not by their size
+    tasks = max(1, -(-both.count() // (8 * piece)))
+    found = both.repartitionByRange(tasks, "way", "text").sortWithinPartitions("way", "text").mapInArrow(
         _scan(piece), _FOUND)
     found = store(found, "near-words")
     pieces = found.where(F.col("word").isNull())
