@@ -6,8 +6,9 @@ reasons, explained alerts) one sort along its rows, so nothing shuffles by row
 id; the long table (id, feature, value, contribution) is produced only when asked
 for, and global importance adds up one row per feature and batch. (As column
 expressions, 29 features with their ranking generate methods beyond the JVM's
-compile limit; measured, that is several times slower.) Forest contributions
-(path attribution) run in ``mapInPandas`` with the tree arrays broadcast.
+compile limit; measured, that is several times slower.) Contributions of tree
+ensembles (Tree SHAP, or plain path attribution) run on Arrow batches with the tree
+arrays broadcast.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txrisk.functions.numeric import py_round
+from txrisk.operators.boosting import BoostedModel
+from txrisk.operators.tree_shap import TreeShap
 
 TOP_K_DEFAULT = 6
 
@@ -118,10 +121,29 @@ def reasons(coefs: dict, features: list[str], k: int = TOP_K_DEFAULT,
     """X5 as a column over a feature frame: margin (sum of the contributions), the k
     largest positive contributions (largest first) and the k most negative ones,
     the last k of the descending order. Ties by feature name."""
+    names = sorted(features)
+    return _ranked(names, k, lambda: lambda x: contributions_of(x, coefs, names, digits))
+
+
+def tree_reasons(spark, trees: list[dict], features: list[str], k: int = TOP_K_DEFAULT) -> Column:
+    """``reasons`` by the Tree SHAP values of an ensemble (``tree_tables``)."""
     import numpy as np
+    names, shared = sorted(features), spark.sparkContext.broadcast(trees)
+    at = [features.index(f) for f in names]
 
-    names = sorted(features)
-    k = min(k, len(names))
+    def contribute():
+        shap, back = TreeShap(shared.value, len(features)), np.argsort(at)
+        return lambda x: shap.contributions(x[:, back])[:, at]
+
+    return _ranked(names, k, contribute)
+
+
+def _ranked(names: list[str], k: int, contribute) -> Column:
+    """REASONS of the columns ``names`` (ascending); ``contribute()`` gives, once per
+    task, the function from values to contributions."""
+    import numpy as np
+
+    k, made = min(k, len(names)), []
 
     def picked(x, c, order, take):
         idx = order[take]
@@ -134,7 +156,9 @@ def reasons(coefs: dict, features: list[str], k: int = TOP_K_DEFAULT,
 
     def run(row: pa.Array) -> pa.Array:
         x = _matrix(row.flatten())
-        c = contributions_of(x, coefs, names, digits)
+        if not made:
+            made.append(contribute())
+        c = made[0](x)
         order = np.argsort(-c, axis=1, kind="stable")   # names ascend, so ties do
         place = np.arange(len(names))[None, :]
         n_pos, n_neg = (c > 0).sum(1)[:, None], (c < 0).sum(1)[:, None]
@@ -150,10 +174,14 @@ def reasons(coefs: dict, features: list[str], k: int = TOP_K_DEFAULT,
 def top_reasons_rows(df: DataFrame, coefs: dict, features: list[str], k: int = TOP_K_DEFAULT,
                      id_col: str = "tx_id", digits: int | None = None) -> DataFrame:
     """(id, direction, rank, feature, value, contribution)."""
-    r = df.select(id_col, reasons(coefs, features, k, digits).alias("_r"))
-    both = F.array(F.struct(F.lit("fraud").alias("direction"), F.col("_r.toward").alias("items")),
-                   F.struct(F.lit("not_fraud").alias("direction"), F.col("_r.against").alias("items")))
-    e = r.select(id_col, F.explode(both).alias("d")).select(
+    return reason_rows(df.select(id_col, reasons(coefs, features, k, digits).alias("reasons")), id_col)
+
+
+def reason_rows(df: DataFrame, id_col: str = "tx_id") -> DataFrame:
+    """A ``reasons`` column as rows: (id, direction, rank, feature, value, contribution)."""
+    both = F.array(F.struct(F.lit("fraud").alias("direction"), F.col("reasons.toward").alias("items")),
+                   F.struct(F.lit("not_fraud").alias("direction"), F.col("reasons.against").alias("items")))
+    e = df.select(id_col, F.explode(both).alias("d")).select(
         id_col, "d.direction", F.posexplode("d.items").alias("pos", "r"))
     return e.select(id_col, "direction", (F.col("pos") + 1).alias("rank"), "r.*")
 
@@ -238,8 +266,10 @@ def explained_alerts(scored: DataFrame, id_col: str = "tx_id") -> DataFrame:
 # --------------------------------------------------------------------------- forests
 
 def tree_tables(model, spark) -> list[dict]:
-    """Node arrays of every tree of a fitted tree-ensemble classifier, read
-    from the model's saved data (one row per node; bounded by model size).
+    """Node arrays of every tree of a fitted tree-ensemble classifier: left and right
+    child (-1 at a leaf), feature, threshold, value, and cover (training rows, weighted
+    as in training). Spark's are read from the model's saved data; one row per node, so
+    the size is the model's (200 trees of depth 12: at most 90 MB, whatever the data).
 
     A forest's trees hold class shares and are averaged to the probability; a
     boosted model's are regression trees whose weighted predictions add up to the
@@ -249,6 +279,11 @@ def tree_tables(model, spark) -> list[dict]:
 
     from txrisk.session import scratch_path
 
+    if isinstance(model, BoostedModel):
+        return [{"left": np.where(t["feat"] >= 0, t["left"], -1),
+                 "right": np.where(t["feat"] >= 0, t["right"], -1), "w": 1.0, "boosted": True,
+                 "nan": -np.inf, "base": 0.0 if i else model.base, **{c: t[c] for c in ("feat", "thr", "val", "cover")}}
+                for i, t in enumerate(model.trees)]
     path = scratch_path(spark, "forest")
     model.write().overwrite().save(path)
     data = spark.read.parquet(f"{path}/data")
@@ -267,7 +302,7 @@ def tree_tables(model, spark) -> list[dict]:
         right = np.full(n, -1, np.int64)
         feat = np.full(n, -1, np.int64)
         thr = np.zeros(n)
-        val = np.zeros(n)
+        val, cover = np.zeros(n), np.zeros(n)
         for r in nodes:
             i = r["id"]
             left[i], right[i] = r["leftChild"], r["rightChild"]
@@ -275,18 +310,45 @@ def tree_tables(model, spark) -> list[dict]:
                 feat[i] = r["split"]["featureIndex"]
                 thr[i] = r["split"]["leftCategoriesOrThreshold"][0]
             stats = r["impurityStats"]
+            cover[i] = sum(stats) if not boosted else stats[0]      # of a regression: count first
             if not boosted and stats is not None and len(stats) >= 2 and sum(stats) > 0:
                 val[i] = stats[1] / sum(stats)  # class-1 share at the node
             else:
                 val[i] = r["prediction"]
-        out.append({"left": left, "right": right, "feat": feat, "thr": thr, "val": val,
+        out.append({"left": left, "right": right, "feat": feat, "thr": thr, "val": val, "cover": cover,
                     "w": float(weights[t]), "boosted": boosted})
     return out
 
 
+def tree_contributions(df: DataFrame, trees: list[dict], features: list[str],
+                       id_col: str = "tx_id") -> DataFrame:
+    """X2, long: (id, feature, value, contribution, bias), contributions being path-
+    dependent Tree SHAP values. bias + sum(contributions) = a forest's class-1
+    probability, or a boosted model's margin. Rows need no shuffle."""
+    import numpy as np
+
+    shared = df.sparkSession.sparkContext.broadcast(trees)
+
+    def run(batches):
+        shap, names = TreeShap(shared.value, len(features)), pa.array(features)
+        for b in batches:
+            x = _matrix(b.columns[1:])
+            c = shap.contributions(x)
+            at = np.tile(np.arange(len(features), dtype=np.int32), len(x))
+            ids = b.column(0).take(pa.array(np.repeat(np.arange(len(x)), len(features))))
+            yield pa.RecordBatch.from_arrays(
+                [ids, names.take(pa.array(at)), pa.array(x.reshape(-1)), pa.array(c.reshape(-1)),
+                 pa.array(np.full(len(at), shap.bias))],
+                [id_col, "feature", "value", "contribution", "bias"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return _doubles(df, features, id_col).mapInArrow(
+        run, f"`{id_col}` {kind}, feature string, value double, contribution double, bias double")
+
+
 def forest_contributions(df: DataFrame, trees: list[dict], features: list[str],
                          id_col: str = "tx_id") -> DataFrame:
-    """Path attribution per row: walking each tree, the change of the node's
+    """Path attribution per row, cheaper than ``tree_contributions``: walking each tree, the change of the node's
     value is credited to the split feature. Invariant: bias + sum(contributions) =
     the forest's class-1 probability (averaged over trees), or the boosted model's
     margin (added over trees). Vectorized per Arrow batch in ``mapInPandas``."""
@@ -302,13 +364,14 @@ def forest_contributions(df: DataFrame, trees: list[dict], features: list[str],
         total_w = sum(t["w"] for t in ts)
         for pdf in batches:
             x = pdf[features].to_numpy(dtype=float)
+            x = np.where(np.isnan(x), ts[0].get("nan", np.inf), x)
             m = len(pdf)
             contrib = np.zeros((m, nf))
             bias = np.zeros(m)
             rows = np.arange(m)
             for t in ts:
                 node = np.zeros(m, dtype=np.int64)
-                bias += t["w"] * t["val"][0]
+                bias += t["w"] * t["val"][0] + t.get("base", 0.0)
                 active = t["left"][node] >= 0
                 while active.any():
                     idx = rows[active]
