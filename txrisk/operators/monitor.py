@@ -19,11 +19,17 @@ HIGH_LEVELS = ["HIGH", "CRITICAL"]
 def stats(logs: DataFrame) -> DataFrame:
     """M1: total, override rate (% , 2 places), average final score (2 places);
     0 when empty."""
-    return logs.agg(
-        F.count("*").alias("total_scored"),
-        F.coalesce(py_round(F.avg("policy_override_applied") * F.lit(100.0), 2), F.lit(0.0))
-        .alias("override_rate_pct"),
-        F.coalesce(py_round(F.avg("final_risk_score"), 2), F.lit(0.0)).alias("avg_risk_score"))
+    return stats_of(logs.agg(F.count("*").alias("total_scored"),
+                             F.avg("policy_override_applied").alias("_ov"),
+                             F.avg("final_risk_score").alias("_avg")))
+
+
+def stats_of(a: DataFrame) -> DataFrame:
+    """M1 from total_scored, _ov (override share) and _avg (score)."""
+    return a.select(
+        "total_scored",
+        F.coalesce(py_round(F.col("_ov") * F.lit(100.0), 2), F.lit(0.0)).alias("override_rate_pct"),
+        F.coalesce(py_round(F.col("_avg"), 2), F.lit(0.0)).alias("avg_risk_score"))
 
 
 def risk_distribution(logs: DataFrame) -> DataFrame:
@@ -40,6 +46,11 @@ def kpis(logs: DataFrame) -> DataFrame:
                  F.coalesce(F.sum("policy_override_applied"), F.lit(0)).cast("long").alias("n_overrides"),
                  F.avg("policy_override_applied").alias("_ov"),
                  F.avg("final_risk_score").alias("_avg"))
+    return kpis_of(a)
+
+
+def kpis_of(a: DataFrame) -> DataFrame:
+    """M2 from the counts, _ov (override share) and _avg (score)."""
     return a.select(
         "total", "n_critical", "n_high",
         py_round(guarded_ratio(F.col("n_critical"), F.col("total")) * F.lit(100.0), 2).alias("pct_critical"),
@@ -51,7 +62,11 @@ def kpis(logs: DataFrame) -> DataFrame:
 
 def distribution_filled(logs: DataFrame) -> DataFrame:
     """M3: all four levels, zero-filled, with their share (1 place)."""
-    counts = logs.groupBy(F.col("final_risk_level").alias("level")).agg(F.count("*").alias("n"))
+    return filled(logs.groupBy(F.col("final_risk_level").alias("level")).agg(F.count("*").alias("n")))
+
+
+def filled(counts: DataFrame) -> DataFrame:
+    """M3 from (level, n)."""
     levels = counts.agg(F.sum("n").alias("total")).select(
         "total", F.posexplode(F.array(*[F.lit(x) for x in LEVELS])).alias("level_rank", "level"))
     j = levels.join(counts, "level", "left")  # 4 rows on each side
@@ -76,6 +91,11 @@ def top_override_reasons(logs: DataFrame, k: int = 5) -> DataFrame:
     n_ov = ov.agg(F.count("*").alias("n")).scalar()
     counts = (ov.select(F.explode("policy_reasons").alias("reason"))
               .groupBy("reason").agg(F.count("*").alias("count")))
+    return top_of(counts, n_ov, k)
+
+
+def top_of(counts: DataFrame, n_ov, k: int) -> DataFrame:
+    """M6 from (reason, count) and the number of overridden rows."""
     top = counts.orderBy(F.desc("count"), F.asc("reason")).limit(k)
     mx = F.max("count").over(Window.partitionBy())  # over <= k rows
     top = top.withColumn("_n", n_ov)

@@ -8,6 +8,7 @@ model reuses its fitted config.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from txrisk.operators.config import FeatureConfig, fit_feature_config
 from txrisk.operators.enrich import build_features
@@ -17,7 +18,8 @@ from txrisk.sources import fixtures
 _CONFIGS: dict = {}
 _TX: dict = {}
 _LOG_TABLES: dict = {}
-MEMOS: list[dict] = [_CONFIGS, _TX, _LOG_TABLES]
+_REPLAYED: dict = {}
+MEMOS: list[dict] = [_CONFIGS, _TX, _LOG_TABLES, _REPLAYED]
 
 
 def _key(spark: SparkSession, sf_dir: str):
@@ -78,3 +80,18 @@ def log_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         IO.append_logs(logs(spark, sf_dir), path, writer="batch", batch_id=0, grain="month")
         _LOG_TABLES[k] = path
     return IO.read_logs(spark, _LOG_TABLES[k]).select(*[f.name for f in LOG_SCHEMA.fields])
+
+
+def replayed_log(spark: SparkSession, sf_dir: str) -> str:
+    """Path of the prediction log appended in two batches, the first one twice."""
+    from txrisk.session import scratch_path
+    from txrisk.sources import io as IO
+
+    k = _key(spark, sf_dir)
+    if k not in _REPLAYED:
+        path, rows = scratch_path(spark, "replayed_logs"), log_table(spark, sf_dir)
+        for batch in (0, 1, 0):
+            IO.append_logs(rows.where(F.col("id") % 2 == batch), path, writer="batch", batch_id=batch,
+                           grain="month")
+        _REPLAYED[k] = path
+    return _REPLAYED[k]

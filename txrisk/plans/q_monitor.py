@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from txrisk.functions.numeric import py_round
 from txrisk.functions.scoring import risk_level, risk_score
 from txrisk.operators import monitor as M
+from txrisk.operators import rollup as RU
 from txrisk.operators.scoring import score_heuristic
 from txrisk.plans import context as C
 from txrisk.plans.oracle_base import LEVEL_OF_SCORE, RISK_SCORE, with_
-from txrisk.plans.registry import query
+from txrisk.plans.registry import ORACLE, query
 from txrisk.session import scratch_path
 from txrisk.sources import fixtures
 from txrisk.sources import io as IO
@@ -204,6 +205,48 @@ def union_logs(spark, sf):
     return _union(spark, sf).withColumn("policy_reasons", F.concat_ws("|", "policy_reasons"))
 
 
+# --------------------------------------------------------------------------- from partials
+
+def _replayed(spark, sf):
+    """Partials of a log in two batches, the first of them appended twice."""
+    return RU.read_partials(spark, C.replayed_log(spark, sf))
+
+
+@query("stats_partials", ORACLE["stats"])
+def stats_partials(spark, sf):
+    """``stats`` from partial aggregates, after appends and a replay; reads no log file."""
+    return RU.stats(_replayed(spark, sf))
+
+
+@query("risk_distribution_partials", ORACLE["risk_distribution"])
+def risk_distribution_partials(spark, sf):
+    return RU.risk_distribution(_replayed(spark, sf))
+
+
+@query("kpis_partials", ORACLE["kpis"])
+def kpis_partials(spark, sf):
+    return RU.kpis(_replayed(spark, sf))
+
+
+@query("risk_distribution_filled_partials", ORACLE["risk_distribution_filled"])
+def risk_distribution_filled_partials(spark, sf):
+    return RU.distribution_filled(_replayed(spark, sf))
+
+
+@query("alert_trend_partials", with_("logs") + """
+SELECT CAST(created_at AS DATE) AS date, count(*) AS count FROM logs
+WHERE created_at IS NOT NULL AND final_risk_level IN ('HIGH', 'CRITICAL')
+GROUP BY 1 ORDER BY 1 DESC LIMIT 14""")
+def alert_trend_partials(spark, sf):
+    """HIGH/CRITICAL per day over stored rows, last 14 observed days, from partials."""
+    return RU.alert_trend(_replayed(spark, sf))
+
+
+@query("top_reasons_partials", ORACLE["top_reasons_overall"])
+def top_reasons_partials(spark, sf):
+    return RU.top_override_reasons(_replayed(spark, sf), 5)
+
+
 # --------------------------------------------------------------------------- top-k / lookups
 
 @query("recent_logs", with_("logs") + """
@@ -221,7 +264,17 @@ FROM logs l ORDER BY l.id DESC LIMIT 50""")
 def recent_logs(spark, sf):
     """The latest 50 log records, all twelve fields decoded (the nested
     transaction and alert are shown flat)."""
-    r = M.recent_records(C.log_table(spark, sf), 50)
+    return _flat_records(M.recent_records(C.log_table(spark, sf), 50))
+
+
+@query("recent_logs_zones", ORACLE["recent_logs"])
+def recent_logs_zones(spark, sf):
+    """``recent_logs`` with the zone rows read first: an id bound and the few partitions
+    that reach it."""
+    return _flat_records(RU.recent_records(spark, C.replayed_log(spark, sf), 50))
+
+
+def _flat_records(r):
     return r.select("id", "created_at", *[F.col(f"transaction.{c}").alias(f"tx_{c}") for c in _TX_FIELDS],
                     "ml_probability", "ml_risk_level", "ml_risk_score", "final_risk_level",
                     "final_risk_score", "policy_override_applied",

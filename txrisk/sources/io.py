@@ -118,10 +118,16 @@ def append_logs(logs: DataFrame, path: str, writer: str, batch_id: int, grain: s
     ``created_date`` as partition columns. A stream's writer is its query id, which
     lives in its checkpoint: a stream that lost it is a new writer. ``grain`` =
     "day" or "month" sets the date partition size. ``table``: the declared table
-    over ``path``, whose new partitions are registered.
+    over ``path``, whose new partitions are registered. Files carry a Bloom filter on
+    ``id`` (pieces of a date span all its ids, so their bounds exclude nothing), and
+    the batch's monitoring partials are written after it.
     """
+    from txrisk.operators import rollup
     (dated_logs(logs, grain).write.mode("overwrite").partitionBy("created_date")
+     .option("parquet.bloom.filter.enabled#id", "true")
+     .option("parquet.bloom.filter.adaptive.enabled", "true")
      .parquet(f"{path.rstrip('/')}/writer={writer}/batch_id={int(batch_id)}"))
+    rollup.write_partials(logs.sparkSession, path, writer, batch_id)
     if table is not None:
         logs.sparkSession.catalog.recoverPartitions(table)
 
