@@ -1,6 +1,8 @@
 """Curves, AUC, AP and the sweep against brute force (ties included)."""
+import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from txrisk.operators import evaluate as EV
@@ -103,3 +105,50 @@ def test_report_at_a_threshold_column(spark):
     best = df.agg(F.max("prob").alias("t")).scalar()
     cm = EV.confusion_counts(df, threshold=best).first()
     assert (cm.tn, cm.fp, cm.fn, cm.tp) == (1, 1, 1, 0)
+
+
+def test_roc_points_leave_out_straight_lines(spark):
+    rng = random.Random(4)
+    rows = [(rng.randint(0, 60) / 60, int(rng.random() < 0.4)) for _ in range(400)]
+    rows += [(2.0 + i, 0) for i in range(6)] + [(-1.0 - i, 1) for i in range(6)]    # straight runs
+    df = spark.createDataFrame(rows, "prob double, isFraud int")
+    P = sum(y for _, y in rows)
+    N = len(rows) - P
+    at = []
+    for s in sorted({s for s, _ in rows}, reverse=True):
+        at.append((s, sum(1 for t, y in rows if t >= s and not y), sum(1 for t, y in rows if t >= s and y)))
+    keep = [at[0]] + [b for a, b, c in zip(at, at[1:], at[2:])
+                      if b[1] - a[1] != c[1] - b[1] or b[2] - a[2] != c[2] - b[2]] + [at[-1]]
+    want = [(math.inf, 0.0, 0.0)] + [(s, f / N, t / P) for s, f, t in keep]
+    for ranges in (1, 3, 9):
+        got = sorted(((r["threshold"], r["fpr"], r["tpr"]) for r in EV.roc_points(df, ranges=ranges).collect()),
+                     reverse=True)
+        assert len(got) == len(want)
+        assert all(g == pytest.approx(w) for g, w in zip(got, want)), ranges
+    assert len(want) < len(at) - 8
+    closed = EV.pr_points(EV.cumulative_by_score(df)).collect()
+    assert len(closed) == len(at) + 1
+    assert [(r["precision"], r["recall"]) for r in closed if r["threshold"] is None] == [(1.0, 0.0)]
+
+
+def test_correlations_merge_and_skip_missing(spark):
+    import numpy as np
+    import pandas as pd
+
+    from txrisk.operators import profile as P
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(500, 4))
+    t = pd.DataFrame({"a": x[:, 0] + 1e6, "b": x[:, 0] * 2 + x[:, 1], "c": x[:, 2], "d": 1.0})
+    t.loc[::7, "b"] = np.nan
+    t.loc[3:40, "c"] = np.nan
+    pairs = [("a", "b"), ("b", "a"), ("a", "c"), ("b", "c"), ("a", "d"), ("a", "a")]
+    want = t.corr()
+    df = spark.createDataFrame(t).repartition(5)
+    df = df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in t.columns])
+    for frame in (df, df.coalesce(1)):
+        for r in P.correlations(frame, pairs).collect():
+            if "d" in (r["col_a"], r["col_b"]):
+                assert r["corr"] is None
+            else:
+                assert r["corr"] == pytest.approx(want.loc[r["col_a"], r["col_b"]], abs=1e-9)
+    assert [r["corr"] for r in P.correlations(df.limit(0), pairs[:2]).collect()] == [None, None]

@@ -1,13 +1,11 @@
 """Model evaluation on a scored frame.
 
 Curves need cumulative counts over distinct scores in descending order. A
-single un-partitioned window over all distinct scores would run in one task,
-so the prefix sums are two-level: distinct scores are bucketed into a
-bounded number of monotone score ranges, bucket totals are prefix-summed
-over that small table (broadcast back, bounded by ``buckets`` rows), and
-the within-bucket running sums use a window partitioned by bucket.
-Threshold sweeps bucket each row once by sweep interval and suffix-sum a
-table of #thresholds + 1 rows instead of rescanning per threshold.
+single un-partitioned window over all distinct scores would run in one task, so the
+prefix sums are two-level: distinct scores are range-partitioned and stored with
+their range number, range totals are prefix-summed (one row per range), and running
+sums use a window per range. Threshold sweeps bucket each row once by sweep interval
+and suffix-sum a table of #thresholds + 1 rows instead of rescanning per threshold.
 """
 
 from __future__ import annotations
@@ -65,7 +63,10 @@ def cumulative_by_score(df: DataFrame, score: str = "prob", label: str = "isFrau
                         ranges: int | None = None) -> DataFrame:
     """One row per distinct score s: pos, neg at s; tp, fp = positives and
     negatives with score >= s; P, N totals."""
-    g = ranged_scores(df, score, label, ranges)
+    return _cumulative(ranged_scores(df, score, label, ranges))
+
+
+def _cumulative(g: DataFrame) -> DataFrame:
     bt = g.groupBy("b").agg(F.sum("pos").alias("bpos"), F.sum("neg").alias("bneg"))
     before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
@@ -98,6 +99,40 @@ def pr_curve(cum: DataFrame) -> DataFrame:
                       guarded_ratio(F.col("tp"), F.col("P")).alias("recall"))
 
 
+def _next_steps(g: DataFrame) -> DataFrame:
+    """``ranged_scores`` with next_pos and next_neg, the counts at the next lower score
+    (null at the lowest). The next score of a range's last one is the first of the next
+    range, from a table of one row per range."""
+    step = F.struct("pos", "neg")
+    firsts = g.groupBy("b").agg(F.max_by(step, "s").alias("first"))
+    border = stored(firsts.select("b", F.lead("first").over(Window.orderBy("b")).alias("border")), "score-borders")
+    inside = g.withColumn("_next", F.lead(step).over(Window.partitionBy("b").orderBy(F.desc("s"))))
+    n = F.coalesce(F.col("_next"), F.col("border"))
+    return inside.join(border, "b").select("s", n["pos"].alias("next_pos"), n["neg"].alias("next_neg"))
+
+
+def roc_points(df: DataFrame, score: str = "prob", label: str = "isFraud",
+               ranges: int | None = None) -> DataFrame:
+    """E2 as plotted: (threshold, fpr, tpr) from (infinity, 0, 0) on, without the points
+    between which the line goes straight on. A point is left out if the next one is
+    as many positives and negatives away as it is from the last; the highest and the
+    lowest score stay."""
+    g = ranged_scores(df, score, label, ranges)
+    cum = _cumulative(g).join(_next_steps(g), "s")
+    first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
+    turn = F.coalesce((F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg")), F.lit(True))
+    start = df.sparkSession.range(1).select(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"),
+                                            F.lit(0.0).alias("tpr"))
+    return start.unionByName(roc_curve(cum.where(first | turn)))
+
+
+def pr_points(cum: DataFrame) -> DataFrame:
+    """E3 as plotted: ``pr_curve`` closed by (no threshold, precision 1, recall 0)."""
+    end = cum.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"),
+                                           F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
+    return pr_curve(cum).unionByName(end)
+
+
 def roc_auc(cum: DataFrame) -> DataFrame:
     """Trapezoidal area, ties counted half. The numerator is an exact
     integer sum: neg_s * (tp_s + tp_(s-)) = neg_s * (2 tp_s - pos_s)."""

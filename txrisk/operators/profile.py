@@ -113,17 +113,71 @@ def boxplot_stats(df: DataFrame, cols: list[str], group: str) -> DataFrame:
     ).withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
+def co_moments(columns: list):
+    """(n, mean, m2, co) of a batch's columns as k x k matrices over the rows that hold
+    both columns: [i, j] is of column i (mean, m2), or of both (n, co)."""
+    import numpy as np
+    x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in columns]).astype(float)
+    has = ~np.isnan(x)
+    m = has.astype(float)
+    shift = np.where(has, x, 0.0).sum(axis=0) / np.maximum(m.sum(axis=0), 1.0)
+    y = np.where(has, x - shift, 0.0)            # about the mean, so that sums lose little
+    n = m.T @ m
+    below = np.maximum(n, 1.0)
+    mean = (y.T @ m) / below
+    m2 = np.maximum((y * y).T @ m - n * mean * mean, 0.0)
+    return n, mean + shift[:, None], m2, y.T @ y - n * mean * mean.T
+
+
+def merge_moments(a, b):
+    """Moments of two disjoint sets of rows together."""
+    import numpy as np
+    n = a[0] + b[0]
+    below = np.maximum(n, 1.0)
+    d, share = b[1] - a[1], a[0] * b[0] / below
+    mean = np.where(a[0] > 0, a[1], 0.0) * a[0] / below + np.where(b[0] > 0, b[1], 0.0) * b[0] / below
+    return n, mean, a[2] + b[2] + d * d * share, a[3] + b[3] + d * d.T * share
+
+
 def correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Pearson correlation for many pairs in one pass, long form. Rows are
-    unpivoted to (col_a, col_b, x, y) and grouped by pair: few buffers per
-    group (generated code) and map-side partial aggregation. cov / (sd_a *
-    sd_b) with a guarded division: under ANSI, corr() raises on a constant
-    column; this returns null for it instead."""
-    stack = ", ".join(f"'{a}', '{b}', CAST(`{a}` AS DOUBLE), CAST(`{b}` AS DOUBLE)" for a, b in pairs)
-    long = df.selectExpr(f"stack({len(pairs)}, {stack}) AS (col_a, col_b, x, y)")
-    den = F.stddev_samp("x") * F.stddev_samp("y")
-    return long.groupBy("col_a", "col_b").agg(
-        F.when(den > 0, F.covar_samp("x", "y") / den).alias("corr"))
+    """Pearson correlation of many pairs in one pass, each over the rows that hold
+    both (nulls and NaN are missing). A task merges the moments of its Arrow batches
+    into one k x k table and sends that; the tables of all tasks meet and are merged
+    one by one. A constant or empty column has no correlation (null)."""
+    import numpy as np
+    import pyarrow as pa
+    names = sorted({c for p in pairs for c in p})
+    k = len(names)
+    schema = "moments array<double>"
+
+    def task(batches):
+        total = None
+        for b in batches:
+            if b.num_rows:
+                now = co_moments(b.columns)
+                total = now if total is None else merge_moments(total, now)
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"moments": [np.concatenate([t.ravel() for t in total])]})
+
+    def all_tasks(batches):
+        total = None
+        for b in batches:
+            for row in b.column(0):
+                now = tuple(np.asarray(row.values, float).reshape(4, k, k))
+                total = now if total is None else merge_moments(total, now)
+        n, _, m2, co = total if total is not None else np.zeros((4, k, k))
+        out = {"col_a": [], "col_b": [], "corr": []}
+        for a, b in pairs:
+            i, j = names.index(a), names.index(b)
+            den = float(np.sqrt(m2[i, j]) * np.sqrt(m2[j, i]))
+            out["col_a"].append(a)
+            out["col_b"].append(b)
+            out["corr"].append(float(co[i, j]) / den if n[i, j] > 1 and den > 0 else None)
+        yield pa.RecordBatch.from_pydict(out, schema=pa.schema(
+            [("col_a", pa.string()), ("col_b", pa.string()), ("corr", pa.float64())]))
+
+    parts = df.select(*[F.col(c).cast("double").alias(c) for c in names]).mapInArrow(task, schema)
+    return parts.repartition(1).mapInArrow(all_tasks, "col_a string, col_b string, corr double")
 
 
 def imbalance(df: DataFrame, label: str = "isFraud") -> DataFrame:

@@ -44,9 +44,15 @@ def fill_missing(df: DataFrame, cols: list[str], value=0.0) -> DataFrame:
     return out
 
 
-def violations(step_max: float | None = None) -> F.Column:
-    """Array of violation texts per row (empty = valid)."""
-    checks = [F.when(F.col("step").isNull(), F.lit("step missing"))
+#: Column of ``io.read_transactions_csv`` with the lines that do not parse.
+CORRUPT = "_corrupt_record"
+
+
+def violations(step_max: float | None = None, corrupt: bool = False) -> F.Column:
+    """Array of violation texts per row (empty = valid). ``corrupt``: a line in
+    the column CORRUPT is one."""
+    checks = [F.when(F.col(CORRUPT).isNotNull(), F.lit("malformed record"))] if corrupt else []
+    checks += [F.when(F.col("step").isNull(), F.lit("step missing"))
               .when(F.col("step") < 0, F.lit("step < 0")),
               F.when(F.col("type").isNull(), F.lit("type missing"))]
     for c in RAW_NUMERIC:
@@ -60,7 +66,7 @@ def violations(step_max: float | None = None) -> F.Column:
 
 
 def with_violations(df: DataFrame, step_max: float | None = None) -> DataFrame:
-    return df.withColumn("violations", violations(step_max))
+    return df.withColumn("violations", violations(step_max, CORRUPT in df.columns))
 
 
 def split_valid(df: DataFrame, step_max: float | None = None) -> tuple[DataFrame, DataFrame]:

@@ -17,8 +17,10 @@ from txrisk.plans import context as C
 from txrisk.plans.oracle_base import (ACTION_OF_LEVEL, LEVEL_OF_RANK, LEVEL_OF_SCORE, RISK_SCORE,
                                       with_)
 from txrisk.plans.registry import query
-from txrisk.schema import DEBUG_FEATURES, MODEL_COLUMNS, RAW_NUMERIC
+from txrisk.schema import DEBUG_FEATURES, MODEL_COLUMNS, RAW_NUMERIC, TRANSACTION_SCHEMA
+from txrisk.session import scratch_path
 from txrisk.sources import fixtures
+from txrisk.sources import io as IO
 
 TX_COLS = ["tx_id", "created_at", "step", "type", "amount", "nameOrig", "oldbalanceOrg",
            "newbalanceOrig", "nameDest", "oldbalanceDest", "newbalanceDest", "isFraud",
@@ -130,6 +132,32 @@ def quarantine(spark, sf):
             .agg(F.count("*").alias("n"), F.min("tx_id").alias("first_tx")))
 
 
+@query("csv_rejects", with_("tx") + """
+, f AS (SELECT tx_id, tx_id % 97 = 0 AS bad_amount, tx_id % 101 = 0 AS bad_step, tx_id % 103 = 0 AS no_balance
+        FROM tx)
+SELECT violation, count(*) AS n, min(tx_id) AS first_tx FROM (
+  SELECT tx_id, 'malformed record' AS violation FROM f WHERE bad_amount OR bad_step
+  UNION ALL SELECT tx_id, 'amount missing' FROM f WHERE bad_amount
+  UNION ALL SELECT tx_id, 'step missing' FROM f WHERE bad_step
+  UNION ALL SELECT tx_id, 'oldbalanceOrg missing' FROM f WHERE no_balance
+  UNION ALL SELECT tx_id, 'accepted' FROM f WHERE NOT (bad_amount OR bad_step OR no_balance)) u
+GROUP BY violation""")
+def csv_rejects(spark, sf):
+    """A CSV file of all transactions, some with fields that do not parse, read and
+    split: rows per fault, and the rows accepted."""
+    tx = C.tx(spark, sf)
+    raw = tx.select(*[F.col(f.name) for f in TRANSACTION_SCHEMA.fields]).withColumns({
+        "amount": F.when(F.col("tx_id") % 97 == 0, "n/a").otherwise(F.col("amount").cast("string")),
+        "step": F.when(F.col("tx_id") % 101 == 0, "x1").otherwise(F.col("step").cast("string")),
+        "oldbalanceOrg": F.when(F.col("tx_id") % 103 != 0, F.col("oldbalanceOrg").cast("string"))})
+    path = scratch_path(spark, "csv")
+    IO.write_table(raw, path, fmt="csv")
+    good, bad = QL.split_valid(IO.read_transactions_csv(spark, path, corrupt=QL.CORRUPT))
+    rows = bad.select("tx_id", F.explode("violations").alias("violation")).unionByName(
+        good.select("tx_id", F.lit("accepted").alias("violation")))
+    return rows.groupBy("violation").agg(F.count("*").alias("n"), F.min("tx_id").alias("first_tx"))
+
+
 @query("fill_missing_raw", with_("req") + """
 SELECT tx_id, CASE WHEN upper(type) IN ('CASH_IN', 'CASH_OUT', 'DEBIT', 'PAYMENT', 'TRANSFER')
                    THEN upper(type) ELSE 'TRANSFER' END AS type,

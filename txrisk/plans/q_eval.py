@@ -99,6 +99,26 @@ def pr_curve(spark, sf):
     return EV.pr_curve(_cum(spark, sf))
 
 
+@query("roc_points", _CUM + f"""
+, st AS (SELECT *, lead(pos) OVER (ORDER BY s DESC) AS np, lead(neg) OVER (ORDER BY s DESC) AS nn,
+                row_number() OVER (ORDER BY s DESC) AS k FROM cum)
+SELECT CAST('Infinity' AS DOUBLE) AS threshold, CAST(0 AS DOUBLE) AS fpr, CAST(0 AS DOUBLE) AS tpr
+UNION ALL
+SELECT s, {_D('fp')} / {_D('N')}, {_D('tp')} / {_D('P')} FROM st
+WHERE k = 1 OR np IS NULL OR np <> pos OR nn <> neg""")
+def roc_points(spark, sf):
+    """ROC curve from (0, 0), collinear points left out."""
+    return EV.roc_points(C.tx(spark, sf), "prob", "isFraud")
+
+
+@query("pr_points", _CUM + f"""
+SELECT s AS threshold, {_D('tp')} / {_D('tp + fp')} AS precision, {_D('tp')} / {_D('P')} AS recall
+FROM cum UNION ALL SELECT NULL, CAST(1 AS DOUBLE), CAST(0 AS DOUBLE)""")
+def pr_points(spark, sf):
+    """Precision-recall curve with its closing point."""
+    return EV.pr_points(_cum(spark, sf))
+
+
 @query("roc_auc", _CUM + "SELECT round(roc_auc, 12) AS roc_auc FROM auc")
 def roc_auc(spark, sf):
     return EV.roc_auc(_cum(spark, sf)).select(py_round(F.col("roc_auc"), 12).alias("roc_auc"))

@@ -23,9 +23,16 @@ from txrisk.schema import (ALERT_SCHEMA, LOG_SCHEMA, TRANSACTION_JSON_SCHEMA,
 # --------------------------------------------------------------------------- transactions
 
 def read_transactions_csv(spark: SparkSession, path: str,
-                          schema: T.StructType = TRANSACTION_SCHEMA) -> DataFrame:
-    """CSV with header and a declared schema (no inference pass)."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+                          schema: T.StructType = TRANSACTION_SCHEMA,
+                          corrupt: str | None = None) -> DataFrame:
+    """CSV with header and a declared schema (no inference pass). A field that does
+    not parse is null; with ``corrupt``, that column holds the whole line of such rows
+    (else null), and ``quality.split_valid`` counts them as malformed."""
+    r = spark.read.option("header", True)
+    if corrupt is None:
+        return r.schema(schema).csv(path)
+    return (r.schema(T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())]))
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt).csv(path))
 
 
 def read_pruned(spark: SparkSession, path: str, columns: dict[str, str],
