@@ -10,13 +10,14 @@ from txrisk.functions import scoring as S
 from txrisk.functions.policy import policy_min_rank, policy_reasons
 from txrisk.operators import config as CF
 from txrisk.operators import quality as QL
+from txrisk.operators.config_store import ConfigStore
 from txrisk.operators.enrich import align_to_model_columns, velocity_join
 from txrisk.operators.quantiles import quantile_row
 from txrisk.operators.scoring import score_heuristic
 from txrisk.plans import context as C
 from txrisk.plans.oracle_base import (ACTION_OF_LEVEL, LEVEL_OF_RANK, LEVEL_OF_SCORE, RISK_SCORE,
                                       with_)
-from txrisk.plans.registry import query
+from txrisk.plans.registry import ORACLE, query
 from txrisk.schema import DEBUG_FEATURES, MODEL_COLUMNS, RAW_NUMERIC, TRANSACTION_SCHEMA
 from txrisk.session import scratch_path
 from txrisk.sources import fixtures
@@ -247,7 +248,23 @@ SELECT p95 AS large_threshold_p95, median_dest AS median_oldbalanceDest,
        (SELECT CAST(sum(n) AS BIGINT) FROM step_counts) AS n_rows
 FROM cfg""")
 def feature_config(spark, sf):
-    cfg = C.config(spark, sf)
+    return _config_row(C.config(spark, sf))
+
+
+@query("feature_config_incremental", ORACLE["feature_config"])
+def feature_config_incremental(spark, sf):
+    """The configuration from parts: three are put and fitted, a fourth comes and one is
+    put again; the refit reads zones, step counts and the blocks at the wanted ranks."""
+    tx, store = C.tx(spark, sf), ConfigStore(spark, scratch_path(spark, "config-parts"))
+    for part in (0, 1, 2):
+        store.put(tx.where(F.col("tx_id") % 4 == part), f"p{part}")
+    store.fit()
+    for part in (3, 1):
+        store.put(tx.where(F.col("tx_id") % 4 == part), f"p{part}")
+    return _config_row(store.fit())
+
+
+def _config_row(cfg):
     agg = cfg.step_counts.agg(F.count("*").alias("n_steps"), F.sum("n").cast("long").alias("n_rows"))
     return agg.select(F.lit(float(cfg.large_threshold_p95)).alias("large_threshold_p95"),
                       F.lit(float(cfg.median_oldbalanceDest)).alias("median_oldbalanceDest"),
