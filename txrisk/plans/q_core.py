@@ -17,12 +17,18 @@ from txrisk.operators.scoring import score_heuristic
 from txrisk.plans import context as C
 from txrisk.plans.oracle_base import (ACTION_OF_LEVEL, LEVEL_OF_RANK, LEVEL_OF_SCORE, RISK_SCORE,
                                       with_)
-from txrisk.plans.registry import ORACLE, query
+from txrisk.plans.registry import query
 from txrisk.schema import DEBUG_FEATURES, MODEL_COLUMNS, RAW_NUMERIC, TRANSACTION_SCHEMA
 from txrisk.session import scratch_path
 from txrisk.sources import fixtures
 from txrisk.sources import io as IO
 
+ORACLE_FEATURE_CONFIG = with_("cfg", "step_counts") + """
+SELECT p95 AS large_threshold_p95, median_dest AS median_oldbalanceDest,
+       median_steps AS median_transactions_in_step, max_step,
+       (SELECT count(*) FROM step_counts) AS n_steps,
+       (SELECT CAST(sum(n) AS BIGINT) FROM step_counts) AS n_rows
+FROM cfg"""
 TX_COLS = ["tx_id", "created_at", "step", "type", "amount", "nameOrig", "oldbalanceOrg",
            "newbalanceOrig", "nameDest", "oldbalanceDest", "newbalanceDest", "isFraud",
            "isFlaggedFraud", "prob"]
@@ -133,6 +139,23 @@ def quarantine(spark, sf):
             .agg(F.count("*").alias("n"), F.min("tx_id").alias("first_tx")))
 
 
+@query("csv_roundtrip", with_("tx") + "SELECT " + ", ".join(f.name for f in TRANSACTION_SCHEMA.fields)
+       + " FROM tx")
+def csv_roundtrip(spark, sf):
+    """All transactions through the CSV sink and back with the declared schema."""
+    path = scratch_path(spark, "csv")
+    IO.write_table(C.tx(spark, sf).select(*[f.name for f in TRANSACTION_SCHEMA.fields]), path, fmt="csv")
+    return IO.read_transactions_csv(spark, path)
+
+
+@query("config_roundtrip", ORACLE_FEATURE_CONFIG)
+def config_roundtrip(spark, sf):
+    """The fitted configuration saved (JSON scalars, step table) and loaded."""
+    path = scratch_path(spark, "config")
+    C.config(spark, sf).save(path)
+    return _config_row(CF.FeatureConfig.load(spark, path))
+
+
 @query("csv_rejects", with_("tx") + """
 , f AS (SELECT tx_id, tx_id % 97 = 0 AS bad_amount, tx_id % 101 = 0 AS bad_step, tx_id % 103 = 0 AS no_balance
         FROM tx)
@@ -241,17 +264,12 @@ def cfg_step_bins(spark, sf):
     return CF.step_bins_df(C.tx(spark, sf))
 
 
-@query("feature_config", with_("cfg", "step_counts") + """
-SELECT p95 AS large_threshold_p95, median_dest AS median_oldbalanceDest,
-       median_steps AS median_transactions_in_step, max_step,
-       (SELECT count(*) FROM step_counts) AS n_steps,
-       (SELECT CAST(sum(n) AS BIGINT) FROM step_counts) AS n_rows
-FROM cfg""")
+@query("feature_config", ORACLE_FEATURE_CONFIG)
 def feature_config(spark, sf):
     return _config_row(C.config(spark, sf))
 
 
-@query("feature_config_incremental", ORACLE["feature_config"])
+@query("feature_config_incremental", ORACLE_FEATURE_CONFIG)
 def feature_config_incremental(spark, sf):
     """The configuration from parts: three are put and fitted, a fourth comes and one is
     put again; the refit reads zones, step counts and the blocks at the wanted ranks."""

@@ -105,6 +105,18 @@ def log_append(spark, sf):
                                             "final_risk_level")
 
 
+@query("log_table_declared", with_("logs") + """
+SELECT id, CAST(date_trunc('month', created_at) AS DATE) AS created_date, 'a' AS writer, final_risk_score
+FROM logs""")
+def log_table_declared(spark, sf):
+    """The log as a declared table whose partitions are registered with the append."""
+    path = scratch_path(spark, "declared_logs")
+    name = f"prediction_logs_{path.rsplit('-', 1)[1]}"
+    IO.create_log_table(spark, name, path)
+    IO.append_logs(C.log_table(spark, sf), path, writer="a", batch_id=0, grain="month", table=name)
+    return spark.table(name).select("id", "created_date", "writer", "final_risk_score")
+
+
 @query("report_json")
 def report_json(spark, sf):
     """Final-metrics record written as one JSON document and read back."""
