@@ -79,6 +79,26 @@ def test_rows_later_than_the_watermark_are_dropped(spark):
     assert got == {10: 1, 11: 1, 12: 2, 15: 1}
 
 
+def test_live_velocity_counts_a_step_once_it_is_closed(spark):
+    """G3 in scoring: rows come with their step's final count; late rows do neither."""
+    import tempfile
+    import time
+    from txrisk.streaming import pipeline as G
+    d = tempfile.mkdtemp(prefix="txrisk-live-", dir="/tmp")
+    schema = _events(spark, f"{d}/in", [(1, "10:10"), (2, "10:40"), (3, "11:30")])
+    time.sleep(1.1)
+    _events(spark, f"{d}/in/2", [(4, "10:50"), (5, "13:20")])       # 10:50 is within the hour
+    time.sleep(1.1)
+    _events(spark, f"{d}/in/3", [(7, "13:40")])                     # 10:00 and 11:00 are closed now
+    time.sleep(1.1)
+    _events(spark, f"{d}/in/4", [(6, "10:05"), (8, "16:00")])       # 10:05 is too late
+    live = G.live_velocity(_replayed(spark, f"{d}/in", schema), "1 hour", median=1.5)
+    G.start_window_stream(live, f"{d}/out", f"{d}/ckpt", state_partitions=2, mode="append").awaitTermination()
+    got = {r.id: (r.transactions_in_step, r.is_high_velocity_step)
+           for r in spark.read.parquet(f"{d}/out").collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 4: (3, 1), 3: (1, 0), 5: (2, 1), 7: (2, 1)}
+
+
 def test_replayed_rows_count_once(spark):
     """Rows sent again in a later file."""
     import tempfile

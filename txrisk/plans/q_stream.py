@@ -45,6 +45,27 @@ def stream_velocity(spark, sf):
     return G.latest_per_key(spark.read.parquet(path), ["window_start"])
 
 
+#: Events an hour above which a step counts as busy.
+BUSY_HOUR = 2.0
+
+
+@query("stream_live_velocity", f"""
+WITH h AS (SELECT event_id, date_trunc('hour', ts) AS hour FROM events),
+c AS (SELECT hour, count(*) AS n FROM h GROUP BY hour)
+SELECT event_id, n AS transactions_in_step, CAST(n > {BUSY_HOUR} AS INTEGER) AS is_high_velocity_step
+FROM h JOIN c USING (hour)
+WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def stream_live_velocity(spark, sf):
+    """Every event of a closed hour with the hour's count, from a stream joined with its
+    own running counts."""
+    base = scratch_path(spark, "live-velocity")
+    ev = fixtures.events_stream(spark, sf).withColumnRenamed("ts", "created_at").select("event_id", "created_at")
+    q = G.start_window_stream(G.live_velocity(ev, "1 hour", median=BUSY_HOUR), f"{base}/out",
+                              f"{base}/ckpt", mode="append")
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("event_id", "transactions_in_step", "is_high_velocity_step")
+
+
 @query("stream_score", with_("scored") + """
 SELECT tx_id AS id, ml_probability, ml_risk_level, ml_risk_score, final_risk_level,
        final_risk_score, policy_override_applied, suspicious_signal_count FROM scored""")

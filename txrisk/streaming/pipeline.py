@@ -39,6 +39,28 @@ def hourly_counts(df: DataFrame, ts_col: str = "created_at", watermark: str | No
                     F.col("w.end").cast("timestamp_ntz").alias("window_end"), "n"))
 
 
+def live_velocity(df: DataFrame, watermark: str, ts_col: str = "created_at", step: str = "1 hour",
+                  median: float | None = None) -> DataFrame:
+    """G3 in scoring: every row with ``transactions_in_step``, the rows of its own time
+    step, and with ``median`` also ``is_high_velocity_step``, from the stream itself
+    instead of a frozen table.
+
+    The stream is joined with its running counts per step. A row comes out (append
+    mode) once the watermark passes the end of its step, when the count is final;
+    rows that arrive after their step came out are neither counted nor returned. State holds the rows of the
+    steps that are still open.
+    """
+    d = _event_time(df, ts_col).withWatermark(ts_col, watermark)
+    counts = d.groupBy(F.window(ts_col, step).alias("_step")).agg(F.count("*").alias("transactions_in_step"))
+    # one event time per side: the step's window carries the watermark
+    rows = d.withColumn("_step", F.window(ts_col, step)).withColumn(ts_col, F.col(ts_col).cast("timestamp_ntz"))
+    out = rows.join(counts, "_step").select(*df.columns, "transactions_in_step")
+    if median is not None:
+        out = out.withColumn("is_high_velocity_step",
+                             (F.col("transactions_in_step") > F.lit(median)).cast("int"))
+    return out
+
+
 def daily_level_counts(logs: DataFrame, watermark: str | None = None) -> DataFrame:
     """G4 (batch twin: daily_alerts): rows per day and final level."""
     d = _event_time(logs, "created_at")
