@@ -53,6 +53,14 @@ def test_edited_texts_report_their_coverage():
     assert BAND >= 2
 
 
+def test_spans_are_places_of_the_text():
+    index = TemplateIndex(TEMPLATES)
+    for before in ("", "\u0130" * 50 + " ", "x\u0130Y \U0001F600 "):     # U+0130 lowers to two code points
+        text = before + "Released under the MIT License. Bye"
+        (found,) = scan_text(text, index)
+        assert text[found[4]:found[5]] == "Released under the MIT License"
+
+
 def test_table_cases(spark):
     rows = [(1, TEMPLATES["GPL-3.0"], None, None), (2, None, "en", "s"), (3, "", "en", "s"),
             (4, "plain words only", "en", "s"), (None, TEMPLATES["MIT"], "en", "s"),

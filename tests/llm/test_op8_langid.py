@@ -54,10 +54,12 @@ def test_held_out_accuracy_and_special_texts(spark):
 
 
 def test_clashing_columns_and_no_labels(spark):
-    docs = clashing(documents(spark, _rows(60))).drop("score", "lang_pred")
+    plain = documents(spark, _rows(60))
+    docs = clashing(plain)                       # has lang_pred and score
     out = identify(docs)
-    assert out.columns == docs.columns + ["lang_pred", "score", "coverage"]
-    assert out.count() == 60
+    results = ["lang_pred", "score", "coverage"]
+    assert out.columns == [c for c in docs.columns if c not in results] + results
+    assert _run(docs) == _run(plain) and out.count() == 60
     blank = documents(spark, [(1, "abc", None, None), (2, "def", None, None)])
     assert {r["lang_pred"] for r in identify(blank).collect()} == {"und"}
     assert identify(documents(spark, [])).count() == 0

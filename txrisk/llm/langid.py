@@ -255,6 +255,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              lang_col: str = "lang", names: tuple = ("lang_pred", "score", "coverage"),
              **kw) -> DataFrame:
-    """Learn from the rows that are not held out, predict every row of ``docs``."""
+    """Learn from the rows that are not held out, predict every row of ``docs``. Columns
+    of ``docs`` that are named like a result give way to it."""
     train = docs.select(id_col, text_col, lang_col).where(~held_out(id_col))
-    return predict(docs, fit(train, id_col, text_col, lang_col, **kw), text_col, names)
+    return predict(docs.drop(*names), fit(train, id_col, text_col, lang_col, **kw), text_col, names)

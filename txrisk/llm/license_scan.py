@@ -140,6 +140,8 @@ def scan_text(text: str, index: TemplateIndex, coverage: float = COVERAGE) -> li
     Where matches overlap, the one with the most matched less missing words stays.
     """
     lower = text.lower()
+    if len(lower) != len(text):      # places are those of the text: what lowers to several stays
+        lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     words = WORD.findall(lower)
     get = index.vocab.get
     ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
