@@ -13,6 +13,7 @@ from txrisk.plans.oracle_base import with_
 from txrisk.plans.q_core import TX_COLS
 from txrisk.plans.registry import query
 
+# The columns of each report.
 DESCRIBE_COLS = ["step", "amount", "oldbalanceOrg", "newbalanceOrig", "oldbalanceDest",
                  "newbalanceDest", "isFraud", "isFlaggedFraud"]
 BOX_COLS = ["amount", "oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newbalanceDest"]

@@ -43,16 +43,22 @@ def _case(col: F.Column, mapping: dict) -> F.Column:
     return expr
 
 
-def file_stream(table: DataFrame, path: str, files: int = 4) -> DataFrame:
-    """A table replayed as a stream of ``files`` files, one per micro-batch."""
+#: Rows of a file of a replayed table, once it has more than a few files of them.
+ROWS_PER_FILE = 500_000
+
+
+def file_stream(table: DataFrame, path: str, batches: int = 4) -> DataFrame:
+    """A table replayed as a stream of about ``batches`` micro-batches. Files are bounded
+    in rows, so their number, and the tasks of a micro-batch, grow with the table."""
+    files = max(batches, -(-table.count() // ROWS_PER_FILE))
     table.repartition(files).write.parquet(path)
-    return (table.sparkSession.readStream.schema(table.schema).option("maxFilesPerTrigger", 1)
-            .parquet(path))
+    return (table.sparkSession.readStream.schema(table.schema)
+            .option("maxFilesPerTrigger", -(-files // batches)).parquet(path))
 
 
-def orders_stream(spark: SparkSession, sf_dir: str, path: str, files: int = 4) -> DataFrame:
+def orders_stream(spark: SparkSession, sf_dir: str, path: str, batches: int = 4) -> DataFrame:
     """The orders replayed as a stream of several micro-batches."""
-    return file_stream(read_table(spark, sf_dir, "orders"), path, files)
+    return file_stream(read_table(spark, sf_dir, "orders"), path, batches)
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
