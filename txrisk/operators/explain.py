@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from txrisk.functions.numeric import py_round
 from txrisk.operators.boosting import BoostedModel
+from txrisk.operators.forest import ForestModel
 from txrisk.operators.tree_shap import TreeShap
 
 TOP_K_DEFAULT = 6
@@ -279,6 +280,10 @@ def tree_tables(model, spark) -> list[dict]:
 
     from txrisk.session import scratch_path
 
+    if isinstance(model, ForestModel):
+        return [{"left": np.where(t["feat"] >= 0, t["left"], -1),
+                 "right": np.where(t["feat"] >= 0, t["right"], -1), "w": 1.0, "boosted": False,
+                 **{c: t[c] for c in ("feat", "thr", "val", "cover")}} for t in model.trees]
     if isinstance(model, BoostedModel):
         return [{"left": np.where(t["feat"] >= 0, t["left"], -1),
                  "right": np.where(t["feat"] >= 0, t["right"], -1), "w": 1.0, "boosted": True,
