@@ -123,3 +123,39 @@ def test_stratified_split_sizes(spark):
     assert c[(0, "test")] == k["0"] and c[(1, "test")] == k["1"]
     test1 = sorted(r.tx_id for r in s.where("split = 'test' AND isFraud = 1").collect())
     assert test1 == sorted(_md5_order([i for i in range(1003) if i % 10 == 0])[:k["1"]])
+
+
+def test_undersample_keeps_rows_of_an_id_together_and_joins_no_wide_rows(spark):
+    one = spark.range(400).select((F.col("id") % 200).alias("tx_id"), F.lit("x").alias("wide"),
+                                  (F.col("id") % 200 % 40 == 0).cast("int").alias("isFraud"))
+    df = one.unionByName(one.limit(1).select(F.lit(None).cast("long").alias("tx_id"), "wide", "isFraud"))
+    got = SM.undersample(df, "isFraud", ratio=5)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan
+    rows = got.collect()
+    neg = [r.tx_id for r in rows if r.isFraud == 0]
+    first = _md5_order(i for i in range(200) if i % 40)[:28]       # 5 x 11 rows, the last id whole
+    assert sorted(neg) == sorted(2 * first) and len(rows) == 66    # a null id counts, but is not chosen
+
+
+def test_held_out_rows_are_not_written_again(spark, monkeypatch):
+    from txrisk.operators import sampling
+    from txrisk.plans import context, q_models
+
+    names = []
+
+    def noted(module):
+        kept = module.stored
+        monkeypatch.setattr(module, "stored", lambda df, name: (names.append(name), kept(df, name))[1])
+
+    noted(q_models)
+    noted(sampling)
+    context.reset()
+    sf = "/root/testdata/sf0.001"
+    train, test = q_models.halves(spark, sf)
+    assert names == ["features", "sample-cuts"]
+    every = q_models.rows(spark, sf)
+    assert train.unionByName(test).exceptAll(every).count() == 0 and train.count() + test.count() == every.count()
+    q_models.split(spark, sf)
+    assert names == ["features", "sample-cuts", "sample-cuts", "train"]
+    context.reset()
