@@ -1,0 +1,37 @@
+import numpy as np
+
+from tests.test_boosting import FEATURES, _table
+from txrisk.operators import boosting as B
+
+
+def test_sums_on_the_grid_are_the_same_in_any_order():
+    rng = np.random.default_rng(5)
+    x = B.on_grid(rng.normal(size=20_000).clip(-1, 1), 20_000)
+    assert len({x[rng.permutation(len(x))].cumsum()[-1] for _ in range(5)}) == 1
+    assert abs(x - B.on_grid(x, 20_000)).max() == 0 and abs(x).max() <= 1
+
+
+def test_features_of_few_bins_counted_together_give_the_same_bits():
+    rng = np.random.default_rng(6)
+    n_edges = np.array([1, 19, 4, 1, 2, 255, 1, 0, 5])
+    bins = np.array([rng.integers(0, e + 1, 4000) for e in n_edges]).astype(np.uint8)
+    joint = B.joint_columns(bins, n_edges)
+    assert [sorted(features) for features, _, _ in joint] == [[0, 2, 3, 4, 6, 7]]
+    g, h = (B.on_grid(v, 4000) for v in (rng.normal(size=4000).clip(-1, 1), rng.random(4000)))
+    groups = [np.flatnonzero(bins[1] == k) for k in (3, 7, 18)]
+    for layout in (B.Layout(range(9), n_edges), B.Layout([1, 2, 5, 8], n_edges)):
+        for counted in (True, False):
+            assert (B.count_histograms(bins, layout, groups, g, h, counted, joint)
+                    == B.count_histograms(bins, layout, groups, g, h, counted)).all()
+
+
+def test_any_number_of_tasks_grows_the_same_trees(spark):
+    df, _ = _table(spark, 900)
+    # a column that mirrors another: equal gains go to the first feature
+    df = df.selectExpr("tx_id", "a", "-a AS b", "c", "isFraud")
+    for p in (B.Growth(12, 0.3, max_depth=4, lam=1.0, least_hessian=1.0, subsample=0.8, bins=32),
+              B.Growth(6, 0.2, max_leaves=12, least_rows=5, colsample=0.8, bins=32)):
+        one, more = (B.fit(df, FEATURES, p, tasks=n) for n in (1, 3))
+        assert len(one.trees) == len(more.trees) and one.base == more.base
+        for s, t in zip(one.trees, more.trees):
+            assert all((s[k] == t[k]).all() for k in s)
