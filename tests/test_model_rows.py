@@ -55,3 +55,10 @@ def test_configuration_is_fitted_on_rows_joined_once(spark, tables, monkeypatch)
     assert (got.large_threshold_p95, got.median_oldbalanceDest, got.step_bins, got.median_transactions_in_step) == (
         want.large_threshold_p95, want.median_oldbalanceDest, want.step_bins, want.median_transactions_in_step)
     assert sorted(map(tuple, got.step_counts.collect())) == sorted(map(tuple, want.step_counts.collect()))
+
+
+def test_held_out_rows_are_hashed_once(spark, tables):
+    train, test = q_models.split(spark, tables)
+    assert not any("md5" in d._jdf.queryExecution().optimizedPlan().toString() for d in (train, test))
+    for got, want in zip((train, test), q_models.halves(spark, tables)):
+        assert got.count() > 0 and got.select("tx_id", "isFraud").exceptAll(want.select("tx_id", "isFraud")).count() == 0
