@@ -57,8 +57,26 @@ def test_configuration_is_fitted_on_rows_joined_once(spark, tables, monkeypatch)
     assert sorted(map(tuple, got.step_counts.collect())) == sorted(map(tuple, want.step_counts.collect()))
 
 
-def test_held_out_rows_are_hashed_once(spark, tables):
-    train, test = q_models.split(spark, tables)
-    assert not any("md5" in d._jdf.queryExecution().optimizedPlan().toString() for d in (train, test))
-    for got, want in zip((train, test), q_models.halves(spark, tables)):
-        assert got.count() > 0 and got.select("tx_id", "isFraud").exceptAll(want.select("tx_id", "isFraud")).count() == 0
+def test_models_of_the_board_score_the_held_out_rows_in_one_pass(spark, tables, monkeypatch):
+    from txrisk.operators import models as ML
+    from txrisk.operators.boosting import Growth
+    from txrisk.operators.forest import Forest
+
+    small = {"random_forest": Forest(3, 3, least_rows=2, balanced=True), "gbt_400": Growth(3, 0.3, max_depth=3, lam=1.0),
+             "gbt_600": Growth(3, 0.3, max_leaves=6, least_rows=5)}
+    for name, growth in small.items():
+        monkeypatch.setitem(ML.PRESETS, name, ML.Preset(name, ML.PRESETS[name].kind, {"growth": growth}))
+    for memo in (q_models._MODELS, q_models._SPLITS):
+        memo.clear()
+    # one row per id: a split of repeated rows may take either
+    spark.read.parquet(f"{tables}/orders.parquet").dropna().dropDuplicates(["o_orderkey"]).write.parquet(f"{tables}/one/orders.parquet")
+    for name in ("customer", "supplier"):
+        spark.read.parquet(f"{tables}/{name}.parquet").dropDuplicates(["c_custkey" if name == "customer" else "s_suppkey"]).write.parquet(
+            f"{tables}/one/{name}.parquet")
+    names, store = [], q_models.stored
+    monkeypatch.setattr(q_models, "stored", lambda df, name: (names.append(name), store(df, name))[1])
+    board = {r["model"]: r.asDict() for r in q_models.model_leaderboard(spark, f"{tables}/one").collect()}
+    assert names.count("model-scores") == 1 and sorted(r["rank"] for r in board.values()) == [1, 2, 3, 4]
+    for preset, row in board.items():
+        alone = q_models._evaluate(spark, f"{tables}/one", preset).first().asDict()
+        assert all(row[k] == (round(v, 4) if k in ("roc_auc", "pr_auc") else v) for k, v in alone.items())
